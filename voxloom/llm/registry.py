@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage."""
 
-from . import bpe, chat_format, language_id, mixing, quality_rules, toxicity, url_filter
+from . import bpe, chat_format, html_extract, language_id, media, mixing, quality_rules, toxicity, url_filter
 
-_MODULES = (url_filter, mixing, quality_rules, language_id, chat_format, toxicity, bpe)
+_MODULES = (url_filter, mixing, quality_rules, language_id, media, html_extract, chat_format, toxicity, bpe)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
