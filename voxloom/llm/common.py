@@ -55,3 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows (of an id or two) up to which a side of a join is broadcast, some 32 MB.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(written: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Mark a written table of ids for broadcast if its counted size allows; beyond, the join shuffles."""
+    return F.broadcast(written) if written.count() <= most else written

@@ -1,0 +1,30 @@
+"""Connected components by smallest labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """edges: a, b (long). Result: node, label (smallest node that it reaches), for every node with an edge.
+
+    Each round joins edges with labels, takes the smallest neighbouring label and then the label of that label, which
+    halves the distances; every round is written to the shared folder. Joins are plain ones of two written tables, so
+    that a hub of many edges is split among tasks.
+    """
+    e = edges.where("a <> b").select("a", "b")
+    both = materialize(e.union(e.select("b", "a")).distinct(), f"{name}-edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = materialize(near, f"{name}-near")
+        lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next")), f"{name}-next")
+        up = lower.select(F.col("node").alias("at"), F.col("next").alias("further"))
+        new = materialize(lower.join(up, lower["next"] == up["at"]).select("node", F.col("label").alias("old"), F.col("further").alias("label")), f"{name}-labels")
+        changed = new.where("old <> label").limit(1).count()
+        labels = new.drop("old")
+        if not changed:
+            return labels
