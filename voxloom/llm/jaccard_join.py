@@ -8,9 +8,10 @@
    these ties are groups of candidates.
 3. Within a group, documents are cut into tiles by size band (and by hash, where a band is large), and tiles meet where
    their sizes allow a link. In a pair of tiles, hashed bitmap signatures bound every overlap from above by counting
-   bits; the pairs that are left, unless linked already, are decided by intersecting the sorted arrays of n-grams.
-   A tile pair returns a spanning forest of its links.
-4. Components of these links, carried over to all documents of each class.
+   bits; the components of what stays possible are smaller groups, which are tiled again, now with the n-grams.
+4. There, pairs that bit counts leave possible, unless linked already, are decided by intersecting the sorted arrays of
+   n-grams. A tile pair returns a spanning forest of its links.
+5. Components of these links, carried over to all documents of each class.
 
 Nothing is sampled or capped; tile pairs have a bounded number of rows and n-grams. N-grams are compared by 64-bit
 hashes and classes by 128-bit ones.
@@ -131,22 +132,27 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def _tiles(spark: SparkSession, docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows for pairs of tiles: g (group of candidates), one (both tiles the same), k (name), side, doc_id, grams."""
+def _payloads(docs: DataFrame, groups: DataFrame, n: int, kind: str) -> DataFrame:
+    """g, doc_id, n (size of the set) and payload: the set's bitmap, or its sorted n-grams, of the documents in groups."""
     key = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("g", key), T.StructField("doc_id", key), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("g", key), T.StructField("doc_id", key), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [grams(t, n).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"g": b["g"], "doc_id": b["doc_id"], "n": [len(s) for s in sets], "grams": sets})
+            sets = [grams(t, n) for t in b["text"]]
+            load = [(bitmap(s) if kind == "bitmap" else s).tobytes() for s in sets]
+            yield pd.DataFrame({"g": b["g"], "doc_id": b["doc_id"], "n": [len(s) for s in sets], "payload": load})
 
     texts = docs.select("doc_id", "text").join(small_side(groups), "doc_id").select("g", "doc_id", "text")
-    x = materialize(texts.mapInPandas(run, schema), "jaccard-grams")
+    return materialize(texts.mapInPandas(run, schema), f"jaccard-{kind}")
+
+
+def _tiles(x: DataFrame, percent: int) -> DataFrame:
+    """Rows for pairs of tiles: g (group of candidates), k (pair), side, doc_id, n, payload."""
     size = x.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("n").alias("most"))
     large = materialize(size.where((F.col("rows") > TILE_ROWS) | (F.col("total") > TILE_GRAMS)).select("g", F.least(F.greatest(F.lit(float(TILE_ROWS)), 2.5 * F.sqrt("rows")), F.lit(float(MOST_ROWS))).alias("rows_a_tile")), "jaccard-large")
     x = x.join(large, "g", "left")
-    small = x.where("rows_a_tile is null").select("g", F.lit("").alias("k"), F.lit(0).alias("side"), "doc_id", "grams")
+    small = x.where("rows_a_tile is null").select("g", F.lit("").alias("k"), F.lit(0).alias("side"), "doc_id", "n", "payload")
     # bands so wide that links reach the next band at most
     y = x.where("rows_a_tile is not null").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int"))
     per = y.groupBy("g", "band").agg(F.ceil(F.greatest(F.count("*") / F.first("rows_a_tile"), F.sum("n") / F.lit(TILE_GRAMS))).cast("int").alias("cut"))
@@ -164,53 +170,92 @@ def _tiles(spark: SparkSession, docs: DataFrame, groups: DataFrame, n: int, perc
     own = F.transform(upto("cut"), lambda j: F.struct(name("own", F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j)).alias("k"), F.when(F.col("i") <= j, 0).otherwise(1).alias("side")))
     up = F.transform(upto("above"), lambda j: F.struct(name("up", F.col("band"), F.col("i"), j).alias("k"), F.lit(0).alias("side")))
     down = F.transform(upto("below"), lambda j: F.struct(name("up", F.col("band") - 1, j, F.col("i")).alias("k"), F.lit(1).alias("side")))
-    y = y.select("g", F.explode_outer(F.concat(own, up, down)).alias("t"), "doc_id", "grams").select("g", F.col("t.k").alias("k"), F.col("t.side").alias("side"), "doc_id", "grams")
+    y = y.select("g", F.explode_outer(F.concat(own, up, down)).alias("t"), "doc_id", "n", "payload").select("g", F.col("t.k").alias("k"), F.col("t.side").alias("side"), "doc_id", "n", "payload")
     return small.unionByName(y)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 64-bit words a set; about two bits for each n-gram of the largest."""
-    width = 64
-    while width < 2 * max(map(len, sets)) and width < 1 << 15:
-        width *= 2
-    bits = np.zeros((len(sets), width), dtype=np.uint8)
-    for r, s in enumerate(sets):
-        bits[r, (_mix(s) % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, two to four for each n-gram, of 32,768 at most."""
+    return min(1 << 15, max(64, 1 << (2 * n - 1).bit_length()))
 
 
-def links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple]:
-    """A spanning forest of the links in a tile (all sides 0) or between two tiles."""
-    parent = list(range(len(ids)))
+def bitmap(g: np.ndarray) -> np.ndarray:
+    """Hashed signature in 64-bit words; a bitmap of half the width is the two halves or-ed."""
+    width = np.uint64(width_of(len(g)))
+    at = _mix(g) % width
+    out = np.zeros(int(width) // 64, dtype=np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+class Forest:
+    """Links found so far; keeps one of each circle out."""
+
+    def __init__(self, n: int) -> None:
+        self.parent, self.edges = list(range(n)), []
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def root(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = p[i]
         return i
 
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    sets, size, side, ids = [sets[i] for i in order], size[order], side[order], [ids[i] for i in order]
-    bits, found, two = bitmaps(sets), [], bool(side.any())
-    for i in range(len(ids) - 1):
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.edges.append((i, j))
+
+
+def bounded(size: np.ndarray, bits: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, list[int]]]:
+    """For each set, in order of size, the larger ones that sizes and counted bits don't rule out.
+
+    A bit that differs costs an n-gram that isn't shared, so the overlap is at most half of what both sizes leave."""
+    two = bool(side.any()) and not bool(side.all())
+    stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    lengths = np.array([len(b) for b in bits])
+    for w in sorted(set(lengths.tolist())):
+        rows = np.flatnonzero((lengths == w) | (lengths == 2 * w))
+        stacked[w] = rows, np.stack([b if len(b) == w else b[:w] | b[w:] for b in (bits[r] for r in rows)])
+    for i in range(len(bits) - 1):
         end = int(np.searchsorted(size, 100 * size[i] // percent, side="right"))
-        j = np.arange(i + 1, end)
-        if two:
-            j = j[side[i + 1 : end] != side[i]]
-        if not len(j):
+        rows, m = stacked[len(bits[i])]
+        me, lo, hi = np.searchsorted(rows, i), *np.searchsorted(rows, [i + 1, end])
+        if lo >= hi:
             continue
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        most = (size[i] + size[j] - apart) // 2  # every bit that differs costs an n-gram that isn't shared
-        for x in j[100 * most >= percent * (size[i] + size[j] - most)].tolist():
-            a, b = root(i), root(x)
-            if a == b:
-                continue
-            shared = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[i]) + len(sets[x]) - shared):
-                parent[max(a, b)] = min(a, b)
-                found.append((ids[i], ids[x]))
-    return found
+        apart = np.bitwise_count(m[lo:hi] ^ m[me]).sum(1, dtype=np.int64)
+        j = rows[lo:hi]
+        most = (size[i] + size[j] - apart) // 2
+        ok = 100 * most >= percent * (size[i] + size[j] - most)
+        if two:
+            ok &= side[j] != side[i]
+        if ok.any():
+            yield i, j[ok].tolist()
+
+
+def possible_links(ids: list, size: np.ndarray, bits: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple]:
+    """A spanning forest of the pairs that bit counts leave possible."""
+    order = np.argsort(size, kind="stable")
+    f = Forest(len(ids))
+    for i, js in bounded(size[order], [bits[k] for k in order], side[order], percent):
+        for j in js:
+            f.link(i, j)
+    return [(ids[order[i]], ids[order[j]]) for i, j in f.edges]
+
+
+def links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple]:
+    """A spanning forest of the links in a tile (one side) or between two tiles, by intersecting sorted arrays."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    sets, f = [sets[k] for k in order], Forest(len(ids))
+    for i, js in bounded(size[order], [bitmap(s) for s in sets], side[order], percent):
+        for j in js:
+            if f.root(i) != f.root(j):
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    f.link(i, j)
+    return [(ids[order[i]], ids[order[j]]) for i, j in f.edges]
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -229,15 +274,28 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     # one document of each class, in groups of two classes and more
     reps = groups.join(of_class.withColumnRenamed("doc_id", "node"), "node", "left_anti")
     reps = materialize(reps.select(F.col("node").alias("doc_id"), F.col("label").alias("g")), "jaccard-reps")
-    shared = materialize(reps.groupBy("g").count().where("count > 1").select("g"), "jaccard-shared")
-    tiles = _tiles(spark, docs, materialize(reps.join(shared, "g"), "jaccard-asked"), n, percent)
     key = docs.schema["doc_id"].dataType
+    edge = T.StructType([T.StructField("a", key), T.StructField("b", key)])
+
+    def in_company(groups: DataFrame) -> DataFrame:
+        """Without groups of one."""
+        more = groups.groupBy("g").count().where("count > 1").select("g")
+        return materialize(groups.join(materialize(more, "jaccard-shared"), "g"), "jaccard-asked")
+
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = [np.frombuffer(x, dtype=np.uint64) for x in pdf["payload"]]
+        return pd.DataFrame(possible_links(pdf["doc_id"].tolist(), pdf["n"].to_numpy(), bits, pdf["side"].to_numpy(), percent), columns=["a", "b"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["grams"]]
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["payload"]]
         return pd.DataFrame(links(pdf["doc_id"].tolist(), sets, pdf["side"].to_numpy(), percent), columns=["a", "b"])
 
-    linked = materialize(tiles.groupBy("g", "k").applyInPandas(run, T.StructType([T.StructField("a", key), T.StructField("b", key)])), "jaccard-links")
+    # bitmaps, a thirtieth of the n-grams' size, narrow the groups before n-grams travel
+    tiles = _tiles(_payloads(docs, in_company(reps), n, "bitmap"), percent)
+    narrow = connected_components(materialize(tiles.groupBy("g", "k").applyInPandas(possible, edge), "jaccard-possible"), "jaccard-narrow")
+    narrow = narrow.select(F.col("node").alias("doc_id"), F.col("label").alias("g"))
+    tiles = _tiles(_payloads(docs, in_company(narrow), n, "grams"), percent)
+    linked = materialize(tiles.groupBy("g", "k").applyInPandas(decide, edge), "jaccard-links")
     found = connected_components(linked, "jaccard-found")
     out = d.select("doc_id", "n_grams").join(of_class, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
