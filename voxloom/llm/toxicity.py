@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +39,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 200_000
 
 
-def word_features(w: str) -> list[str]:
-    """The word and its beginnings (marked by a leading ^)."""
-    return [w, *("^" + w[:k] for k in BEGINNINGS if len(w) >= k)]
+def word_features(w: str) -> list[int]:
+    """Hashes of the word and of its beginnings (marked by a leading ^)."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    return [digest(w) >> 1, *(digest("^" + w[:k]) >> 1 for k in BEGINNINGS if len(w) >= k)]
 
 
 def measures(text: str, n_words: int) -> list[float]:
@@ -55,73 +56,90 @@ def measures(text: str, n_words: int) -> list[float]:
     return [upper / max(1, letters), digits / n, signs / n, math.log1p(n_words) / 10]
 
 
-def _features(text: str | None) -> tuple[set[str], list[float]]:
+def _features(text: str | None) -> tuple[np.ndarray, list[float]]:
     text = text or ""
     words = LETTERS.findall(text.lower())
-    return {f for w in set(words) for f in word_features(w)}, measures(text, len(words))
+    return np.array(sorted({f for w in set(words) for f in word_features(w)}), dtype=np.int64), measures(text, len(words))
+
+
+class Sample:
+    """Training rows: the features that come twice at least, as pairs of row and feature, and the dense columns."""
+
+    def __init__(self, rows: list[np.ndarray], dense: np.ndarray) -> None:
+        flat = np.concatenate([*rows, np.zeros(0, dtype=np.int64)])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        held = count >= 2
+        new = np.cumsum(held) - 1
+        keep = held[at]
+        self.names, self.row, self.at, self.dense = names[held], row[keep], new[at[keep]].astype(np.int32), dense
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row (numbered within `which`, a mask) and feature of the pairs of these rows."""
+        keep = which[self.row]
+        return (np.cumsum(which) - 1)[self.row[keep]], self.at[keep]
 
 
 class Linear:
     """Logistic regression on chosen text features (present or not) and dense columns."""
 
-    def __init__(self, rows: list[set[str]], dense: np.ndarray, y: np.ndarray) -> None:
-        self.weights: dict[str, float] = {}
+    def __init__(self, sample: Sample, dense: np.ndarray, y: np.ndarray, which: np.ndarray) -> None:
+        row, at = sample.rows(which)
+        dense, y = dense[which], y[which]
+        self.weights: dict[int, float] = {}
         self.center, self.scale = dense.mean(0), dense.std(0) + 1e-6
         base = (y.sum() + 0.5) / (len(y) + 1.0)
         self.dense, self.bias = np.zeros(dense.shape[1]), math.log(base / (1 - base))
         if not 0 < y.sum() < len(y):
             return
-        seen, pos = Counter(), Counter()
-        for r, k in zip(rows, y, strict=True):
-            seen.update(r)
-            if k:
-                pos.update(r)
         n, p = len(y), float(y.sum())
-
-        def telling(f: str) -> float:
-            a, b = pos[f], seen[f] - pos[f]
-            return abs(math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (n - p + 1))) * math.sqrt(seen[f])
-
-        names = sorted((f for f, k in seen.items() if k >= 2), key=lambda f: (-telling(f), f))[:KEPT_FEATURES]
-        at = {f: i for i, f in enumerate(names)}
-        pairs = [(i, at[f]) for i, r in enumerate(rows) for f in r if f in at]
-        ij = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        d, k = (dense - self.center) / self.scale, len(names)
+        seen = np.bincount(at, minlength=len(sample.names)).astype(float)
+        pos = np.bincount(at, weights=y[row], minlength=len(sample.names))
+        telling = np.abs(np.log((pos + 0.5) / (p + 1)) - np.log((seen - pos + 0.5) / (n - p + 1))) * np.sqrt(seen)
+        chosen = np.argsort(-telling, kind="stable")[:KEPT_FEATURES]
+        place = np.full(len(sample.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        keep = place[at] >= 0
+        row, at = row[keep], place[at[keep]]
+        d, k = (dense - self.center) / self.scale, len(chosen)
         w, u, b = np.zeros(k), np.zeros(dense.shape[1]), self.bias
         grads = [np.zeros(k), np.zeros(dense.shape[1]), 0.0]
         even = np.where(y == 1, n / (2 * p), n / (2 * (n - p)))  # both classes weigh the same
         for _ in range(150):  # AdaGrad over all rows
-            z = np.bincount(ij[:, 0], weights=w[ij[:, 1]], minlength=n) + d @ u + b
+            z = np.bincount(row, weights=w[at], minlength=n) + d @ u + b
             e = even * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            gw = np.bincount(ij[:, 1], weights=e[ij[:, 0]], minlength=k) + 1e-4 * w
+            gw = np.bincount(at, weights=e[row], minlength=k) + 1e-4 * w
             gu, gb = d.T @ e + 1e-3 * u, e.sum()
             grads = [grads[0] + gw**2, grads[1] + gu**2, grads[2] + gb**2]
             w -= 0.5 * gw / np.sqrt(grads[0] + 1e-12)
             u -= 0.2 * gu / np.sqrt(grads[1] + 1e-12)
             b -= 0.2 * gb / math.sqrt(grads[2] + 1e-12)
-        self.weights, self.dense, self.bias = {f: float(x) for f, x in zip(names, w, strict=True) if x}, u, float(b)
+        self.weights = {int(f): float(x) for f, x in zip(sample.names[chosen], w, strict=True) if x}
+        self.dense, self.bias = u, float(b)
 
     def prob(self, text_score: float, dense: np.ndarray) -> float:
         z = text_score + float(((dense - self.center) / self.scale) @ self.dense) + self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def prob_rows(self, rows: list[set[str]], dense: np.ndarray) -> np.ndarray:
-        return np.array([self.prob(sum(self.weights.get(f, 0.0) for f in r), x) for r, x in zip(rows, dense, strict=True)])
+    def prob_rows(self, sample: Sample, dense: np.ndarray, which: np.ndarray) -> np.ndarray:
+        row, at = sample.rows(which)
+        w = np.array([self.weights.get(int(f), 0.0) for f in sample.names])
+        total = np.bincount(row, weights=w[at], minlength=int(which.sum()))
+        return np.array([self.prob(float(t), x) for t, x in zip(total, dense[which], strict=True)])
 
 
-def fit_chain(rows: list[set[str]], dense: np.ndarray, labels: np.ndarray) -> list[Linear]:
+def fit_chain(rows: list[np.ndarray], dense: np.ndarray, labels: np.ndarray) -> list[Linear]:
     """One model for each column of labels; rows are in a fixed order, folds go by position."""
-    models, fold = [], np.arange(len(rows)) % FOLDS
+    models, fold, sample = [], np.arange(len(rows)) % FOLDS, Sample(rows, dense)
     for c in range(labels.shape[1]):
         y = labels[:, c]
-        models.append(Linear(rows, dense, y))
+        models.append(Linear(sample, dense, y, np.ones(len(y), dtype=bool)))
         if c + 1 < labels.shape[1]:
             early = np.zeros(len(rows))
             for k in range(FOLDS):
-                out, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-                if len(out) and len(rest):
-                    m = Linear([rows[i] for i in rest], dense[rest], y[rest])
-                    early[out] = m.prob_rows([rows[i] for i in out], dense[out])
+                out = fold == k
+                if out.any() and not out.all():
+                    early[out] = Linear(sample, dense, y, ~out).prob_rows(sample, dense, out)
             dense = np.column_stack([dense, early])
     return models
 
@@ -133,7 +151,7 @@ class Chain:
         self.models, self.words = models, {}
         self.known = {f: np.array([m.weights.get(f, 0.0) for m in models]) for m in models for f in m.weights}
 
-    def hits(self, w: str) -> tuple[str, ...]:
+    def hits(self, w: str) -> tuple[int, ...]:
         found = self.words.get(w)
         if found is None:
             if len(self.words) >= CACHED_WORDS:
@@ -161,19 +179,18 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, train_docs:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, t, *y in zip(b["doc_id"], b["text"], *[b[c] for c in cols], strict=True):
-                words, dense = _features(t)
-                yield pd.DataFrame({"doc_id": [i], "words": [sorted(words)], "dense": [dense]} | {c: [v] for c, v in zip(cols, y, strict=True)})
+            got = [_features(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": [w.tobytes() for w, _ in got], "dense": [d for _, d in got]} | {c: b[c] for c in cols})
 
     kinds = {f.name: f.dataType for f in given.schema.fields}
-    fields = [T.StructField("doc_id", kinds["doc_id"]), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("dense", T.ArrayType(T.DoubleType())), *[T.StructField(c, kinds[c]) for c in cols]]
+    fields = [T.StructField("doc_id", kinds["doc_id"]), T.StructField("words", T.BinaryType()), T.StructField("dense", T.ArrayType(T.DoubleType())), *[T.StructField(c, kinds[c]) for c in cols]]
     # once for each id, the first text of equal ids
     d = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", *cols).agg(F.min("text").alias("text"))
     got = sorted(d.select("doc_id", "text", *cols).mapInPandas(run, T.StructType(fields)).collect(), key=lambda r: r["doc_id"])
     if not got:
         return []
     y = np.array([[float(r[c] == v) for _, c, v in chain] for r in got])
-    return fit_chain([set(r["words"]) for r in got], np.array([r["dense"] for r in got]), y)
+    return fit_chain([np.frombuffer(r["words"], dtype=np.int64) for r in got], np.array([r["dense"] for r in got]), y)
 
 
 def score(df: DataFrame, models: list[Linear], chain: tuple = CHAIN, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
