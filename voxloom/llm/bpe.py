@@ -37,7 +37,7 @@ BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Where this matches, white space runs reach over a blank, and the text can't be cut at its blanks.
 RUNS = re.compile(r"  |\s (?:\s|$)")
 #: Entries kept between texts; a full cache is emptied, so memory is bounded.
-CACHED_PIECES, CACHED_PAIRS = 150_000, 400_000
+CACHED_PIECES, CACHED_PAIRS = 250_000, 400_000
 _NEVER = 1 << 40
 
 
@@ -78,7 +78,8 @@ class Codec:
         self.automaton.make_automaton()
         self.vocab, self.everywhere = vocab, regex.compile(PATTERN)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: ids, the same as text, and the bytes that they decode to
+        self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.table = {b: c for b, c in enumerate(letters)}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -134,24 +135,24 @@ class Codec:
     def pre_tokens(self, s: str) -> list[str]:
         return (self.everywhere if BEYOND_LATIN.search(s) else LATIN).findall(s)
 
-    def piece(self, s: str) -> tuple[int, ...]:
-        found = self.pieces.get(s)
-        if found is None:
-            ids: list[int] = []
-            for p in self.pre_tokens(s):
-                ids += self.last_tokens(p.encode().decode("latin-1").translate(self.table))
-            if len(s) > 64:
-                return tuple(ids)
+    def piece(self, s: str) -> tuple[tuple[int, ...], str, bytes]:
+        ids: list[int] = []
+        for p in self.pre_tokens(s):
+            ids += self.last_tokens(p.encode().decode("latin-1").translate(self.table))
+        made = tuple(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+        if len(s) <= 64:
             if len(self.pieces) >= CACHED_PIECES:
                 self.pieces.clear()
-            found = self.pieces[s] = tuple(ids)
-        return found
+            self.pieces[s] = made
+        return made
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """The text in pieces that are encoded each on its own."""
+        out: list[tuple[tuple[int, ...], str, bytes]] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append(self.special[part])
+                i = self.special[part]
+                out.append(((i,), str(i), self.bytes_of[i]))
             elif part:
                 if RUNS.search(part):
                     pieces = self.pre_tokens(part)
@@ -159,10 +160,12 @@ class Codec:
                     first, *rest = part.split(" ")
                     pieces = ([first] if first else []) + [" " + x for x in rest]
                 get, piece = self.pieces.get, self.piece
-                for p in pieces:
-                    out += get(p) or piece(p)
+                out += [get(p) or piece(p) for p in pieces]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return [i for ids, _, _ in self.encoded(text) for i in ids]
+
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
@@ -225,10 +228,11 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for b in batches:
             n, a, c = [], [], []
             for x in b[text]:
-                ids = codec.encode(x or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(repr(ids)[1:-1].replace(" ", "").encode()).hexdigest())
-                c.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                made = codec.encoded(x or "")
+                n.append(sum([len(m[0]) for m in made]))
+                a.append(hashlib.sha256(",".join([m[1] for m in made]).encode()).hexdigest())
+                back = b"".join([m[2] for m in made]).decode("utf-8", "replace")
+                c.append(hashlib.sha256(back.encode()).hexdigest())
             yield pd.DataFrame({key: b[key], "n_tokens": n, "ids_sha256": a, "decoded_sha256": c})
 
     fields = [T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
