@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stand-in for an infinite logarithm: the largest double.
@@ -27,22 +27,22 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).when(a == 0, F.lit(math.nan)).when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
 
 
-def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
-    """Ascending eigenvalues of a symmetric 3 x 3 matrix in closed form (trigonometric solution of the cubic).
-
-    A matrix without off-diagonal parts gives its diagonal as it stands."""
-    off = xy * xy + xz * xz + yz * yz
-    q = (xx + yy + zz) / 3.0
-    p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2.0 * off) / 6.0)
-    safe = F.when(p > 0, p).otherwise(F.lit(1.0))
-    a, b, c = (xx - q) / safe, (yy - q) / safe, (zz - q) / safe
-    d, e, f = xy / safe, xz / safe, yz / safe
-    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2.0
-    angle = F.acos(clip(half, -1.0, 1.0)) / 3.0
-    high = q + 2.0 * p * F.cos(angle)
-    low = q + 2.0 * p * F.cos(angle + F.lit(2.0 * math.pi / 3.0))
+def with_eigenvalues(df: DataFrame, planes: tuple[str, ...], out: tuple[str, str, str] = ("e0", "e1", "e2")) -> DataFrame:
+    """Add the ascending eigenvalues of a symmetric 3 x 3 matrix (columns xx, xy, xz, yy, yz, zz) in closed form.
+
+    The trigonometric solution of the cubic, in steps of columns so that no expression is repeated. A matrix without
+    off-diagonal parts gives its diagonal as it stands."""
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in planes)
+    q, p, off, half, high, low = (F.col(f"__{c}") for c in ("q", "p", "off", "half", "high", "low"))
+    df = df.withColumns({"__q": (xx + yy + zz) / 3.0, "__off": xy * xy + xz * xz + yz * yz})
+    df = df.withColumn("__p", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2.0 * off) / 6.0))
+    a, b, c = xx - q, yy - q, zz - q
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    df = df.withColumn("__half", F.when(p > 0, clip(det / (2.0 * F.when(p > 0, p * p * p)), -1.0, 1.0)).otherwise(0.0))
+    df = df.withColumns({"__high": q + 2.0 * p * F.cos(F.acos(half) / 3.0), "__low": q + 2.0 * p * F.cos(F.acos(half) / 3.0 + 2.0 * math.pi / 3.0)})
     plain = off == 0
-    return F.when(plain, xx).otherwise(low), F.when(plain, yy).otherwise(3.0 * q - high - low), F.when(plain, zz).otherwise(high)
+    values = (F.when(plain, xx).otherwise(low), F.when(plain, yy).otherwise(3.0 * q - high - low), F.when(plain, zz).otherwise(high))
+    return df.withColumns(dict(zip(out, values, strict=True))).drop("__q", "__off", "__p", "__half", "__high", "__low")
 
 
 def structureness(e0: Column, e1: Column, e2: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import blobness, eigenvalues, structureness
+from ..functions.numeric import blobness, structureness, with_eigenvalues
 
 HESSIAN = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -31,8 +31,7 @@ def region_features(df: DataFrame, label: str, keys: tuple[str, ...] = (), value
 
 def shape_features(df: DataFrame) -> DataFrame:
     """Structureness and blobness from the summed Hessian."""
-    e = eigenvalues(*[F.col(f"sum_{h}") for h in HESSIAN])
-    df = df.withColumns({"e0": e[0], "e1": e[1], "e2": e[2]})
+    df = with_eigenvalues(df, tuple(f"sum_{h}" for h in HESSIAN))
     return df.withColumns({"structureness": structureness(*map(F.col, ("e0", "e1", "e2"))), "blobness": blobness(*map(F.col, ("e0", "e1", "e2")))})
 
 
