@@ -66,7 +66,7 @@ def test_quality_model(spark):
     good, bad = "the cat sat on the mat and saw a dog run by", "### $$$ %%% &&& *** ||| <<< >>> ### $$$ ## %%"
     df = docs(spark, [good] * 6 + [bad] * 6)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3)] + [(8, 0, 0)], "doc_id long, quality int, toxic int")
-    model = quality_rules.fit(df, labels)
+    model = quality_rules.fit(df, labels, smooth=0.01)
     out = quality_rules.judge(df, model).orderBy("doc_id").collect()
     assert all(r.kept for r in out[:6]) and not any(r.kept for r in out[6:])
     # the score, by hand

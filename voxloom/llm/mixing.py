@@ -126,7 +126,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     small = materialize(keyed(docs).select("doc_id", "source", "size", "key"), "mix-keys")
-    return taken_of(small).select("doc_id", *OWN)
+    return taken_of(small).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def taken_of(d: DataFrame, seed: int = 7, sized: DataFrame | None = None) -> DataFrame:
@@ -138,5 +138,21 @@ def taken_of(d: DataFrame, seed: int = 7, sized: DataFrame | None = None) -> Dat
     return d.withColumn("taken", F.col("size") * (F.col("epochs") + extra)).drop("s_", "epochs", "budget", "last", "head", "key")
 
 
+_SQL = r"""
+WITH a AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, source, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+  CASE WHEN length(text) > 0 THEN round(0.1 + CAST(0.9 AS DOUBLE) * (length(text) - length(regexp_replace(text, '\pL+', '', 'g'))) / length(text), 3) ELSE 0.1 END AS w,
+  (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4503599627370496.0 AS u FROM a),
+k AS (SELECT doc_id, source, size, -ln(u) / w AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, 1.0 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM k GROUP BY source),
+o AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(3 * n) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
+c AS (SELECT *, w * (total - before) / rest >= 3 * n AS capped FROM o),
+t AS (SELECT source, n, CASE WHEN capped THEN 3.0 * n ELSE w * (total - coalesce(sum(3 * n) FILTER (WHERE capped) OVER (), 0)) / sum(w) FILTER (WHERE NOT capped) OVER () END AS target FROM c),
+g AS (SELECT source, n, CAST(target AS DOUBLE) AS target, CASE WHEN n > 0 THEN least(3, floor(target / n)) ELSE 0 END AS epochs FROM t),
+p AS (SELECT k.*, g.n, g.target, g.epochs, g.target - g.epochs * g.n AS budget,
+  coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, round(target, 6) AS target, CAST(size * (epochs + CASE WHEN before + size / 2.0 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
+
 QUERIES = {"op2_mixing": op2_mixing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_mixing": _SQL}

@@ -23,7 +23,7 @@ BUCKETS = 1 << 14
 #: Bound of the sample of trusted documents: 8 bytes an id, so at most 160 kB are broadcast.
 TRUSTED_DOCS = 20_000
 #: Mean log ratio under which a document is rejected.
-THRESHOLD = -0.11
+THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
@@ -94,6 +94,9 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", smooth: float = 1.
 
 
 def judge(df: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Add the base measures, score and verdict.
+
+    Write the result before filtering on it: a filter would be pushed below the measures and repeat them."""
     df = base_measures(df.drop(*OWN), text)
     model = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded to one constant
     pairs = F.slice(F.col("__p"), 1, F.greatest(F.size("__p") - F.lit(1), F.lit(0)))
