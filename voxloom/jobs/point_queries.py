@@ -194,7 +194,7 @@ ORACLE = {
       SELECT m, n, tm, tn, tp, fp, fn, round(prec, 9) AS prec, round(rec, 9) AS rec, round(2 * prec * rec / (prec + rec), 9) AS f_score FROM r""",
     "eva_06_sweep": _matched(40.0) + ", t AS (SELECT round(40 * i / 19, 6) AS threshold FROM (SELECT unnest(range(20)) AS i)) SELECT threshold, count(m.near_d) AS n FROM t LEFT JOIN m ON m.near_d <= t.threshold GROUP BY threshold",
     "eva_07_double_count": _matched(40.0) + ", c AS (SELECT *, count(*) OVER (PARTITION BY point_id) AS k FROM m) SELECT CASE WHEN point_id IS NULL THEN 'FP' WHEN k > 1 THEN 'DC' ELSE 'TP' END AS kind, count(*) AS n FROM c GROUP BY ALL",
-    "eva_08_splat": f"""WITH {CELLS} SELECT CAST(least(floor(lz / 5), 19) AS INTEGER) AS bz, CAST(least(floor(ly / 100), 20) AS INTEGER) AS by, CAST(least(floor(lx / 100), 24) AS INTEGER) AS bx, count(*) * 5000 AS v
+    "eva_08_splat": f"""WITH {CELLS} SELECT CAST(least(floor(lz / 5), 19) AS INTEGER) AS bz, CAST(least(floor(ly / 100), 20) AS INTEGER) AS "by", CAST(least(floor(lx / 100), 24) AS INTEGER) AS bx, count(*) * 5000 AS v
       FROM cells WHERE lz / 5 BETWEEN 0 AND 20 AND ly / 100 BETWEEN 0 AND 21 AND lx / 100 BETWEEN 0 AND 25 GROUP BY ALL""",
     "eva_09_slices": f"WITH {CELLS} SELECT lz, count(*) AS n FROM cells WHERE lz BETWEEN 37 AND 43 GROUP BY lz",
     "eva_11_histograms": f"""WITH {CELLS}, e AS (SELECT 'lx' AS axis, lx AS v FROM cells UNION ALL SELECT 'ly', ly FROM cells UNION ALL SELECT 'lz', lz FROM cells), b AS (SELECT *, min(v) OVER (PARTITION BY axis) AS lo, max(v) OVER (PARTITION BY axis) AS hi FROM e)

@@ -236,8 +236,8 @@ _CCL = f"""WITH RECURSIVE {VOX}, fg AS (SELECT z, y, x, z * 3200 + y * 64 + x AS
     JOIN fg b ON b.z = a.z + a.i AND b.y = a.y + a.j AND b.x = a.x + a.k),
   lab(id, label) USING KEY (id) AS (SELECT id, id FROM fg UNION
     (SELECT e.b, min(l.label) FROM lab l JOIN e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.label < r.label GROUP BY e.b))"""
-_BLOCK = f"""WITH {VOX}, b AS (SELECT z, CAST(floor((x - 2) / 6.0) AS INTEGER) AS bx, CAST(floor((y - 1) / 7.0) AS INTEGER) AS by, inten FROM vox WHERE x >= 2 AND y >= 1),
-  a AS (SELECT z, bx, by, CAST(sum(inten) AS BIGINT) // count(*) AS mean, max(inten) AS max, min(inten) AS min FROM b WHERE bx < 10 AND by < 7 GROUP BY ALL)"""
+_BLOCK = f"""WITH {VOX}, b AS (SELECT z, CAST(floor((x - 2) / 6.0) AS INTEGER) AS bx, CAST(floor((y - 1) / 7.0) AS INTEGER) AS "by", inten FROM vox WHERE x >= 2 AND y >= 1),
+  a AS (SELECT z, bx, "by", CAST(sum(inten) AS BIGINT) // count(*) AS mean, max(inten) AS max, min(inten) AS min FROM b WHERE bx < 10 AND "by" < 7 GROUP BY ALL)"""
 
 ORACLE = {
     "flt_01_erosion": _sep(lambda a: _frame("min", "{c}", a, _r(a))) + " SELECT z, y, x, c AS e FROM last",
@@ -261,8 +261,8 @@ ORACLE = {
     "ccl_01_components": _CCL + " SELECT z, y, x, label FROM fg JOIN lab USING (id)",
     "ccl_regions": _CCL + " SELECT label, CAST(count(*) AS INTEGER) AS size, max(v) AS max_norm, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, round(sum(v), 6) AS sum_norm FROM fg JOIN lab USING (id) GROUP BY label",
     "mrg_05_rotate_flip": f"WITH {VOX} SELECT z, 49 - (49 - y) AS rx, x AS ry, y AS qx, 63 - (63 - x) AS qy, inten FROM vox",
-    "mrg_06_block_agg": _BLOCK + " SELECT z, bx, by, mean, max, min FROM a",
-    "mrg_07_09_mosaic": _BLOCK + " SELECT z, CAST(19 - ((z % 2) * 10 + bx) AS INTEGER) AS mx, CAST((z // 2 % 2) * 7 + by AS INTEGER) AS my, CASE WHEN bx = 0 OR by = 0 THEN 5000 ELSE mean END AS mean FROM a",
+    "mrg_06_block_agg": _BLOCK + ' SELECT z, bx, "by", mean, max, min FROM a',
+    "mrg_07_09_mosaic": _BLOCK + " SELECT z, CAST(19 - ((z % 2) * 10 + bx) AS INTEGER) AS mx, CAST((z // 2 % 2) * 7 + \"by\" AS INTEGER) AS my, CASE WHEN bx = 0 OR \"by\" = 0 THEN 5000 ELSE mean END AS mean FROM a",
     "mrg_01_plan": f"""WITH {VOX}, z AS (SELECT DISTINCT CAST(z AS INTEGER) AS index FROM vox),
       p AS (SELECT 'FW' AS side, index FROM z WHERE index < 7 AND (7 - index) % 2 = 0 UNION ALL SELECT 'RV', index FROM z WHERE index >= 1 AND (index - 1) % 2 = 0)
       SELECT side, index, CAST(row_number() OVER (ORDER BY side, index) - 1 AS INTEGER) AS position FROM p""",

@@ -24,11 +24,12 @@ def nearest_within(points: DataFrame, key: str, found: DataFrame, id_: str, boun
     Ties go to the smallest id. With `apart`, a point isn't its own neighbour (key and id_ are the same ids)."""
     cube = lambda c: F.floor(F.col(c) / bound).cast("long")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    f = found.select(F.col(id_).alias("near_id"), *AXES, *[cube(a).alias(f"c{a}") for a in AXES])
+    # new columns, as points and found may be one table
+    f = found.select(F.col(id_).alias("near_id"), *[F.col(a).cast("double").alias(a) for a in AXES], *[cube(a).alias(f"c{a}") for a in AXES])
     for a in AXES:
         f = f.withColumn(f"d{a}", F.explode(near)).withColumn(f"c{a}", F.col(f"c{a}") + F.col(f"d{a}")).drop(f"d{a}")
     f = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    p = points.select(F.col(key).alias("key"), *AXES, *[cube(a).alias(f"c{a}") for a in AXES]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    p = points.select(F.col(key).alias("key"), *[F.col(a).cast("double").alias(a) for a in AXES], *[cube(a).alias(f"c{a}") for a in AXES]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     by = ["cz", "cy", "cx", "salt"]
     f = f.join(p.select(*by).distinct(), by, "left_semi")  # cubes that nobody asks from
     schema = T.StructType([T.StructField("key", points.schema[key].dataType), T.StructField("near_id", found.schema[id_].dataType), T.StructField("near_d2", T.DoubleType())])
