@@ -84,7 +84,7 @@ def test_merge_cases(spark, case):
     got, sides, strips = merge.case_of(fw, rv, first, last, other)
     assert got == number
     sl = spark.createDataFrame([(s, i) for s in ("FW", "RV") for i in range(10)], "side string, index int")
-    plan = [(r.side, r.index) for r in merge.plan_slices(sl, {"FW": 6, "RV": 2}, {"FW": 2, "RV": 3}, sides, strips, sides[0]).orderBy("position").collect()]
+    plan = [(r["side"], r["index"]) for r in merge.plan_slices(sl, {"FW": 6, "RV": 2}, {"FW": 2, "RV": 3}, sides, strips, sides[0]).orderBy("position").collect()]
     assert (sides[0], {"FW": 6, "RV": 2}[sides[0]]) in plan and (sides[1], {"FW": 6, "RV": 2}[sides[1]]) not in plan
     assert [s for s, _ in plan] == sorted((s for s, _ in plan), key=sides.index)
 

@@ -18,7 +18,7 @@ AXES = ("z", "y", "x")
 BLOCK = 1 << 20
 
 
-def nearest_within(points: DataFrame, key: str, found: DataFrame, id_: str, bound: float, inclusive: bool = False, apart: bool = False, salts: int = 8) -> DataFrame:
+def nearest_within(points: DataFrame, key: str, found: DataFrame, id_: str, bound: float, inclusive: bool = False, apart: bool = False, salts: int = 4) -> DataFrame:
     """points: key, x, y, z; found: id_, x, y, z. Result: key, near_id, near_d2, for points with a neighbour in the bound.
 
     Ties go to the smallest id. With `apart`, a point isn't its own neighbour (key and id_ are the same ids)."""
