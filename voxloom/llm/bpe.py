@@ -21,7 +21,10 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +39,10 @@ LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Where this matches, white space runs reach over a blank, and the text can't be cut at its blanks.
 RUNS = re.compile(r"  |\s (?:\s|$)")
-#: Entries kept between texts; a full cache is emptied, so memory is bounded.
-CACHED_PIECES, CACHED_PAIRS = 250_000, 400_000
+#: Entries kept between texts, so that memory is bounded: pieces, pre-tokens and pairs.
+CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 250_000, 350_000, 400_000
+#: Characters of text whose pieces are encoded together, each distinct one once.
+TOGETHER = 8_000_000
 _NEVER = 1 << 40
 
 
@@ -48,6 +53,27 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+Piece = tuple[tuple[int, ...], str, bytes]
+
+
+class Cache:
+    """Two generations: when the young one is full it becomes the old one, from which what is used again moves back."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> Piece | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: Piece) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file's content."""
 
@@ -79,7 +105,7 @@ class Codec:
         self.vocab, self.everywhere = vocab, regex.compile(PATTERN)
         self.pairs: dict[tuple[int, int], bool] = {}
         #: ids, the same as text, and the bytes that they decode to
-        self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.pieces, self.pre = Cache(CACHED_PIECES), Cache(CACHED_PRE_TOKENS)
         self.table = {b: c for b, c in enumerate(letters)}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -135,20 +161,30 @@ class Codec:
     def pre_tokens(self, s: str) -> list[str]:
         return (self.everywhere if BEYOND_LATIN.search(s) else LATIN).findall(s)
 
-    def piece(self, s: str) -> tuple[tuple[int, ...], str, bytes]:
-        ids: list[int] = []
-        for p in self.pre_tokens(s):
-            ids += self.last_tokens(p.encode().decode("latin-1").translate(self.table))
-        made = tuple(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
-        if len(s) <= 64:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[s] = made
+    def pre_token(self, p: str) -> Piece:
+        made = self.pre.get(p)
+        if made is None:
+            ids = self.last_tokens(p.encode().decode("latin-1").translate(self.table))
+            made = tuple(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+            if len(p) <= 64:
+                self.pre.put(p, made)
         return made
 
-    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+    def piece(self, s: str) -> Piece:
+        made = self.pieces.get(s)
+        if made is None:
+            each = [self.pre_token(p) for p in self.pre_tokens(s)]
+            if len(each) == 1:
+                made = each[0]
+            else:
+                made = tuple([i for m in each for i in m[0]]), ",".join([m[1] for m in each]), b"".join([m[2] for m in each])
+            if len(s) <= 64:
+                self.pieces.put(s, made)
+        return made
+
+    def encoded(self, text: str) -> list[Piece]:
         """The text in pieces that are encoded each on its own."""
-        out: list[tuple[tuple[int, ...], str, bytes]] = []
+        out: list[Piece] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 i = self.special[part]
@@ -159,10 +195,48 @@ class Codec:
                 else:  # a blank belongs to what follows it
                     first, *rest = part.split(" ")
                     pieces = ([first] if first else []) + [" " + x for x in rest]
-                get, piece = self.pieces.get, self.piece
+                get, piece = self.pieces.young.get, self.piece
                 out += [get(p) or piece(p) for p in pieces]
         return out
 
+    def summaries(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number of ids, ids as text, and decoded bytes of each text."""
+        start = size = 0
+        for k, x in enumerate(texts):
+            if size and size + len(x) > TOGETHER:
+                yield from self._together(texts[start:k])
+                start, size = k, 0
+            size += len(x)
+        if start < len(texts):
+            yield from self._together(texts[start:])
+
+    def _together(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        out: list[tuple[int, bytes, bytes]] = [(0, b"", b"")] * len(texts)
+        at_blanks = []
+        for k, x in enumerate(texts):
+            if not x or x[0] == " " or RUNS.search(x) or self.cut and self.cut.search(x):
+                made = self.encoded(x)
+                out[k] = sum(len(m[0]) for m in made), ",".join([m[1] for m in made]).encode(), b"".join([m[2] for m in made])
+            else:
+                at_blanks.append(k)
+        if not at_blanks:
+            return out
+        split = pc.split_pattern(pa.array([texts[k] for k in at_blanks], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        made = [self.piece(" " + x) for x in coded.dictionary.to_pylist()]
+        starts, which = split.offsets.to_numpy()[:-1], coded.indices.to_numpy().copy()
+        which[starts] = len(made) + np.arange(len(starts))  # a text's first piece has no blank before it
+        made += [self.piece(x) for x in pc.list_element(split, 0).to_pylist()]
+
+        def joined(column: list[bytes], glue: bytes) -> list[bytes]:
+            each = pa.array(column, pa.large_binary()).take(pa.array(which))
+            return pc.binary_join(type(split).from_arrays(split.offsets, each), pa.scalar(glue, pa.large_binary())).to_pylist()
+
+        n = np.add.reduceat(np.array([len(m[0]) for m in made])[which], starts).tolist()
+        for k, *x in zip(at_blanks, n, joined([m[1].encode() for m in made], b","), joined([m[2] for m in made], b""), strict=True):
+            out[k] = tuple(x)
+        return out
+
     def encode(self, text: str) -> list[int]:
         return [i for ids, _, _ in self.encoded(text) for i in ids]
 
@@ -227,12 +301,10 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         codec = _codec(content)
         for b in batches:
             n, a, c = [], [], []
-            for x in b[text]:
-                made = codec.encoded(x or "")
-                n.append(sum([len(m[0]) for m in made]))
-                a.append(hashlib.sha256(",".join([m[1] for m in made]).encode()).hexdigest())
-                back = b"".join([m[2] for m in made]).decode("utf-8", "replace")
-                c.append(hashlib.sha256(back.encode()).hexdigest())
+            for count, ids, back in codec.summaries([x or "" for x in b[text]]):
+                n.append(count)
+                a.append(hashlib.sha256(ids).hexdigest())
+                c.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
             yield pd.DataFrame({key: b[key], "n_tokens": n, "ids_sha256": a, "decoded_sha256": c})
 
     fields = [T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
