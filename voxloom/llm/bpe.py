@@ -39,7 +39,7 @@ LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Where this matches, white space runs reach over a blank, and the text can't be cut at its blanks.
 RUNS = re.compile(r"  |\s (?:\s|$)")
-#: Entries kept between texts, so that memory is bounded: pieces, pre-tokens and pairs.
+#: Entries kept between the texts of a task, so that memory is bounded: pieces, pre-tokens and pairs.
 CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 250_000, 350_000, 400_000
 #: Characters of text whose pieces are encoded together, each distinct one once.
 TOGETHER = 8_000_000
@@ -103,10 +103,15 @@ class Codec:
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
         self.vocab, self.everywhere = vocab, regex.compile(PATTERN)
+        self.forget()
+        self.table = {b: c for b, c in enumerate(letters)}
+
+    def forget(self) -> None:
+        """Empty the caches; idle Python workers share an executor's memory with other stages."""
         self.pairs: dict[tuple[int, int], bool] = {}
         #: ids, the same as text, and the bytes that they decode to
         self.pieces, self.pre = Cache(CACHED_PIECES), Cache(CACHED_PRE_TOKENS)
-        self.table = {b: c for b, c in enumerate(letters)}
+        pa.default_memory_pool().release_unused()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of a and b side by side are encoded as just a and b.
@@ -275,6 +280,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         codec = _codec(content)
         for b in batches:
             yield b.assign(**{out: [codec.encode(x or "") for x in b[text]]})
+        codec.forget()
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -306,6 +312,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 a.append(hashlib.sha256(ids).hexdigest())
                 c.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
             yield pd.DataFrame({key: b[key], "n_tokens": n, "ids_sha256": a, "decoded_sha256": c})
+        codec.forget()
 
     fields = [T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return df.select(key, F.col(text)).mapInPandas(run, T.StructType(fields))
