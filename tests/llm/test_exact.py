@@ -142,6 +142,18 @@ def test_bpe(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 40, 8_000_000])
+def test_bpe_batches(monkeypatch, together):
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 4)
+    monkeypatch.setattr(bpe, "CACHED_PRE_TOKENS", 4)
+    codec = bpe.Codec(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    texts = [x or "" for x in TEXTS] + [" a", "a ", "a  b", "<|endoftext|>", "a b a,b", "Ü ü\n ü", "中 文"]
+    for x, (n, ids, back) in zip(texts, codec.summaries(texts), strict=True):
+        want = codec.encode(x)
+        assert (n, ids.decode(), back.decode()) == (len(want), ",".join(map(str, want)), x)
+
+
 def test_media(spark):
     index = media.store(docs(spark, [*TEXTS, "y" * 64]))
     out = media.read_back(media.headers(index)).orderBy("doc_id").collect()
