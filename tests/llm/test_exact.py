@@ -177,6 +177,41 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+TEXT = "The article of this page, in a sentence or two, with all that it has to say about the subject."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body style="overflow:hidden"><p>{TEXT}</p></body>',
+        f'<body class="x" hidden><p>{TEXT}</p></body>',
+        f'<body><div style="overflow:hidden"><article style="overflow: hidden"><p>{TEXT}</p></article></div>',
+        f'<body><article data-role="banner" data-id="menu" data-aria-hidden=true><p>{TEXT}</p></article>',
+        f'<body><div class="content-sidebar-wrap"><p>{TEXT}</p><div class="sidebar"><p>side</p></div></div>',
+        f'<body><div class="content widget"><p>{TEXT}</p><p class=ad>buy</p></div><div class="site-footer">foot</div>',
+        f'<body><div class="widget"><main><p>{TEXT}</p></main></div><div class="related-posts">{"<p>other</p>" * 9}</div>',
+        f'<body><main><div class="content widget"><p>{TEXT}</p></div></main>',
+        f'<body><article class="post"><p>{TEXT}</p></article><section id="comments"><article class="comment-body"><p>{TEXT * 3}</p></article></section>',
+        f'<body><div class="ad">{TEXT * 3}</div><article><p>{TEXT}</p></article>',
+        f'<body><div class="content widget"><p>{TEXT}</p></div><div class="sidebar"><article>other</article></div>',
+        f'<body><div><p>{TEXT}</p></div><div id="comments"><p>{TEXT * 3}</p></div>',
+        f'<body><p>{TEXT}</p><div HIDDEN><p>{TEXT * 3}</p></div><div class="modal" title="x">{TEXT}</div><div aria-hidden="true">{TEXT}</div>',
+        f'<body><article><p>{TEXT}</p><div class="x" role="banner"><p>{TEXT}</p></div></article>',
+    ],
+)
+def test_html_noise(page):
+    assert html_extract.main_text(page) == TEXT
+
+
+def test_html_attributes():
+    words = 'class="a hidden id=x" title=\'A hidden gem\' data-role=banner HIDDEN role = "Main" id=b/c alt="cut hidden'
+    assert html_extract._attributes(words) == {"class": "a hidden id=x", "title": "a hidden gem", "data-role": "banner", "hidden": "", "role": "main", "id": "b/c", "alt": "cut hidden"}
+    page = '<body><p>Go to <a title="A hidden gem" href="x">the gem</a> now</p></body>'
+    assert html_extract.main_text(page) == "Go to the gem now"
+    names = ["sidebar", "site-footer", "cookie-notice", "ad-slot-1", "related-posts", "content-sidebar-wrap", "has-sidebar", "adaptive", "content"]
+    assert [html_extract._named(x) for x in names] == [html_extract.NAMED] * 5 + [html_extract.CLEAN] * 4
+
+
 def test_densities():
     page = html_extract.Page("<body><div><a>link link link</a></div><div>plain words here</div></body>")
     d = page.densities()

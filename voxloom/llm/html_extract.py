@@ -7,7 +7,8 @@ with the largest sum holds the article. The smallest density on the path from th
 beside the article, subtrees of the same top-level part count if they are at least as dense.
 
 Elements that are never article (menus, page headers and footers, side bars, notices, adverts, forms, scripts, styles,
-reader comments) are left out of the tree by their tag, role, class or id, before densities are computed.
+reader comments) are left out of the tree by their tag, role, class or id, before densities are computed. Class and id
+count by whole names, and yield where the element holds the page's article or most of the text around it.
 
 Defined results: null and empty pages give an empty text; broken markup (tags not closed, pages cut short) is read as
 far as it goes; white space, `br` and no-break spaces within a block become one space; pages of any length are read
@@ -37,7 +38,8 @@ MARKUP = re.compile(
     r"|<[a-z/!?][^<>]*\Z",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A name and its value: quoted (to the end, if the quote isn't closed), bare or none.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -46,34 +48,59 @@ BLOCK = frozenset(
 #: Elements that are never part of an article.
 NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu canvas object audio video label input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-#: Parts of class and id names that mark such elements.
+#: Class and id names that mark such elements; alone, together, or with the parts below before and after them.
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments commentlist cookie cookies"
     " consent gdpr notice notices popup modal share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer related newsletter subscribe"
     " subscription disqus respond replies toolbar pagination pager skip masthead topbar widget widgets".split()
 )
+NAMES_BEFORE = frozenset("site page main top bottom left right primary secondary global article post entry user reader google mobile".split())
+NAMES_AFTER = frozenset(
+    "wrap wrapper container content inner outer area box bar block panel section region list item items link links button buttons form body text icon icons"
+    " unit slot post posts article articles story stories overlay message signup title top bottom left right primary secondary main".split()
+)
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies".split())
 HEADER_NAMES = frozenset(("header", "site-header", "page-header", "top-header"))
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table div article section main body td th".split())
 
 
-def _noise(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
-    if not attrs:
-        return False
+#: How an element is marked: not at all, by a name, by a name of reader comments (these two can yield), for good.
+CLEAN, NAMED, COMMENTS, NEVER = range(4)
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by name, in lower case; of a name that is repeated, the first counts."""
+    found: dict[str, str] = {}
     for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in NOISE_ROLES:
-            return True
-        if name in ("class", "id"):
-            for word in value.split():
-                if word in HEADER_NAMES and not in_article or not NOISE_NAMES.isdisjoint(re.split(r"[^a-z]+", word)):
-                    return tag not in ("html", "body", "article", "main")
-    return False
+        found.setdefault(name.lower(), next((v for v in values if v), "").lower())
+    return found
+
+
+def _named(word: str) -> int:
+    """The mark of one whole class or id name."""
+    parts = [x for x in re.split(r"[^a-z]+", word) if x]
+    first, last = 0, len(parts)
+    while first < last and parts[first] in NAMES_BEFORE:
+        first += 1
+    while first < last and parts[last - 1] in NAMES_AFTER:
+        last -= 1
+    if first == last or not NOISE_NAMES.issuperset(parts[first:last]):
+        return CLEAN
+    return NAMED if COMMENT_NAMES.isdisjoint(parts[first:last]) else COMMENTS
+
+
+def _noise(tag: str, attrs: str, in_article: bool) -> int:
+    if tag in NOISE_TAGS or tag == "header" and not in_article:
+        return NEVER
+    if not attrs or tag in ("html", "body"):
+        return CLEAN
+    found = _attributes(attrs)
+    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in NOISE_ROLES:
+        return NEVER
+    words = [*found.get("class", "").split(), *found.get("id", "").split()]
+    return max((NAMED if w in HEADER_NAMES and not in_article else _named(w) for w in words), default=CLEAN)
 
 
 class Page:
@@ -81,7 +108,8 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.parent, self.tag = [-1], ["#root"]
-        self.texts: list[tuple[int, str] | None] = []  # None is a block border
+        self.texts: list[tuple[int, str | None]] = []  # None is a block border
+        self.marked: dict[int, int] = {}  # elements marked by a name
         self.body = 0
         stack, noisy, articles, links, at = [0], 0, 0, 0, 0
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
@@ -95,7 +123,7 @@ class Page:
             tag, attrs = tag.lower(), (m[4] if m[3] else m[7]) or ""
             if m[2] or m[5]:  # an end tag closes the nearest open element of its name
                 if tag == "p" and not noisy:
-                    self.texts.append(None)
+                    self.texts.append((stack[-1], None))
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == tag:
                         noisy, articles, links = self._pop(stack, k, noisy, articles, links)
@@ -106,7 +134,7 @@ class Page:
             if tag in VOID:
                 if not noisy:
                     if tag == "hr":
-                        self.texts.append(None)
+                        self.texts.append((stack[-1], None))
                     elif tag == "br":
                         self.texts.append((stack[-1], " "))
                     self.tags[stack[-1]] += 1
@@ -129,15 +157,19 @@ class Page:
                 self.body = node
             articles += tag == "article"
             links += tag == "a"
-            if noisy or _noise(tag, attrs, articles > (tag == "article")):
+            mark = NEVER if noisy else _noise(tag, attrs, articles > (tag == "article"))
+            if mark == NEVER:
                 noisy += 1  # all within is left out
             else:
+                if mark:
+                    self.marked[node] = mark
                 self.tags[node] += 1
                 self.link_tags[node] += tag == "a"
             if tag in BLOCK:
-                self.texts.append(None)
+                self.texts.append((0, None))
         if at < len(html) and not noisy:
             self._text(stack[-1], html[at:], links)
+        self._drop_marked()
         self._add_up()
 
     def _pop(self, stack: list[int], k: int, noisy: int, articles: int, links: int) -> tuple[int, int, int]:
@@ -146,7 +178,7 @@ class Page:
             articles -= tag == "article"
             links -= tag == "a"
             if tag in BLOCK:
-                self.texts.append(None)
+                self.texts.append((0, None))
         noisy = max(0, noisy - (len(stack) - k))
         del stack[k:]
         return noisy, articles, links
@@ -159,6 +191,43 @@ class Page:
         if links:
             self.link_chars[node] += n
 
+    def _drop_marked(self) -> None:
+        """Leave out the elements marked by a name, except those that hold the page's article or most of the text.
+
+        The article is the longest element of that tag without a mark, or else of main. An element in it yields if it
+        holds most of the article's characters. Outside, an element yields if it holds the article, and, on a page
+        that names no article or only one in a marked element, if it holds most of the page's characters. Reader
+        comments, often longer than the article, yield to characters only if they hold all of them."""
+        marks = {k: m for k, m in self.marked.items() if self.tag[k] not in ("article", "main")}
+        if not marks:
+            return
+        n = len(self.tag)
+        chars = self.chars.copy()
+        for node in range(n - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+        for tag in ("article", "main"):
+            article = max((k for k in range(n) if self.tag[k] == tag and chars[k] and k not in self.marked), key=lambda k: (chars[k], -k), default=0)
+            if article:
+                break
+        holders, k = {article}, article
+        while k:
+            k = self.parent[k]
+            holders.add(k)
+        named = article and holders.isdisjoint(marks)
+        gone, inside = [False] * n, [False] * n
+        for node in range(n):
+            above = self.parent[node] if node else 0
+            inside[node] = node == article or node > 0 and inside[above]
+            gone[node] = node > 0 and gone[above]
+            if node in marks and not gone[node] and not (article and node in holders):
+                whole = chars[article if inside[node] else 0]
+                most = chars[node] == whole if marks[node] == COMMENTS else 2 * chars[node] > whole
+                gone[node] = not most or named and not inside[node]
+            if gone[node]:
+                for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
+                    counts[node] = 0
+        self.texts = [x for x in self.texts if not gone[x[0]]]
+
     def _add_up(self) -> None:
         for node in range(len(self.tag) - 1, 0, -1):
             p = self.parent[node]
@@ -204,13 +273,13 @@ class Page:
             if above == 1 and node not in on_path and d[node] >= threshold and self.tag[node] in BLOCK:
                 state[node] = 2
         blocks, now = [], []
-        for x in [*self.texts, None]:
-            if x is None:
-                if now and (s := " ".join("".join(now).split())):
-                    blocks.append(s)
+        for node, s in [*self.texts, (0, None)]:
+            if s is None:
+                if now and (joined := " ".join("".join(now).split())):
+                    blocks.append(joined)
                 now = []
-            elif state[x[0]] == 2:
-                now.append(x[1])
+            elif state[node] == 2:
+                now.append(s)
         return "\n".join(blocks)
 
 
