@@ -66,6 +66,17 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_without_id_first(spark):
+    """A row without an id stands for no others: its copies keep their links to near copies."""
+    text, low = " ".join(f"w{i}" for i in range(60)), (1 << 53) + 1
+    near = text.replace("w59", "other")
+    rows = [(None, text), (low, text), (low + 2, text), (low + 4, near)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+        assert got == {None: None, low: low, low + 2: low, low + 4: low}
+
+
 def test_parts_lose_no_link():
     rng, bands = np.random.default_rng(1), jaccard_join.Bands(85)
     for _ in range(400):

@@ -110,8 +110,9 @@ class Bands:
 
 
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_grams, h1 and h2 (hash of the set), parts (null for a set that the task has met before)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_grams", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))])
+    """doc_id, n_grams, h1 and h2 (hash of the set), parts (null without an id, and for a set that the task has met with an id)."""
+    key = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", key), T.StructField("known", T.BooleanType()), T.StructField("n_grams", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -119,17 +120,20 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
         bands, met = Bands(percent), set()
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
+            for i, known, t in zip(b["doc_id"], b["known"], b["text"], strict=True):
                 g = grams(t, n)
                 key = xxh3_128_digest(g.tobytes())
                 h1, h2 = np.frombuffer(key, dtype=np.int64)
-                new = len(g) > 0 and key not in met
+                new = known and len(g) > 0 and key not in met
                 if new:
                     met.add(key)
-                rows.append((i, len(g), h1, h2, bands.names(g).view(np.int64) if new else None))
+                rows.append((i, known, len(g), h1, h2, bands.names(g).view(np.int64) if new else None))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # pandas would turn whole numbers with nulls among them into floats
+    id_, known = F.col("doc_id"), F.col("doc_id").isNotNull()
+    out = docs.select(F.coalesce(id_, F.lit(0).cast(key)).alias("doc_id"), known.alias("known"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.when(F.col("known"), id_)).drop("known")
 
 
 def _payloads(docs: DataFrame, groups: DataFrame, n: int, kind: str) -> DataFrame:
