@@ -32,12 +32,31 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays, one without an id if none has one.
+
+    Rows are judged by their own texts: of rows with equal id and text one stays, texts without words included; rows of
+    one id with different texts stay or go on their own. Rows without an id and without words are all kept."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return _drop_by_row(docs)
     groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
     return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _drop_by_row(docs: DataFrame) -> DataFrame:
+    """The stage above where ids are missing or repeated: each row gets a key of its own."""
+    keyed = docs.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "pipeline-keyed")
+    groups = jaccard_join.jaccard_components(keyed.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
+    order = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.xxhash64(*keyed.drop("doc_id").columns).alias("row"), F.col("doc_id").alias("doc_id"))
+    rows = groups.join(keyed.select("doc_id", "__id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), order.alias("order")), "doc_id")
+    linked, no_words = F.col("n_grams") > 0, F.col("n_grams") == 0
+    by = [F.when(linked, F.col("component_id")), F.when(no_words, F.col("__id")), F.when(no_words, F.col("digest")), F.when(no_words & F.col("__id").isNull(), F.col("doc_id"))]
+    stay = rows.groupBy(*[c.alias(f"by{i}") for i, c in enumerate(by)]).agg(F.min("order").alias("first")).select("first.doc_id")
+    out = keyed.join(small_side(materialize(stay, "pipeline-stay")), "doc_id", "left_semi")
+    return out.drop("doc_id").withColumnRenamed("__id", "doc_id").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes k times comes k times."""
     out = mixing.mix(docs)

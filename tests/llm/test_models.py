@@ -177,3 +177,15 @@ def test_pipeline(spark, tmp_path):
         elif name == "jaccard_join":
             assert ids == {i for i in kept if i < 200 and i % 6}
     assert cp.STAGES[4][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each group stays where ids are missing or repeated."""
+    import corpus_pipeline as cp
+
+    base, solo, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "bst")
+    rows = [(None, base), (5, base), (5, base), (6, base + " more"), (None, solo), (None, solo), (7, third), (7, base + " x"), (8, ""), (8, ""), (None, ""), (None, "")]
+    want = [(5, base), (7, third), (8, ""), (None, ""), (None, ""), (None, solo)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    out = cp.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
