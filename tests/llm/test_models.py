@@ -102,6 +102,24 @@ def test_bits_bound_overlaps():
                 assert (i, j) in got
 
 
+@pytest.mark.parametrize("percent", [10, 30, 45, 80])
+def test_bits_of_unequal_sizes(percent):
+    """Sets that hold one another, as far apart in size as links allow."""
+    rng = np.random.default_rng(3)
+    for s in (17, 33, 63, 64, 65, 129, 1000):
+        large = np.unique(rng.integers(0, 1 << 60, 100 * s // percent).astype(np.uint64))
+        sets = [large[:s], large]
+        bits, size = [jaccard_join.bitmap(x) for x in sets], np.array([s, len(large)])
+        assert [(i, js) for i, js in jaccard_join.bounded(size, bits, np.zeros(2, dtype=int), percent)] == [(0, [1])]
+        assert len(jaccard_join.links([1, 2], sets, np.zeros(2, dtype=int), percent)) == 1
+
+
+def test_percent_is_checked(spark):
+    for percent in (0, 100):
+        with pytest.raises(ValueError):
+            jaccard_join.jaccard_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=percent)
+
+
 EN, DE = [f"th{a}{b}" for a in "aeiou" for b in ("ing", "er", "ed", "ly")], [f"sch{a}{b}" for a in "aeiou" for b in ("ung", "keit", "lich", "ße")]
 
 

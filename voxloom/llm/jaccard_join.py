@@ -215,13 +215,17 @@ class Forest:
 def bounded(size: np.ndarray, bits: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, list[int]]]:
     """For each set, in order of size, the larger ones that sizes and counted bits don't rule out.
 
-    A bit that differs costs an n-gram that isn't shared, so the overlap is at most half of what both sizes leave."""
+    A bit that differs costs an n-gram that isn't shared, so the overlap is at most half of what both sizes leave.
+    Wider bitmaps are folded to the smaller set's width, over as many halvings as linked sizes can be apart."""
     two = bool(side.any()) and not bool(side.all())
     stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     lengths = np.array([len(b) for b in bits])
+    most_times = 1  # a bitmap is two to four times as wide as its set is large, so linked ones are under 200 / percent apart
+    while 2 * most_times * percent < 200:
+        most_times *= 2
     for w in sorted(set(lengths.tolist())):
-        rows = np.flatnonzero((lengths == w) | (lengths == 2 * w))
-        stacked[w] = rows, np.stack([b if len(b) == w else b[:w] | b[w:] for b in (bits[r] for r in rows)])
+        rows = np.flatnonzero((lengths >= w) & (lengths <= most_times * w))
+        stacked[w] = rows, np.stack([np.bitwise_or.reduce(b.reshape(-1, w)) for b in (bits[r] for r in rows)])
     for i in range(len(bits) - 1):
         end = int(np.searchsorted(size, 100 * size[i] // percent, side="right"))
         rows, m = stacked[len(bits[i])]
@@ -263,8 +267,11 @@ def links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent: int) ->
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """docs: doc_id, text. Result: doc_id, n_grams, component_id (smallest id that links reach)."""
-    spark = docs.sparkSession
+    """docs: doc_id, text. Result: doc_id, n_grams, component_id (smallest id that links reach).
+
+    percent: from 1 to 99."""
+    if not 1 <= percent <= 99:
+        raise ValueError(f"percent from 1 to 99, not {percent}")
     d = materialize(_described(docs, n, percent), "jaccard-sets")
     classes = materialize(d.where("n_grams > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
     # ties: each part's name to the smallest document that has it, each document to its class
