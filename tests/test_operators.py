@@ -96,6 +96,23 @@ def test_merge_without_a_way():
         merge.case_of(1, 1, 5, 9, 5)
 
 
+def test_merge_bounds():
+    inf = float("inf")
+    assert merge.z_bounds(("FW", "RV"), {"FW": 3.0, "RV": 5.0}, False) == {"FW": (-inf, 3.0), "RV": (5.0, inf)}
+    assert merge.z_bounds(("RV", "FW"), {"FW": 3.0, "RV": 5.0}, False) == {"RV": (-inf, 5.0), "FW": (3.0, inf)}
+    assert merge.z_bounds(("FW", "RV"), {}, True) == {"FW": (-inf, inf), "RV": (-inf, inf)}
+
+
+def test_downscale():
+    x, y, m = 10 / 102, 8 / 81, (10, 5, 8, 4)
+    d = merge.downscale(-1.0, 5.0, 10.0, 120, 90, m)
+    assert (d.sampled, d.actual, d.skip_z, d.margins) == ((10, 8), (x, y), 2, (10 * x, 5 * y, 8 * x, 4 * y))
+    assert merge.downscale(1.0, 5.0, 10.0, 120, 90, m, merge.FLIP_X, merge.FLIP_Y).margins == (8 * x, 4 * y, 10 * x, 5 * y)
+    d = merge.downscale(1.0, 5.0, 10.0, 120, 90, m, merge.ROTATE_CCW)
+    assert (d.sampled, d.actual, d.margins) == ((8, 10), (y, x), (5 * x, 8 * y, 4 * x, 10 * y))
+    assert merge.downscale(1.0, 5.0, 10.0, 120, 90, m, merge.ROTATE_CW).margins == (4 * x, 10 * y, 5 * x, 8 * y)
+
+
 def test_substacks_need_room(spark):
     with pytest.raises(ValueError):
         partition.substacks(spark.range(3).withColumnRenamed("id", "z"), "z", F.lit(3), 16, 8)
