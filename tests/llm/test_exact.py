@@ -1,8 +1,11 @@
 """Operators with exact results: URL rules, mixing, quality measures, chat pairs, BPE, media, HTML."""
 
 import hashlib
+import math
+import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter
 
@@ -212,6 +215,76 @@ def test_html_attributes():
     assert [html_extract._named(x) for x in names] == [html_extract.NAMED] * 5 + [html_extract.CLEAN] * 4
 
 
+@pytest.mark.parametrize("lead", ['<div class="post social-history">', '<div class="skip-ahead">', '<div class="share-price widget-free">', '<section class="related-work">'])
+def test_html_names_in_words(lead):
+    end = "</" + lead[1:].split(" ")[0].split(">")[0] + ">"
+    assert html_extract.main_text(f"<body>{lead}<p>{TEXT}</p><p>{TEXT}</p>{end}<p>short</p>").startswith(f"{TEXT}\n{TEXT}")
+
+
+def test_html_label_and_sections():
+    page = f"<body><nav><a href=x>menu</a></nav><div><h1>Head</h1><section><h2>One</h2><p>{TEXT}</p><p>{TEXT}</p></section><section><h2>Two</h2><p><label>Figure 1</label> shows it.</p></section></div><footer>f</footer>"
+    assert html_extract.main_text(page) == f"Head\nOne\n{TEXT}\n{TEXT}\nTwo\nFigure 1 shows it."
+
+
+def test_html_density_decides():
+    """A named article that is a list of links yields to the dense text beside it."""
+    listed = "".join(f"<li><a href=x>{i} teaser</a></li>" for i in range(30))
+    page = f"<body><div><article><ul>{listed}</ul></article></div><div>{f'<p>{TEXT}</p>' * 6}</div>"
+    assert html_extract.main_text(page) == "\n".join([TEXT] * 6)
+
+
+def random_tree(rng, depth=0):
+    kids = [random_tree(rng, depth + 1) for _ in range(rng.randint(0, 3))] if depth < 4 else []
+    return rng.choice(["div", "p" if not kids else "section", "b", "a"]), " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 12))), kids
+
+
+def shown(t):
+    tag, text, kids = t
+    return f"<{tag}>{text}{''.join(map(shown, kids))}</{tag}>"
+
+
+def test_densities_by_hand():
+    rng = random.Random(4)
+    for _ in range(60):
+        # an inline element around a block is legal here: every start tag has its end tag
+        tree = ("body", "", [random_tree(rng) for _ in range(4)])
+        page = html_extract.Page(shown(tree))
+        nodes = []  # chars, tags, link chars, link tags, children
+
+        def count(t, link):
+            at = len(nodes)
+            nodes.append(None)
+            tag, text, kids = t
+            link = link or tag == "a"
+            below = [count(k, link) for k in kids]
+            c = len(text.replace(" ", ""))
+            own = [c, 1, c if link else 0, int(tag == "a")]
+            nodes[at] = [x + sum(nodes[k][i] for k in below) for i, x in enumerate(own)] + [below]
+            return at
+
+        count(tree, False)
+        C, _, L, _, _ = nodes[0]
+        want = []
+        for c, t, lc, lt, _ in nodes:
+            base = math.log(c / max(1, c - lc) * lc + L / max(1, C) * c + math.e)
+            want.append(0.0 if not c else c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt)) / (math.log(base) if base > 1.0000001 else 1e-7)))
+        d = page.densities()
+        assert page.tag[1] == "body" and d[1:] == pytest.approx(want)
+        assert page.sums(d)[1:] == pytest.approx([sum(want[k] for k in x[4]) for x in nodes])
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<span>" * 20_000 + "</b>" * 3_000, "<b><div>" + "<span>" * 20_000 + "</b>" * 3_000, "<span>" * 20_000 + "<h1></h1>" * 5_000, "<script" * 100_000, "<!" * 300_000, "<" * 500_000, '<a b="x>' * 100_000, "<div>" * 100_000])
+def test_html_time_is_linear(page):
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 5
+
+
+def test_tags():
+    page = """a<b title=">" x>c</B ><!-- <i> --><script>"<u>"</script >< 3 <3 <?x?><p a='"'>d<q "z>e</p><w"""
+    assert [(t, c, a.strip()) for _, _, t, c, a in html_extract.tags(page) if t] == [("b", False, 'title=">" x'), ("b", True, ""), ("p", False, "a='\"'"), ("q", False, '"z'), ("p", True, "")]
+
+
 def test_densities():
     page = html_extract.Page("<body><div><a>link link link</a></div><div>plain words here</div></body>")
     d = page.densities()

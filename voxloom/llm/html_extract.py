@@ -2,17 +2,22 @@
 
 A page becomes a tree of its elements. For every node the characters, tags, link characters and link tags below it are
 counted, and its composite text density is computed: characters per tag, with a logarithm whose argument falls and
-whose base grows with the share of link text. The density sum of a node adds up its children's densities; the node
-with the largest sum holds the article. The smallest density on the path from there to the body is the threshold:
-beside the article, subtrees of the same top-level part count if they are at least as dense.
+whose base grows with the share of link text. The density sum of a node adds up the densities of its children; the
+node with the largest sum is the densest. The smallest density on its path to the body is the threshold.
+
+The article is the subtree of the highest node on that path up to which no density falls under `HELD` of the densest
+node's (a heading or a short section doesn't split an article, boilerplate beside it does). Elsewhere in the body,
+subtrees next to the path count if they are at least as dense as the threshold and aren't mostly links.
 
 Elements that are never article (menus, page headers and footers, side bars, notices, adverts, forms, scripts, styles,
-reader comments) are left out of the tree by their tag, role, class or id, before densities are computed. Class and id
-count by whole names, and yield where the element holds the page's article or most of the text around it.
+reader comments) add to the counts of what is above them, but are no part of sums and results. They are known by tag,
+role, class or id. Class and id count by whole names, and yield where the element holds the page's article or most of
+the text around it.
 
 Defined results: null and empty pages give an empty text; broken markup (tags not closed, pages cut short) is read as
-far as it goes; white space, `br` and no-break spaces within a block become one space; pages of any length are read
-whole; equal pages give equal texts; other columns pass through.
+far as it goes, in time that grows with the page's length; white space, `br` and no-break spaces within a block become
+one space; pages of any length are read whole, one at a time; ties of sums go to the node that begins first; equal
+pages give equal texts, repeated rows repeat; an empty table gives no rows; other columns pass through `extract`.
 """
 
 from __future__ import annotations
@@ -29,24 +34,25 @@ from pyspark.sql import types as T
 
 from .common import table
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|iframe|template|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-z/!?][^<>]*\Z",
-    re.I | re.S,
-)
+#: What may begin at a `<`: a comment, a tag, or a declaration.
+MARKUP = re.compile(r"<(?:(!--)|(/?)([a-z][a-z0-9:-]*)|[!?/])", re.I)
+#: The rest of a tag; a quoted value may hold `>`.
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Elements whose content is no markup, and which are left out.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style title textarea noscript iframe template svg xmp".split()}
+#: Characters, as a multiple of the page's, that tags with open quotes may cost; beyond, a tag ends at the next `>`.
+OPEN_QUOTES = 4
+#: Share of the densest node's density that nodes above it must have to be taken whole.
+HELD = 0.5
 #: A name and its value: quoted (to the end, if the quote isn't closed), bare or none.
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never part of an article.
-NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu canvas object audio video label input".split())
+NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu canvas object audio video input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: Class and id names that mark such elements; alone, together, or with the parts below before and after them.
 NOISE_NAMES = frozenset(
@@ -103,92 +109,150 @@ def _noise(tag: str, attrs: str, in_article: bool) -> int:
     return max((NAMED if w in HEADER_NAMES and not in_article else _named(w) for w in words), default=CLEAN)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start and end of each piece of markup; its tag in lower case (empty if it's none), whether it closes, attributes."""
+    n, last, spent, at = len(html), html.rfind(">"), 0, html.find("<")
+    while at >= 0:
+        m, end, tag, closes, attrs = MARKUP.match(html, at), at + 1, "", False, ""
+        if m is None:
+            at = html.find("<", end)
+            continue
+        if m[1]:
+            end = html.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif at > last:  # a tag that the page's end cuts
+            if html.find("<", end) >= 0:
+                at = html.find("<", end)
+                continue
+            end = n
+        elif m[3] and not m[2] and m[3].lower() in RAW:
+            close = RAW[m[3].lower()].search(html, html.find(">", at))
+            end = close.end() if close else n
+        elif m[3]:
+            tag, closes = m[3].lower(), bool(m[2])
+            whole = QUOTED.match(html, m.end()) if spent <= OPEN_QUOTES * n else None
+            if whole is None:
+                spent += n - at
+            end = whole.end() if whole else html.find(">", at) + 1
+            attrs = html[m.end() : end - 1]
+        else:
+            end = html.find(">", at) + 1
+        yield at, end, tag, closes, attrs
+        at = html.find("<", end)
+
+
+class _Open:
+    """The open elements, with the places of each tag on the stack, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.of, self.blocks, self.holders = [0], ["#root"], {}, [], []
+
+    def push(self, node: int, tag: str) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.of.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in HOLDERS:
+            self.holders.append(k)
+
+    def last(self, tag: str) -> int:
+        found = self.of.get(tag)
+        return found[-1] if found else 0
+
+    def pop(self) -> tuple[int, str]:
+        tag = self.tags.pop()
+        self.of[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        if tag in HOLDERS:
+            self.holders.pop()
+        return self.nodes.pop(), tag
+
+
 class Page:
     """The tree of a page: arrays over nodes, parents before children; texts and block borders in page order."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag = [-1], ["#root"]
+        self.parent, self.tag, self.gone = [-1], ["#root"], [False]
         self.texts: list[tuple[int, str | None]] = []  # None is a block border
         self.marked: dict[int, int] = {}  # elements marked by a name
         self.body = 0
-        stack, noisy, articles, links, at = [0], 0, 0, 0, 0
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
-        for m in MARKUP.finditer(html):
-            if m.start() > at and not noisy:
-                self._text(stack[-1], html[at : m.start()], links)
-            at = m.end()
-            tag = m[3] or m[6]
-            if not tag:
-                continue
-            tag, attrs = tag.lower(), (m[4] if m[3] else m[7]) or ""
-            if m[2] or m[5]:  # an end tag closes the nearest open element of its name
-                if tag == "p" and not noisy:
-                    self.texts.append((stack[-1], None))
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        noisy, articles, links = self._pop(stack, k, noisy, articles, links)
-                        break
-                    if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
-                        break
-                continue
-            if tag in VOID:
-                if not noisy:
-                    if tag == "hr":
-                        self.texts.append((stack[-1], None))
-                    elif tag == "br":
-                        self.texts.append((stack[-1], " "))
-                    self.tags[stack[-1]] += 1
-                continue
-            ends = ENDS.get(tag) or ({"p"} if tag in BLOCK else None)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in ends:
-                        noisy, articles, links = self._pop(stack, k, noisy, articles, links)
-                        break
-                    if self.tag[stack[k]] in HOLDERS:
-                        break
-            node = len(self.tag)
-            self.parent.append(stack[-1])
-            self.tag.append(tag)
-            for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
-                counts.append(0)
-            stack.append(node)
-            if tag == "body" and not self.body:
-                self.body = node
-            articles += tag == "article"
-            links += tag == "a"
-            mark = NEVER if noisy else _noise(tag, attrs, articles > (tag == "article"))
-            if mark == NEVER:
-                noisy += 1  # all within is left out
-            else:
-                if mark:
-                    self.marked[node] = mark
-                self.tags[node] += 1
-                self.link_tags[node] += tag == "a"
-            if tag in BLOCK:
-                self.texts.append((0, None))
-        if at < len(html) and not noisy:
-            self._text(stack[-1], html[at:], links)
+        self.open, self.noisy, self.articles, self.links, at = _Open(), 0, 0, 0, 0
+        for start, end, tag, closes, attrs in tags(html):
+            if start > at:
+                self._text(html[at:start])
+            at = end
+            if tag and closes:
+                self._end(tag)
+            elif tag in VOID:
+                self._void(tag)
+            elif tag:
+                self._start(tag, attrs)
+        if at < len(html):
+            self._text(html[at:])
         self._drop_marked()
         self._add_up()
 
-    def _pop(self, stack: list[int], k: int, noisy: int, articles: int, links: int) -> tuple[int, int, int]:
-        for node in stack[k:]:
-            tag = self.tag[node]
-            articles -= tag == "article"
-            links -= tag == "a"
+    def _end(self, tag: str) -> None:
+        """An end tag closes the nearest open element of its name; one of an inline element doesn't reach out of a block."""
+        if tag == "p" and not self.noisy:
+            self.texts.append((self.open.nodes[-1], None))
+        k = self.open.last(tag)
+        if k and (tag in BLOCK or not self.open.blocks or self.open.blocks[-1] < k):
+            self._pop(k)
+
+    def _void(self, tag: str) -> None:
+        node = self.open.nodes[-1]
+        if not self.noisy and tag in ("hr", "br"):
+            self.texts.append((node, None if tag == "hr" else " "))
+        self.tags[node] += 1
+
+    def _start(self, tag: str, attrs: str) -> None:
+        ends = ENDS.get(tag) or ({"p"} if tag in BLOCK else ())
+        k = max((self.open.last(t) for t in ends), default=0)
+        holders = [h for h in self.open.holders[-1:] if self.open.tags[h] not in ends]
+        if k and (not holders or holders[0] < k):
+            self._pop(k)
+        node = len(self.tag)
+        self.parent.append(self.open.nodes[-1])
+        self.tag.append(tag)
+        self.open.push(node, tag)
+        if tag == "body" and not self.body:
+            self.body = node
+        self.articles += tag == "article"
+        self.links += tag == "a"
+        mark = NEVER if self.noisy else _noise(tag, attrs, self.articles > (tag == "article"))
+        if mark == NEVER:
+            self.noisy += 1  # all within is left out
+        elif mark:
+            self.marked[node] = mark
+        self.gone.append(mark == NEVER)
+        self.chars.append(0)
+        self.link_chars.append(0)
+        self.tags.append(1)
+        self.link_tags.append(int(tag == "a"))
+        if tag in BLOCK:
+            self.texts.append((0, None))
+
+    def _pop(self, k: int) -> None:
+        self.noisy = max(0, self.noisy - (len(self.open.nodes) - k))
+        while len(self.open.nodes) > k:
+            _, tag = self.open.pop()
+            self.articles -= tag == "article"
+            self.links -= tag == "a"
             if tag in BLOCK:
                 self.texts.append((0, None))
-        noisy = max(0, noisy - (len(stack) - k))
-        del stack[k:]
-        return noisy, articles, links
 
-    def _text(self, node: int, raw: str, links: int) -> None:
-        s = unescape(raw) if "&" in raw else raw
-        self.texts.append((node, s))
+    def _text(self, raw: str) -> None:
+        s, node = unescape(raw) if "&" in raw else raw, self.open.nodes[-1]
+        if not self.noisy:
+            self.texts.append((node, s))
         n = sum(map(len, s.split()))
         self.chars[node] += n
-        if links:
+        if self.links:
             self.link_chars[node] += n
 
     def _drop_marked(self) -> None:
@@ -202,7 +266,7 @@ class Page:
         if not marks:
             return
         n = len(self.tag)
-        chars = self.chars.copy()
+        chars = [0 if out else c for c, out in zip(self.chars, self.gone, strict=True)]
         for node in range(n - 1, 0, -1):
             chars[self.parent[node]] += chars[node]
         for tag in ("article", "main"):
@@ -214,18 +278,15 @@ class Page:
             k = self.parent[k]
             holders.add(k)
         named = article and holders.isdisjoint(marks)
-        gone, inside = [False] * n, [False] * n
+        gone, inside = self.gone, [False] * n
         for node in range(n):
             above = self.parent[node] if node else 0
             inside[node] = node == article or node > 0 and inside[above]
-            gone[node] = node > 0 and gone[above]
+            gone[node] = gone[node] or node > 0 and gone[above]
             if node in marks and not gone[node] and not (article and node in holders):
                 whole = chars[article if inside[node] else 0]
                 most = chars[node] == whole if marks[node] == COMMENTS else 2 * chars[node] > whole
                 gone[node] = not most or named and not inside[node]
-            if gone[node]:
-                for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
-                    counts[node] = 0
         self.texts = [x for x in self.texts if not gone[x[0]]]
 
     def _add_up(self) -> None:
@@ -248,29 +309,41 @@ class Page:
             out.append(c / t * max(0.0, spread))
         return out
 
+    def sums(self, d: list[float]) -> list[float]:
+        """Density sum of every node: the densities of its children, without those left out."""
+        total = [0.0] * len(d)
+        for node in range(1, len(d)):
+            if not self.gone[node]:
+                total[self.parent[node]] += d[node]
+        return total
+
     def article(self) -> str:
         n, d = len(self.tag), self.densities()
-        total = [0.0] * n
-        holder, inside = [0] * n, [False] * n  # nearest block-level node; inline elements are part of it
+        total = self.sums(d)
+        inside = [False] * n
         for node in range(n):
-            block = node == 0 or self.tag[node] in BLOCK
-            holder[node] = node if block else holder[self.parent[node]]
-            inside[node] = block and (node == self.body or node > 0 and inside[holder[self.parent[node]]])
-            if node and block:
-                total[holder[self.parent[node]]] += d[node]
+            inside[node] = not self.gone[node] and (node == self.body or node > 0 and inside[self.parent[node]])
         best = max((i for i in range(n) if inside[i]), key=lambda i: (total[i] or d[i] / 2, -i), default=0)
         path = [best]
         while path[-1] not in (self.body, 0):
             path.append(self.parent[path[-1]])
-        threshold, top = min(d[i] for i in path), path[-2] if len(path) > 1 else path[0]
-        best = next((i for i in path if self.tag[i] in ("article", "main")), best)  # the page names its article
-        on_path = set(path)
-        # 2: kept; 1: in the same part of the page, to be judged by its own density; 0: not
+        threshold, whole = min(d[i] for i in path), best
+        for i in path[1:]:
+            if d[i] < HELD * d[best]:
+                break
+            whole = i
+        above, on_path = set(path[path.index(whole) + 1 :]), set(path)
+        # 2: kept; 1: on the path above the article; 0: not
         state = [0] * n
         for node in range(n):
-            above = state[self.parent[node]] if node else 0
-            state[node] = 2 if node == best or above == 2 else 1 if node == top or above == 1 else 0
-            if above == 1 and node not in on_path and d[node] >= threshold and self.tag[node] in BLOCK:
+            if self.gone[node] or node in self.marked and node not in on_path:
+                continue  # what a name marks is kept only around the densest node
+            over = state[self.parent[node]] if node else 0
+            if node == whole or over == 2:
+                state[node] = 2
+            elif node in above:
+                state[node] = 1
+            elif over == 1 and d[node] >= threshold and 2 * self.link_chars[node] < self.chars[node]:
                 state[node] = 2
         blocks, now = [], []
         for node, s in [*self.texts, (0, None)]:
