@@ -94,7 +94,7 @@ def test_bits_bound_overlaps():
     sets = [np.unique(rng.integers(0, 400, 150).astype(np.uint64)) for _ in range(40)]
     size = np.array(sorted(map(len, sets)))
     sets.sort(key=len)
-    got = {(i, j) for i, js in jaccard_join.bounded(size, [jaccard_join.bitmap(s) for s in sets], np.zeros(40, dtype=int), 30) for j in js}
+    got = {(i, j) for i, js in jaccard_join.bounded(size, [jaccard_join.bitmap(s) for s in sets], np.arange(40), 30) for j in js}
     for i in range(40):
         for j in range(i + 1, 40):
             k = len(np.intersect1d(sets[i], sets[j]))
@@ -110,8 +110,9 @@ def test_bits_of_unequal_sizes(percent):
         large = np.unique(rng.integers(0, 1 << 60, 100 * s // percent).astype(np.uint64))
         sets = [large[:s], large]
         bits, size = [jaccard_join.bitmap(x) for x in sets], np.array([s, len(large)])
-        assert [(i, js) for i, js in jaccard_join.bounded(size, bits, np.zeros(2, dtype=int), percent)] == [(0, [1])]
-        assert len(jaccard_join.links([1, 2], sets, np.zeros(2, dtype=int), percent)) == 1
+        assert [(i, js) for i, js in jaccard_join.bounded(size, bits, np.arange(2), percent)] == [(0, [1])]
+        assert jaccard_join.links(np.array([7, 5]), sets, percent) == [(5, 7)] or jaccard_join.links(np.array([7, 5]), sets, percent) == [(7, 5)]
+        assert jaccard_join.possible_groups(size, bits, np.arange(2), percent) and not jaccard_join.links(np.array([7, 7]), sets, percent)
 
 
 def test_percent_is_checked(spark):

@@ -57,6 +57,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """The written tables of one run of an operator; those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *written: DataFrame) -> None:
+        for df in written:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """At the end of a Python task: return freed memory to the system, as an idle worker shares its executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Rows (of an id or two) up to which a side of a join is broadcast, some 32 MB.
 SMALL_ROWS = 1_000_000
 

@@ -20,7 +20,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        near = materialize(near, f"{name}-near")
         lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next")), f"{name}-next")
         up = lower.select(F.col("node").alias("at"), F.col("next").alias("further"))
         new = materialize(lower.join(up, lower["next"] == up["at"]).select("node", F.col("label").alias("old"), F.col("further").alias("label")), f"{name}-labels")
