@@ -132,3 +132,43 @@ def test_nearest(spark):
 def test_candidates_keep_nan(spark):
     df = spark.createDataFrame([(10.0, 50.0, 50.0, 20, float("nan")), (10.0, 50.0, 50.0, 20, 0.0), (float("nan"), 50.0, 50.0, 20, 1.0), (2.0, 50.0, 50.0, 20, 1.0)], "z double, y double, x double, size int, intensity double")
     assert cells.candidate(df, "z", "y", "x", depth=F.lit(32), margin=8, left=1, top=1, right=1, bottom=1, width=99, height=99, min_size=10).count() == 2
+
+
+@pytest.mark.parametrize("tiles", [(20_000, 50_000), (50, 30)])
+@pytest.mark.parametrize("apart", [False, True])
+def test_nearest_in_one_cube(spark, monkeypatch, tiles, apart):
+    """All points in one cube, with many ties; whole or dealt to small tiles."""
+    monkeypatch.setattr(nearest, "ASKED", tiles[0])
+    monkeypatch.setattr(nearest, "FOUND", tiles[1])
+    rng = np.random.default_rng(6)
+    q = rng.integers(0, 9, (400, 3)).astype(float)
+    t = q if apart else rng.integers(0, 9, (300, 3)).astype(float)
+    frame = lambda v: spark.createDataFrame(pd.DataFrame(v, columns=["z", "y", "x"]).assign(id=range(len(v))))
+    nan = spark.createDataFrame([(None, 1.0, 1.0, 9000), (float("nan"), 1.0, 1.0, 9001)], "z double, y double, x double, id long")
+    got = {r.key: (r.near_id, r.near_d2) for r in nearest.nearest_within(frame(t).unionByName(nan), "id", frame(q).unionByName(nan), "id", 100.0, apart=apart).collect()}
+    d = ((t[:, None] - q[None]) ** 2).sum(2)
+    if apart:
+        np.fill_diagonal(d, np.inf)
+    assert got == {i: (int(d[i].argmin()), d[i].min()) for i in range(len(t))}
+    assert nearest.nearest_within(frame(t).limit(0), "id", frame(q), "id", 1.0).count() == 0 and nearest.nearest_within(frame(t), "id", frame(q).limit(0), "id", 1.0).count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_nearest_at_the_bound(spark, inclusive):
+    a = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 50.0, 0.0, 0.0)], "id long, z double, y double, x double")
+    b = spark.createDataFrame([(7, 3.0, 4.0, 0.0), (8, 0.0, 0.0, -5.0), (9, 56.0, 0.0, 0.0)], "id long, z double, y double, x double")
+    got = [(r.key, r.near_id) for r in nearest.nearest_within(a, "id", b, "id", 5.0, inclusive=inclusive).collect()]
+    assert got == ([(0, 7)] if inclusive else [])
+
+
+def test_components_with_wrap(spark):
+    """Steps in the linear number, which also reach over a row's and a slice's end."""
+    rng = np.random.default_rng(9)
+    for mask in (rng.random((12, 4, 5)) < 0.12, np.isin(np.arange(240), (7 * 20 + 19, 9 * 20)).reshape(12, 4, 5)):
+        z, y, x = np.nonzero(mask)
+        fg = spark.createDataFrame(pd.DataFrame({"z": z, "y": y, "x": x}))
+        got = {(r.z, r.y, r.x): r.label for r in components.label_components(fg, 4, 5, slab=4, wrap=True).collect()}
+        index = np.flatnonzero(mask.ravel())
+        assert got == dict(zip(zip(z.tolist(), y.tolist(), x.tolist()), kernels.label_block(index, 4, 5, True).tolist()))
+    with pytest.raises(ValueError):
+        components.label_components(fg, 4, 5, slab=2, wrap=True)

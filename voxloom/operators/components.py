@@ -15,15 +15,20 @@ from ..sources.shared import materialize
 from . import kernels
 
 
-def smallest_reached(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Result: node, label, for every node with an edge."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "graph")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+def smallest_reached(edges: DataFrame, name: str = "graph") -> DataFrame:
+    """edges: a, b (long). Result: node, label (smallest node that it reaches), for every node with an edge.
+
+    Each round joins edges with labels, takes the smallest neighbouring label and then the label of that label, which
+    halves the distances; every round is written to the shared folder. The joins with the edges and with the labels'
+    labels are plain ones of two tables, so that a hub of many edges is split among tasks."""
+    e = edges.where("a <> b").select("a", "b")
+    both = materialize(e.union(e.select("b", "a")).distinct(), f"{name}-edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next")), "next")
+        lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next")), f"{name}-next")
         up = lower.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        new = materialize(lower.join(up, lower["next"] == up["at"]).select("node", F.col("label").alias("old"), F.col("further").alias("label")), "labels")
+        new = materialize(lower.join(up, lower["next"] == up["at"]).select("node", F.col("label").alias("old"), F.col("further").alias("label")), f"{name}-labels")
         labels = new.drop("old")
         if not new.where("old <> label").limit(1).count():
             return labels
@@ -38,7 +43,11 @@ def label_components(foreground: DataFrame, height: int, width: int, slab: int =
         return pdf.assign(label=kernels.label_block(pdf["lin"].to_numpy(), height, width, wrap))
 
     part = materialize(fg.groupBy("slab").applyInPandas(own, "z long, y long, x long, lin long, slab long, label long"), "slab-labels")
-    seam = F.when(F.col("z") % slab == slab - 1, F.floor(F.col("z") / slab) + 1).when(F.col("z") % slab == 0, F.floor(F.col("z") / slab))
+    # a step between neighbours reaches the next slice, with wrap from a slice's end also the one after it
+    reach = 2 if wrap else 1
+    if slab < 2 * reach:
+        raise ValueError("a slab must hold the slices that meet both its neighbours")
+    seam = F.when(F.col("z") % slab >= slab - reach, F.floor(F.col("z") / slab) + 1).when(F.col("z") % slab < reach, F.floor(F.col("z") / slab))
     seams = part.select("lin", "label", seam.cast("long").alias("seam")).where("seam is not null")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:

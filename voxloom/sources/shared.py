@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir. Where it is unset, a local master (tests) gets a folder of its own; on a cluster that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="voxloom-"))
     return _own[0]
@@ -29,3 +33,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows (of a few numbers) up to which a side of a join is broadcast, some 32 MB.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(written: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Mark a written table for broadcast if its counted size allows; beyond, the join shuffles."""
+    return F.broadcast(written) if written.count() <= most else written
