@@ -9,7 +9,8 @@ Everything runs in Spark's own functions. Up to `inline_rules` rules the index i
 (no shuffle at all); longer lists are joined with the exploded URL tokens instead.
 
 Defined results: a null URL or one without `://` has an empty host and path and no rule; repeated rows are judged
-alike; ties of length go to the rule first in code point order; other columns of the input pass through.
+alike; ties of length go to the rule first in code point order; URLs of any length are read whole; an empty table gives
+no rows; other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import ascii_lower, table
 TOKEN = re.compile(r"[a-z0-9]+")
 #: Rules with more than this many entries are joined rather than inlined.
 INLINE_RULES = 1000
+#: Characters of patterns up to which a longer list is broadcast.
+INDEX_CHARS = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ def host_rule(host: str, path: str, action: str) -> Rule:
 
 
 def rule_regex(pattern: str) -> str:
-    out, rest = ("^(?:[^/]*\\.)?", pattern[2:]) if pattern.startswith("||") else ("", pattern)
+    out, rest = ("^(?:[^/]*\\.)?", pattern[2:].rstrip("*")) if pattern.startswith("||") else ("", pattern.strip("*"))  # a `*` at an end says nothing, and costs
     for ch in rest:
         out += "[\\s\\S]*" if ch == "*" else "(?:[^A-Za-z0-9]|$)" if ch == "^" else ch if ch.isalnum() else "\\" + ch
     return out
@@ -104,7 +107,7 @@ def _best(matched: Column) -> Column:
 
 
 def url_filter(df: DataFrame, url_col: str, rules: list[Rule], default: str = "allow", inline_rules: int = INLINE_RULES) -> DataFrame:
-    """Add host, path, rule, pattern_rank and verdict; `rule` is null where the default decides."""
+    """Add host, path, rule, rule_rank and verdict; `rule` is null where the default decides."""
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "rule_rank", "verdict")]
     urls = with_host_path(df.select(*kept), url_col)
     tokens = sorted({t for r in rules for t in literal_tokens(r.pattern)})
@@ -125,13 +128,17 @@ def url_filter(df: DataFrame, url_col: str, rules: list[Rule], default: str = "a
         best = _best(F.filter(cands, lambda c: F.regexp_like(subject, c["regex"])))
         out = urls.withColumn("__best", best)
     else:
-        spark = df.sparkSession
-        rows = [(t or "", r.rank, len(r.text), r.text, r.action, rule_regex(r.pattern)) for r, t in index.items()]
-        listed = spark.createDataFrame(rows, "token string, rank int, len int, rule string, action string, regex string")
+        rows = [(t, r.rank, len(r.text), r.text, r.action, rule_regex(r.pattern)) for r, t in index.items() if t is not None]
+        listed = df.sparkSession.createDataFrame(rows, "token string, rank int, len int, rule string, action string, regex string")
+        # a list that the driver holds; broadcast if it is small, so that common tokens gather nowhere
+        listed = F.broadcast(listed) if sum(len(r.pattern) for r in rules) <= INDEX_CHARS else listed
         # one judgement for each distinct address, so that repeated rows need no key of their own
         each = urls.select("host", "path").distinct()
-        asked = each.select("host", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _tokens()))).alias("token"))
-        hits = asked.join(listed, "token").where(F.expr("regexp_like(concat(host, path), regex)"))
+        fits = F.expr("regexp_like(concat(host, path), regex)")
+        hits = each.select("host", "path", F.explode(_tokens()).alias("token")).join(listed, "token").drop("token").where(fits)
+        always = [_entry(r) for r, t in index.items() if t is None]
+        if always:  # tried on every address, beside the scan
+            hits = hits.union(each.select("host", "path", F.explode(F.array(*always)).alias("r")).select("host", "path", "r.*").where(fits))
         pick = F.max_by(F.struct("rank", "len", "rule", "action"), F.struct("rank", "len", F.expr("transform(split(rule, ''), c -> -ascii(c))"))).alias("__best")
         out = urls.join(hits.groupBy("host", "path").agg(pick), ["host", "path"], "left")
     return out.withColumns({"rule": F.col("__best.rule"), "rule_rank": F.col("__best.rank"), "verdict": F.coalesce(F.col("__best.action"), F.lit(default))}).drop("__best")
