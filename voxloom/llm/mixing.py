@@ -9,7 +9,8 @@ No source is sorted in one task: keys fall into `COARSE` x `FINE` cells per sour
 which the budget ends, and only that cell is ordered. What is broadcast is one row for each source.
 
 Defined results: null text counts 0 words and is taken 0 words; null is a source of its own, last in order; repeated
-rows and equal ids share a key and go together; empty tables give no rows; other columns pass through.
+rows and equal ids share a key and go together; texts of any length are counted whole; empty tables give no rows; other
+columns pass through, except those named as the four that `mix` adds.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words
+from .common import materialize, private, table, words
 
 COARSE, FINE = 256, 4096
 #: A mixture names a weight for each source, so the list of sources is small; more than this many are refused.
 MAX_SOURCES = 100_000
 MAX_EPOCHS = 3
+LEAST_WEIGHT = 0.1
 OWN = ("size", "source_size", "target", "taken")
 
 
@@ -31,10 +33,10 @@ def n_words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.1 and 1: the share of letters, the plainest sign of prose."""
+    """Between LEAST_WEIGHT and 1: the share of letters, the plainest sign of prose."""
     n = F.length(text)
     letters = n - F.length(F.regexp_replace(text, "\\p{L}+", ""))
-    return F.when(n > 0, F.round(F.lit(0.1) + F.lit(0.9) * letters / n, 3)).otherwise(F.lit(0.1))
+    return F.when(n > 0, F.round(F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * letters / n, 3)).otherwise(F.lit(LEAST_WEIGHT))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -58,8 +60,10 @@ def water_fill(sizes: list[int], weights: list[float], most: int = MAX_EPOCHS) -
 
 
 def _cell(key: Column) -> Column:
-    """Monotone in the key, spread over [0, 1): the distribution function of a key of weight 1."""
-    return F.least(F.lit(1.0) - F.exp(-key), F.lit(1.0 - 2.0**-40))
+    """Monotone in the key, in [0, 1): the distribution function of a key of the least weight.
+
+    So keys of any weight in [LEAST_WEIGHT, 1] fall nowhere denser than 1 / LEAST_WEIGHT times the mean."""
+    return F.least(F.lit(1.0) - F.exp(-key * LEAST_WEIGHT), F.lit(1.0 - 2.0**-40))
 
 
 def plan(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -111,21 +115,24 @@ def within_sources(d: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Add size and the sampling key; documents without words get size 0."""
-    d = docs.drop("size", "key").withColumns({"size": n_words(F.col("text")), "__weight": quality_weight(F.col("text"))})
-    return d.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("__weight")).drop("__weight")
+    """doc_id, source, size (0 without words) and the sampling key, with the columns that `private` has named."""
+    own = [c for c in docs.columns if c.startswith("__")]
+    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
+    return docs.select(*own, "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Add size, source_size, target and taken (words, repeats counted) to every document."""
-    docs = docs.drop(*OWN)
-    small = materialize(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "size", "key"), "mix-keys")
-    return taken_of(keyed(docs, seed), seed, small)
+    """Add size, source_size, target and taken (words, repeats counted) to every document; other columns pass."""
+    small = materialize(keyed(docs.select("doc_id", "source", "text"), seed), "mix-keys")
+    inner, names = private(docs.drop(*OWN))
+    inner = inner.withColumns({c: F.col(names[c]) for c in ("doc_id", "source", "text")})
+    out = taken_of(keyed(inner, seed), seed, small)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *OWN)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    small = materialize(keyed(docs).select("doc_id", "source", "size", "key"), "mix-keys")
+    small = materialize(keyed(docs), "mix-keys")
     return taken_of(small).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
