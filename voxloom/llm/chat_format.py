@@ -8,7 +8,8 @@ outside the spans is masked.
 A row of the result is one training example and so holds one pair of conversations. Defined results: a null role or
 text renders as empty and equals only another null; turns are ordered by turn, then role, then text, so repeated
 rows stay and ties are stable; rows without a conversation id or turn are left out; a pair that lacks one side is left
-out; identical conversations give an empty pair of completions; other columns of the input are ignored.
+out; identical conversations give an empty pair of completions; empty tables give no rows; other columns of the input
+are ignored. A pair's turns meet in one task, as one training example.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k; spans as text, `from-to` joined by commas."""
-    t = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k, an assumption on the table; spans as text, `from-to` joined by commas."""
+    t = table(spark, sf_dir, "conversations").select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
     out = preference_pairs(t.where("side = 0").drop("side"), t.where("side = 1").drop("side"))
 
     def text(c: str) -> Column:
@@ -80,7 +81,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TURN = "'<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
 _SQL = f"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text, {_TURN} AS shown,
+WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, (conv_id % 2 + 2) % 2 AS side, turn, role, text, {_TURN} AS shown,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS i
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 a AS (SELECT * FROM t WHERE side = 0), b AS (SELECT * FROM t WHERE side = 1),
