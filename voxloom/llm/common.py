@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import fresh_path, materialize, shared_dir, small_side
+
+__all__ = ["Steps", "arrow_batches", "ascii_lower", "blanks", "fresh_path", "give_back", "letter_runs", "materialize", "private", "restored", "shared_dir", "small_side", "table", "with_columns", "words"]
 
 #: Java regular expression of a run of the white space that separates words.
 WS = "[\\x20\\x09-\\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: list[str] = []
+#: Runs of letters (Unicode category L) within Latin-1, for the faster `re`.
+_LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_LATIN_RUNS = {lines: re.compile(f"[{_LATIN_LETTERS}]+" + "|\n" * lines) for lines in (False, True)}
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,25 +46,24 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(blanks(c), " "), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="voxloom-"))
-    return _own_dir[0]
+def letter_runs(text: str, lines: bool = False) -> list[str]:
+    """Runs of letters; numerals and marks are none. lines: line ends as well."""
+    if _BEYOND_LATIN.search(text):
+        import regex
 
+        return regex.findall(r"\p{L}+|\n" if lines else r"\p{L}+", text)
+    return _LATIN_RUNS[lines].findall(text)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def private(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by position, so that no name clashes with an operator's own; the new name of each."""
+    names = {c: f"__{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of a table that went through `private`, under their own names again."""
+    return df.select(*names.values()).toDF(*names)
 
 
 class Steps:
@@ -81,18 +90,38 @@ def give_back() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
-#: Rows (of an id or two) up to which a side of a join is broadcast, some 32 MB.
-SMALL_ROWS = 1_000_000
+#: Bytes of a batch between Spark and Python, rows whose texts Python holds at once.
+BATCH_BYTES, ROWS_AT_ONCE = 8 << 20, 512
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound batches to Python by their bytes, unless the session has a lower bound already: rows say nothing of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable) -> DataFrame:
+    """Add columns that Python computes from the text; all other columns pass through Arrow as they are.
+
+    make() is called once a task; what it returns turns a list of texts into one Arrow array for each field."""
+    arrow_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                new = columns(b[text].to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *[f.name for f in fields]])
+        del columns
+        give_back()
 
-def small_side(written: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """Mark a written table of ids for broadcast if its counted size allows; beyond, the join shuffles."""
-    return F.broadcast(written) if written.count() <= most else written
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

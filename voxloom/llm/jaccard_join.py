@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps, give_back, small_side, table
-from .components import connected_components
+from ..operators.components import smallest_reached as connected_components
+from .common import Steps, arrow_batches, give_back, small_side, table
 
 #: Nodes that meet the smallest node of their tiles together.
 STAR_ROWS = 256
@@ -364,8 +364,8 @@ class _Join:
 
     def _merged(self, small: DataFrame) -> DataFrame:
         """Small tiles that share nodes become one, so that each node's n-grams travel once; not beyond `MERGED_ROWS`."""
-        w = Window.partitionBy("tile")
-        star = small.select(F.min("node").over(w).alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+        first = small.groupBy("tile").agg(F.min("node").alias("a"))
+        star = small.join(first, "tile").select("a", F.col("node").alias("b")).where("a < b").distinct()
         group = connected_components(self.steps.write(star, "jaccard-stars"), "jaccard-merged")
         size = group.groupBy("label").count().where(F.col("count") <= MERGED_ROWS).select(F.col("label").alias("group"))
         group = group.withColumnRenamed("label", "group").join(small_side(self.steps.write(size, "jaccard-sizes")), "group")
@@ -402,6 +402,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     percent: from 1 to 99."""
     if not 1 <= percent <= 99:
         raise ValueError(f"percent from 1 to 99, not {percent}")
+    arrow_batches(docs.sparkSession)
     steps = Steps(docs.sparkSession)
     described = steps.write(_described(docs, n, percent), "jaccard-sets")
     d = steps.write(described.drop("parts", "bits"), "jaccard-rows")
