@@ -172,3 +172,32 @@ def test_components_with_wrap(spark):
         assert got == dict(zip(zip(z.tolist(), y.tolist(), x.tolist()), kernels.label_block(index, 4, 5, True).tolist()))
     with pytest.raises(ValueError):
         components.label_components(fg, 4, 5, slab=2, wrap=True)
+
+
+def test_zero_matrix(spark):
+    from voxloom.functions.numeric import blobness
+
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+    df = spark.createDataFrame([(0.0,) * 6, (1e-31,) * 6, (2.0, 0.0, 0.0, 1.0, 0.0, 3.0), (0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], ", ".join(f"{n} double" for n in names)).coalesce(1)
+    got = with_eigenvalues(df, names).select("e0", "e1", "e2", blobness(F.col("e0"), F.col("e1"), F.col("e2")).alias("b")).collect()
+    assert [tuple(r) for r in got[:3]] == [(0.0, 0.0, 0.0, 0.0)] * 2 + [(2.0, 1.0, 3.0, 4.5)] and np.isnan(got[3].b)
+
+
+def test_lookup(spark):
+    df, keys = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1, "a")], "k long, v string")
+    assert sorted((r.k or 0, r.v or "", r.found) for r in cells.lookup(df, keys, "k").collect()) == [(0, "", False), (1, "a", True), (2, "", False)]
+    assert cells.lookup(df.where("k = 1"), keys, "k", "error").count() == 1
+    with pytest.raises(Exception, match="no such k"):
+        cells.lookup(df, keys, "k", "error").collect()
+
+
+def test_mirrored_blur(spark, volume):
+    """Against mirroring with numpy, one axis after the other, cut to whole numbers."""
+    v, sigma = volume, (0.8, 1.0, 2.0)
+    want = v
+    for axis, s in enumerate(sigma):
+        w = windows.gaussian_weights(s)
+        r = len(w) // 2
+        padded = np.pad(want, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        want = np.floor(np.round(sum(k * np.take(padded, range(j, j + v.shape[axis]), axis=axis) for j, k in enumerate(w)), 6))
+    assert np.array_equal(dense(windows.blur_whole(rows(spark, v), "v", "g", sigma), "g", v.shape), want)

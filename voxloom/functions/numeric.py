@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Stand-in for an infinite logarithm: the largest double.
 HUGE = 1.7976931348623157e308
+#: Matrices with no larger element count as zero, and no larger sum of squares off the diagonal as diagonal.
+TINY = 1e-30
 
 
 def log10_total(x: Column) -> Column:
@@ -31,7 +33,7 @@ def with_eigenvalues(df: DataFrame, planes: tuple[str, ...], out: tuple[str, str
     """Add the ascending eigenvalues of a symmetric 3 x 3 matrix (columns xx, xy, xz, yy, yz, zz) in closed form.
 
     The trigonometric solution of the cubic, in steps of columns so that no expression is repeated. A matrix without
-    off-diagonal parts gives its diagonal as it stands."""
+    off-diagonal parts gives its diagonal as it stands, a zero matrix three zeros."""
     xx, xy, xz, yy, yz, zz = (F.col(c) for c in planes)
     q, p, off, half, high, low = (F.col(f"__{c}") for c in ("q", "p", "off", "half", "high", "low"))
     df = df.withColumns({"__q": (xx + yy + zz) / 3.0, "__off": xy * xy + xz * xz + yz * yz})
@@ -40,8 +42,8 @@ def with_eigenvalues(df: DataFrame, planes: tuple[str, ...], out: tuple[str, str
     det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
     df = df.withColumn("__half", F.when(p > 0, clip(det / (2.0 * F.when(p > 0, p * p * p)), -1.0, 1.0)).otherwise(0.0))
     df = df.withColumns({"__high": q + 2.0 * p * F.cos(F.acos(half) / 3.0), "__low": q + 2.0 * p * F.cos(F.acos(half) / 3.0 + 2.0 * math.pi / 3.0)})
-    plain = off == 0
-    values = (F.when(plain, xx).otherwise(low), F.when(plain, yy).otherwise(3.0 * q - high - low), F.when(plain, zz).otherwise(high))
+    plain, zero = off <= TINY, F.greatest(*[F.abs(c) for c in (xx, xy, xz, yy, yz, zz)]) < TINY
+    values = (F.when(zero, 0.0).when(plain, a).otherwise(b) for a, b in ((xx, low), (yy, 3.0 * q - high - low), (zz, high)))
     return df.withColumns(dict(zip(out, values, strict=True))).drop("__q", "__off", "__p", "__half", "__high", "__low")
 
 
@@ -50,4 +52,5 @@ def structureness(e0: Column, e1: Column, e2: Column) -> Column:
 
 
 def blobness(e0: Column, e1: Column, e2: Column) -> Column:
-    return ratio(e2 * e2, e0 * e1)
+    """0 for a zero matrix."""
+    return F.when((e0 == 0) & (e1 == 0) & (e2 == 0), F.lit(0.0)).otherwise(ratio(e2 * e2, e0 * e1))

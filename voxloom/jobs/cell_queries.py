@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cells as C
 from ..operators import features as FE
 from ..operators import partition as P
-from .views import CELL_ORDER, CELLS, VOX, cells, table, voxels
+from .views import CELL_ORDER, CELLS, N_SLICES, VOX, cells, n_slices, table, voxels
 
 SX, SY, SZ, W, H = -0.65, -0.65, 5.0, 2560, 2160
 MATRIX = [[0.1, 0.0, 0.0, 10.0], [0.0, 0.1, 0.0, 20.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
@@ -65,7 +65,8 @@ def cel_12_asof(s: SparkSession, d: str) -> DataFrame:
 
 def cel_13_lookup(s: SparkSession, d: str) -> DataFrame:
     keys = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
-    return cells(s, d).withColumn("k", (F.col("ix") * 3 + F.col("iy") + 1).cast("long")).join(keys, "k").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    c = cells(s, d).withColumn("k", (F.col("ix") * 3 + F.col("iy") + 1).cast("long"))
+    return C.lookup(c, keys, "k").groupBy("s_nationkey", "found").agg(F.count("*").alias("n"))
 
 
 def cel_14_physical(s: SparkSession, d: str) -> DataFrame:
@@ -113,8 +114,9 @@ def cls_01_features(s: SparkSession, d: str) -> DataFrame:
 def cls_02_background(s: SparkSession, d: str) -> DataFrame:
     c = FE.feature_columns(cells(s, d)).where("f0 > -1e300")
     img = voxels(s, d).select("z", "y", "x", (F.col("inten") + 1).alias("w"))
-    at = {"z": F.col("lz") / 11, "y": F.col("ly") / 40 - 1, "x": F.col("lx") / 38}
-    out = FE.background_normalized(c, img, at, {"z": 10, "y": 50, "x": 64}, "w", "f0")
+    n = n_slices(s, d)
+    at = {"z": F.col("lz") * n / 110, "y": F.col("ly") / 40 - 1, "x": F.col("lx") / 38}
+    out = FE.background_normalized(c, img, at, {"z": n, "y": 50, "x": 64}, "w", "f0")
     return out.select(*ID, F.round("f0", 6).alias("f0"))
 
 
@@ -211,7 +213,7 @@ ORACLE = {
     "cel_11_margin": f"WITH {CELLS} SELECT side, ix, iy, count(*) AS n FROM cells WHERE lx >= 10 AND lx < 2550 AND ly >= 10 AND ly < 2150 AND lz > 5 AND lz < 95 GROUP BY ALL",
     "cel_12_asof": f"""WITH {CELLS}, st AS (SELECT CAST(s_suppkey * 40 AS DOUBLE) AS off, s_name AS stack FROM supplier)
       SELECT l_orderkey, l_linenumber, lx, off, stack FROM cells ASOF JOIN st ON cells.lx >= st.off""",
-    "cel_13_lookup": f"WITH {CELLS} SELECT s_nationkey, count(*) AS n FROM cells JOIN supplier ON s_suppkey = ix * 3 + iy + 1 GROUP BY ALL",
+    "cel_13_lookup": f"WITH {CELLS} SELECT s_nationkey, s_suppkey IS NOT NULL AS found, count(*) AS n FROM cells LEFT JOIN supplier ON s_suppkey = ix * 3 + iy + 1 GROUP BY ALL",
     "cel_14_physical": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, round(lx * 0.65, 6) AS px, round(ly * 0.65, 6) AS py, round(lz * 5.0, 6) AS pz FROM cells",
     "cel_16_counts": f"WITH {CELLS}, {FEAT} SELECT side, ix, iy, count(*) FILTER (WHERE f1 > 4.5) AS positive, count(*) AS n FROM feat GROUP BY ROLLUP (side, ix, iy)",
     "cel_01_candidates": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, lz, size, intensity FROM cells WHERE lz >= 8 AND lz < 92 AND lx >= 100 AND lx < 2460 AND ly >= 100 AND ly < 2060 AND size >= 10 AND intensity > 0",
@@ -221,7 +223,7 @@ ORACLE = {
     "par_03_substacks": f"WITH {CELLS}, {_SUB} SELECT z0, count(*) AS n, min(lz) AS low, max(lz) AS high FROM sub GROUP BY ALL",
     "cls_01_features": f"WITH {CELLS}, {FEAT}, g AS (SELECT *, CASE WHEN abs(f0) < 1e300 THEN (f0 + 2.0) * 3.0 ELSE f0 END AS g FROM feat) SELECT l_orderkey, l_linenumber, {', '.join(f'{_BIG.format(c)} AS {c}' for c in ('f0', 'f1', 'f2', 'g'))} FROM g",
     "cls_02_background": f"""WITH {CELLS}, {FEAT}, {VOX} SELECT l_orderkey, l_linenumber, round(f0 - log10(inten + 1.0), 6) AS f0 FROM feat JOIN vox
-      ON vox.z = least(greatest(floor(lz / 11), 0), 9) AND vox.y = least(greatest(floor(ly / 40 - 1), 0), 49) AND vox.x = least(greatest(floor(lx / 38), 0), 63) WHERE f0 > -1e300""",
+      ON vox.z = least(greatest(floor(lz * {N_SLICES} / 110), 0), {N_SLICES} - 1) AND vox.y = least(greatest(floor(ly / 40 - 1), 0), 49) AND vox.x = least(greatest(floor(lx / 38), 0), 63) WHERE f0 > -1e300""",
     "cls_03_threshold": f"WITH {CELLS}, {FEAT} SELECT l_orderkey, l_linenumber, structureness FROM feat WHERE f1 > 4.6",
     "cls_04_linear": f"WITH {CELLS}, {FEAT} SELECT 6.0 * f1 + 0.0 * f0 - 25.0 > 0 AS pos, count(*) AS n FROM feat WHERE f0 > -1e300 GROUP BY ALL",
     "cls_08_systematic": f"WITH {CELLS}, s AS (SELECT *, side || '_' || ix || '_' || iy AS stack FROM cells), q AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY {_ORDER}) - 1 AS i FROM s) SELECT stack, count(*) AS n, sum(lx) AS sx FROM q WHERE i % 10 = 0 GROUP BY ALL",

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import log10_total
 from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import nearest as N
 from ..operators.transform import affine, displaced
 from ..sources import raw
 from ..sources.shared import fresh_path
-from .cell_queries import ID
-from .views import ATLAS, CELLS, HEIGHT, PROBES, VOX, WIDTH, atlas, cells, probes, voxels
+from .cell_queries import F1, ID
+from .views import ATLAS, CELLS, HEIGHT, N_SLICES, PROBES, VOX, WIDTH, atlas, cells, n_slices, probes, voxels
 
 MAP = [[0.9, 0.1, 0.0, 5.0], [-0.1, 0.9, 0.0, 60.0], [0.0, 0.05, 1.1, -20.0]]
 BOUND = 80.0
@@ -36,7 +35,7 @@ def atl_02_affine(s: SparkSession, d: str) -> DataFrame:
 def atl_02_warp(s: SparkSession, d: str) -> DataFrame:
     """Trilinear displacement from a grid of the atlas' space, taken from the voxel table."""
     grid = voxels(s, d).select("z", "y", "x", (F.col("v") * 20).alias("dz"), (F.col("v") * -10).alias("dy"), (F.col("v") * 5).alias("dx"))
-    p = probes(s, d).select("cell_id", (F.col("z") / 125).alias("z"), (F.col("y") / 25).alias("y"), (F.col("x") / 20).alias("x"))
+    p = probes(s, d).select("cell_id", (F.col("z") * n_slices(s, d) / 1250).alias("z"), (F.col("y") / 25).alias("y"), (F.col("x") / 20).alias("x"))
     out = displaced(p, "cell_id", grid)
     return out.select("cell_id", *[F.round(c, 6).alias(c) for c in "zyx"])
 
@@ -56,13 +55,18 @@ def atl_04_06_valid(s: SparkSession, d: str) -> DataFrame:
 
 
 def mch_01_gather(s: SparkSession, d: str) -> DataFrame:
-    """Logarithm of two channels at each cell's voxel, the second channel upside down."""
-    c = cells(s, d)
+    """Logarithm of two channels at each positive cell's voxel, the second channel upside down; NaN for other cells."""
+    c = FE.feature_columns(cells(s, d))
     img = voxels(s, d).select("z", "y", "x", "inten")
     other = voxels(s, d).select("z", (F.lit(HEIGHT - 1) - F.col("y")).alias("y"), "x", (F.col("inten") + F.col("label")).alias("inten"))
-    at = {"z": F.col("lz") / 11, "y": F.col("ly") / 44, "x": F.col("lx") / 41}
+    at = {"z": F.col("lz") * n_slices(s, d) / 110, "y": F.col("ly") / 44, "x": F.col("lx") / 41}
     out = FE.gather(FE.gather(c, img, at, "inten", "first"), other, at, "inten", "second")
-    return out.select(*ID, *[F.round(F.when(F.col(k) > 0, log10_total(F.col(k).cast("double"))), 6).alias(k) for k in ("first", "second")])
+
+    def logged(k: str) -> F.Column:
+        x = F.when(F.col(k) > 0, F.round(F.log10(F.col(k).cast("double")), 6)).when(F.col(k) == 0, F.lit(float("-inf")))
+        return F.when(FE.above(F.col("f1"), 4.5), x).otherwise(F.lit(float("nan"))).alias(k)
+
+    return out.select(*ID, logged("first"), logged("second"))
 
 
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +91,10 @@ def eva_02_self_nearest(s: SparkSession, d: str) -> DataFrame:
 
 
 def eva_03_truth(s: SparkSession, d: str) -> DataFrame:
-    """Markers of every seventh order as false positives, of every ninth as false negatives."""
+    """Markers in the lowest regions as false positives, in the highest as false negatives."""
     p, t = _sides(s, d)
-    fp = t.where(F.col("id") % 7 == 0)
-    fn = t.where(F.col("id") % 9 == 0)
+    fp = t.where(F.col("z") <= 140)
+    fn = t.where(F.col("z") >= 900)
     return E.truth_from_markers(p, "id", fp, fn, 200.0).groupBy("kind").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
 
 
@@ -168,7 +172,7 @@ def _matched(b: float) -> str:
 
 ORACLE = {
     "atl_02_affine": f"WITH {PROBES} SELECT cell_id, " + ", ".join(f"round(x * {r[0]} + y * {r[1]} + z * {r[2]} + {r[3]}, 6) AS {c}" for c, r in zip("xyz", MAP, strict=True)) + " FROM probes",
-    "atl_02_warp": f"""WITH {PROBES}, {VOX}, p AS (SELECT cell_id, z / 125 AS z, y / 25 AS y, x / 20 AS x FROM probes),
+    "atl_02_warp": f"""WITH {PROBES}, {VOX}, p AS (SELECT cell_id, z * {N_SLICES} / 1250 AS z, y / 25 AS y, x / 20 AS x FROM probes),
       c AS (SELECT p.*, g.i AS gz, h.i AS gy, k.i AS gx, (1 - abs(p.z - g.i)) * (1 - abs(p.y - h.i)) * (1 - abs(p.x - k.i)) AS w FROM p,
         (SELECT unnest([0, 1]) AS o) a, (SELECT unnest([0, 1]) AS o) b, (SELECT unnest([0, 1]) AS o) e, LATERAL (SELECT floor(p.z) + a.o AS i) g, LATERAL (SELECT floor(p.y) + b.o AS i) h, LATERAL (SELECT floor(p.x) + e.o AS i) k),
       s AS (SELECT cell_id, sum(c.w * vox.v) AS v FROM c JOIN vox ON vox.z = c.gz AND vox.y = c.gy AND vox.x = c.gx GROUP BY cell_id)
@@ -176,14 +180,13 @@ ORACLE = {
     "atl_03_05_annotate": _ANNO + " SELECT * FROM anno",
     "atl_07_region_counts": _ANNO + " SELECT atlas_id, count(*) AS n FROM anno GROUP BY atlas_id",
     "atl_04_06_valid": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, round(lx * 25.0, 3) AS lx, round(ly * 25.0, 3) AS ly, round(lz * 25.0, 3) AS lz FROM cells WHERE log10(structureness) > 4.5 AND lz <= 50",
-    "mch_01_gather": f"""WITH {CELLS}, {VOX} SELECT l_orderkey, l_linenumber, CASE WHEN a.inten > 0 THEN round(log10(a.inten), 6) END AS first, CASE WHEN b.inten + b.label > 0 THEN round(log10(b.inten + b.label), 6) END AS second
-      FROM cells LEFT JOIN vox a ON a.z = floor(lz / 11) AND a.y = floor(ly / 44) AND a.x = floor(lx / 41) LEFT JOIN vox b ON b.z = floor(lz / 11) AND b.y = 49 - floor(ly / 44) AND b.x = floor(lx / 41)""",
+    "mch_01_gather": f"""WITH {CELLS}, {VOX} SELECT l_orderkey, l_linenumber, CASE WHEN {F1} > 4.5 THEN CASE WHEN a.inten > 0 THEN round(log10(a.inten), 6) WHEN a.inten = 0 THEN '-inf'::DOUBLE END ELSE 'nan'::DOUBLE END AS first,
+      CASE WHEN {F1} > 4.5 THEN CASE WHEN b.inten + b.label > 0 THEN round(log10(b.inten + b.label), 6) WHEN b.inten + b.label = 0 THEN '-inf'::DOUBLE END ELSE 'nan'::DOUBLE END AS second
+      FROM cells LEFT JOIN vox a ON a.z = floor(lz * {N_SLICES} / 110) AND a.y = floor(ly / 44) AND a.x = floor(lx / 41) LEFT JOIN vox b ON b.z = floor(lz * {N_SLICES} / 110) AND b.y = 49 - floor(ly / 44) AND b.x = floor(lx / 41)""",
     "eva_01_distances": _matched(60.0) + " SELECT CAST(floor(near_d / 10) AS INTEGER) AS bin, count(*) AS n, round(sum(near_d), 6) AS total FROM m GROUP BY ALL",
     "eva_02_self_nearest": f"WITH {ATLAS}, n AS (SELECT a.point_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d2 FROM atlas a JOIN atlas b ON a.point_id <> b.point_id GROUP BY 1) SELECT round(avg(sqrt(d2)), 6) AS d_th, count(*) AS n FROM n",
-    "eva_03_truth": f"""WITH {ATLAS}, {PROBES}, d AS (SELECT a.point_id, p.cell_id, (p.x - a.x) ** 2 + (p.y - a.y) ** 2 + (p.z - a.z) ** 2 AS d2 FROM atlas a JOIN probes p
-        ON p.x BETWEEN a.x - 200 AND a.x + 200 AND p.y BETWEEN a.y - 200 AND a.y + 200 AND p.z BETWEEN a.z - 200 AND a.z + 200 WHERE a.point_id % 7 = 0),
-      w AS (SELECT DISTINCT cell_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, cell_id) AS k FROM d WHERE d2 <= 40000) WHERE k = 1)
-      SELECT 'TP' AS kind, count(*) AS n, sum(x) AS sx FROM probes WHERE cell_id NOT IN (SELECT cell_id FROM w) UNION ALL SELECT 'FN', count(*), sum(x) FROM atlas WHERE point_id % 9 = 0""",
+    "eva_03_truth": f"""WITH {ATLAS}, {PROBES}, w AS (SELECT DISTINCT arg_min(p.cell_id, struct_pack(d := (p.x - a.x) ** 2 + (p.y - a.y) ** 2 + (p.z - a.z) ** 2, i := p.cell_id)) AS cell_id FROM atlas a, probes p WHERE a.atlas_id <= 7 GROUP BY a.point_id)
+      SELECT 'TP' AS kind, count(*) AS n, sum(x) AS sx FROM probes WHERE cell_id NOT IN (SELECT cell_id FROM w) UNION ALL SELECT 'FN', count(*), sum(x) FROM atlas WHERE atlas_id >= 45""",
     "eva_04_score_true": f"""WITH {CELLS}, c AS (SELECT count(*) AS p, count(*) FILTER (WHERE lz > 90) AS fp, count(*) FILTER (WHERE lz < 4) AS fn FROM cells), k AS (SELECT *, p - fp AS tp, (p - fp) / p AS prec, (p - fp) / (p - fp + fn) AS rec FROM c)
       SELECT p, tp, fp, fn, round(prec, 9) AS prec, round(rec, 9) AS rec, round(2 * prec * rec / (prec + rec), 9) AS f_score, round(tp / (2540.0 * 2140 * 90), 12) AS density FROM k""",
     "eva_05_score_test": f"""WITH {ATLAS}, {PROBES}, d AS (SELECT p.cell_id, a.point_id FROM probes p JOIN atlas a ON a.x BETWEEN p.x - 40 AND p.x + 40 AND a.y BETWEEN p.y - 40 AND p.y + 40 AND a.z BETWEEN p.z - 40 AND p.z + 40

@@ -19,6 +19,12 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("inten", F.floor((F.col("v") + 0.6) * 10000).cast("int"))
 
 
+def n_slices(spark: SparkSession, sf_dir: str) -> int:
+    return (table(spark, sf_dir, "embeddings").agg(F.max(F.expr("vec_id div 50"))).first()[0] or 0) + 1
+
+
+N_SLICES = "(SELECT max(z) + 1 FROM vox)"
+
 VOX = """vox AS (SELECT vec_id // 50 AS z, vec_id % 50 AS y, CAST(u.i - 1 AS BIGINT) AS x, CAST(embedding[u.i] AS DOUBLE) AS v, label,
   CAST(floor((CAST(embedding[u.i] AS DOUBLE) + 0.6) * 10000) AS INTEGER) AS inten FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u)"""
 

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import structureness, with_eigenvalues
+from ..operators import cells as C
 from ..operators import components as CC
+from ..operators import features as FE
 from ..operators import merge as M
 from ..operators import regions as R
 from ..operators import windows as V
 from . import detect
-from .views import HEIGHT, VOX, WIDTH, voxels
+from .cell_queries import F1
+from .views import CELLS, HEIGHT, VOX, WIDTH, cells, voxels
 
+#: Voxels of the prediction image along z, y and x.
+IMAGE = (20, 22, 26)
 RADII, SMALL, LEAST = (3, 3, 1), (3, 3, 1), 5000
 S_SMALL, S_LARGE = (1.5, 0.8), (2.2, 1.2)
 #: Keeps values that are multiples of a power of two off the ties of rounding.
@@ -81,12 +86,28 @@ def flt_12_negative_definite(s: SparkSession, d: str) -> DataFrame:
 
 
 def flt_14_gaussian_u16(s: SparkSession, d: str) -> DataFrame:
-    """Blur of whole numbers: each pass is cut to a whole number again."""
-    df, w = base(s, d).withColumn("g", F.col("inten").cast("double")), V.gaussian_weights(1.0)
-    for a in "xyz":
-        df = V.by_slice(df) if a == "x" else V.by_column(df) if a == "z" else df
-        df = df.withColumn("g", F.floor(F.round(V.weighted("g", a, w), 6)).cast("double"))
-    return out(df, "g", digits=None)
+    """Blur of whole numbers: borders are mirrored, each pass is cut to a whole number again."""
+    return out(V.blur_whole(base(s, d), "inten", "g", (1.0, 1.0, 1.0)), "g", digits=None)
+
+
+def cls_14_prediction_image(s: SparkSession, d: str) -> DataFrame:
+    """Positive cells as bright voxels of a dense image, blurred."""
+    c = FE.feature_columns(cells(s, d)).where(FE.above(F.col("f1"), 4.5))
+    hit = c.select(F.floor(F.col("lz") / 5).alias("z"), F.floor(F.col("ly") / 100).alias("y"), F.floor(F.col("lx") / 100).alias("x")).distinct().withColumn("v", F.lit(5000))
+    n, i = IMAGE, F.col("id")
+    grid = s.range(n[0] * n[1] * n[2]).select(F.expr(f"id div {n[1] * n[2]}").alias("z"), F.expr(f"id div {n[2]} % {n[1]}").alias("y"), (i % n[2]).alias("x"))
+    img = grid.join(hit, ["z", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    return V.blur_whole(img, "v", "g", (1.0, 2.0, 2.0)).where("g > 0").select("z", "y", "x", "g")
+
+
+def eva_10_region_image(s: SparkSession, d: str) -> DataFrame:
+    return M.region_image(base(s, d).select("z", "y", "x", "inten"), (2, 6), (5, 30), (10, 40), WIDTH, HEIGHT, flip_x=True, flip_y=True)
+
+
+def eva_13_stages(s: SparkSession, d: str) -> DataFrame:
+    """Every stage of the chain on a region: difference of Gaussians and the planes of its Hessian."""
+    df = V.hessian(V.difference_of_gaussians(base(s, d), "v", "dog", S_SMALL, S_LARGE), "dog")
+    return out(M.region_image(df.select("z", "y", "x", "dog", *HESS), (0, 8), (5, 30), (10, 40), WIDTH, HEIGHT), "dog", *HESS)
 
 
 def regions(s: SparkSession, d: str) -> DataFrame:
@@ -105,7 +126,7 @@ def agg_10_eigen(s: SparkSession, d: str) -> DataFrame:
     df = V.hessian(base(s, d), "inten").groupBy("z", "y").agg(*[F.sum(h).alias(h) for h in HESS])
     df = with_eigenvalues(df, HESS)
     e = [F.col(c) for c in ("e0", "e1", "e2")]
-    return df.select("z", "y", F.round(F.col("e0") + F.col("e1") + F.col("e2"), 3).alias("trace"), F.round(structureness(*e) * TIELESS * 1e-6, 3).alias("structureness"), F.round(e[0] * e[1] * e[2] * TIELESS * 1e-9, 3).alias("det"))
+    return df.select("z", "y", *[F.round(F.col(c) * TIELESS, 3).alias(c) for c in ("e0", "e1", "e2")], F.round(F.col("e0") + F.col("e1") + F.col("e2"), 3).alias("trace"), F.round(structureness(*e) * TIELESS * 1e-6, 3).alias("structureness"), F.round(e[0] * e[1] * e[2] * TIELESS * 1e-9, 3).alias("det"))
 
 
 def cpu_01_scale_response(s: SparkSession, d: str) -> DataFrame:
@@ -157,6 +178,47 @@ def mrg_01_plan(s: SparkSession, d: str) -> DataFrame:
     return M.plan_slices(sl, {"FW": 7, "RV": 1}, {"FW": 2, "RV": 2}, sides, strips, "RV")
 
 
+def mrg_02_bounds(s: SparkSession, d: str) -> DataFrame:
+    """Cells of each side within its closed range of valid z."""
+    _, sides, _ = M.case_of(5.0, 5.0, 0.0, 45.0, 30.0)
+    bound = M.z_bounds(sides, {"FW": 250.0, "RV": 200.0}, False)
+    z = F.col("lz") * 5.0
+    ok = F.when(F.col("side") == "FW", C.valid_between(z, *bound["FW"])).otherwise(C.valid_between(z, *bound["RV"]))
+    return cells(s, d).groupBy("side", ok.alias("ok")).agg(F.count("*").alias("n"))
+
+
+def _plan(s: SparkSession, d: str, reverse: bool = False) -> DataFrame:
+    z = base(s, d).select(F.col("z").cast("int").alias("index")).distinct()
+    sl = z.select(F.explode(F.array(F.lit("FW"), F.lit("RV"))).alias("side"), "index")
+    _, sides, strips = M.case_of(5.0, 5.0, 0.0, 45.0, 30.0)
+    return M.plan_slices(sl, {"FW": 7, "RV": 1}, {"FW": 2, "RV": 2}, sides, strips, "RV", reverse)
+
+
+def mrg_03_reversed(s: SparkSession, d: str) -> DataFrame:
+    return _plan(s, d, True)
+
+
+def mrg_04_geometry(s: SparkSession, d: str) -> DataFrame:
+    """Slices scaled down by a tile's geometry: pixels without margins, every skip-th slice."""
+    g = M.downscale(-0.65, 5.0, 13.0, WIDTH, HEIGHT, (2, 1, 2, 1))
+    x, y = F.floor((F.col("x") - 2) * g.actual[0]).cast("int"), F.floor((F.col("y") - 1) * g.actual[1]).cast("int")
+    df = base(s, d).where(F.col("z") % g.skip_z == 0).withColumns({"bx": x, "by": y})
+    df = df.where((F.col("x") >= 2) & (F.col("y") >= 1) & (F.col("bx") < g.sampled[0]) & (F.col("by") < g.sampled[1]))
+    return df.groupBy("z", "bx", "by").agg(F.expr("sum(cast(inten as bigint)) div count(*)").alias("mean"))
+
+
+def mrg_10_volume(s: SparkSession, d: str) -> DataFrame:
+    """Planned slices of both sides, aggregated in blocks, as one volume."""
+    planes = blocks(s, d).select(F.explode(F.array(F.lit("FW"), F.lit("RV"))).alias("side"), F.col("z").cast("int").alias("index"), "bx", "by", "mean", "max", "min")
+    return M.stack_planes(planes, _plan(s, d), ["side", "index"]).select("mz", "by", "bx", "mean", "max", "min")
+
+
+def mrg_11_every_slice(s: SparkSession, d: str) -> DataFrame:
+    """Mean blocks of every third slice name that any tile has."""
+    b = blocks(s, d)
+    return M.stack_planes(b, M.every_slice(b, "z", 3), ["z"]).select("z", "mz", "by", "bx", "mean")
+
+
 def detect_end_to_end(s: SparkSession, d: str) -> DataFrame:
     """Substacks through the whole chain to candidates; each block is one numpy kernel call."""
     return detect.detect(base(s, d), "inten", HEIGHT, WIDTH, detect.Settings(depth=8, extra_margin=1))
@@ -195,6 +257,21 @@ def _sep(f, c: str = "v") -> str:  # noqa: ANN001
     return _chain([(a, f(a)) for a in "xyz"], c)
 
 
+def _mirror(src: str, n: dict[str, str], weights: dict[str, list[float]]) -> str:
+    """CTEs of a blur of src (z, y, x, c) in whole numbers, borders mirrored; the last one is named blurred."""
+    ctes = []
+    for i, a in enumerate("zyx"):
+        w = weights[a]
+        j = f"(g.{a} + w.j)"
+        at = f"CASE WHEN {j} < 0 THEN -{j} - 1 WHEN {j} >= {n[a]} THEN 2 * {n[a]} - 1 - {j} ELSE {j} END"
+        rest = " AND ".join(f"s.{b} = g.{b}" for b in "zyx" if b != a)
+        values = ", ".join(f"({k - len(w) // 2}, CAST({x!r} AS DOUBLE))" for k, x in enumerate(w))
+        name = "blurred" if i == 2 else f"m{i}"
+        ctes.append(f"{name} AS (SELECT g.z, g.y, g.x, floor(round(sum(w.k * s.c), 6)) AS c FROM {src} g JOIN (VALUES {values}) w(j, k) ON true JOIN {src} s ON s.{a} = {at} AND {rest} GROUP BY ALL)")
+        src = name
+    return ", ".join(ctes)
+
+
 def _r(a: str) -> int:
     return dict(zip("xyz", RADII, strict=True))[a]
 
@@ -239,6 +316,8 @@ _CCL = f"""WITH RECURSIVE {VOX}, fg AS (SELECT z, y, x, z * 3200 + y * 64 + x AS
 _BLOCK = f"""WITH {VOX}, b AS (SELECT z, CAST(floor((x - 2) / 6.0) AS INTEGER) AS bx, CAST(floor((y - 1) / 7.0) AS INTEGER) AS "by", inten FROM vox WHERE x >= 2 AND y >= 1),
   a AS (SELECT z, bx, "by", CAST(sum(inten) AS BIGINT) // count(*) AS mean, max(inten) AS max, min(inten) AS min FROM b WHERE bx < 10 AND "by" < 7 GROUP BY ALL)"""
 
+_PLAN = """zz AS (SELECT DISTINCT CAST(z AS INTEGER) AS index FROM vox), p AS (SELECT 'FW' AS side, index FROM zz WHERE index < 7 AND (7 - index) % 2 = 0 UNION ALL SELECT 'RV', index FROM zz WHERE index >= 1 AND (index - 1) % 2 = 0)"""
+
 ORACLE = {
     "flt_01_erosion": _sep(lambda a: _frame("min", "{c}", a, _r(a))) + " SELECT z, y, x, c AS e FROM last",
     "flt_02_dilation": _sep(lambda a: _frame("max", "{c}", a, _r(a))) + " SELECT z, y, x, c AS e FROM last",
@@ -251,20 +330,35 @@ ORACLE = {
     "flt_10_gradient": f"WITH {VOX} SELECT z, y, x, " + ", ".join(f"round({_grad('v', a)}, 10) AS g{a}" for a in "xyz") + " FROM vox",
     "flt_11_hessian": _hess("v") + " SELECT z, y, x, " + ", ".join(f"round({h}, 10) AS {h}" for h in HESS) + " FROM h",
     "flt_12_negative_definite": _hess("inten") + " SELECT z, xx < 0 AND xx * yy - xy * xy > 0 AND xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) < 0 AS pd, count(*) AS n FROM h GROUP BY ALL",
-    "flt_14_gaussian_u16": _sep(lambda a: f"floor(round({_gauss('{c}', V.gaussian_weights(1.0))}, 6))", "CAST(inten AS DOUBLE)") + " SELECT z, y, x, c AS g FROM last",
+    "flt_14_gaussian_u16": f"WITH {VOX}, p0 AS (SELECT z, y, x, CAST(inten AS DOUBLE) AS c FROM vox), " + _mirror("p0", {"z": "(SELECT max(z) + 1 FROM vox)", "y": "50", "x": "64"}, dict.fromkeys("zyx", V.gaussian_weights(1.0))) + " SELECT z, y, x, c AS g FROM blurred",
+    "cls_14_prediction_image": f"""WITH {CELLS}, hit AS (SELECT DISTINCT CAST(floor(lz / 5) AS BIGINT) AS z, CAST(floor(ly / 100) AS BIGINT) AS y, CAST(floor(lx / 100) AS BIGINT) AS x FROM cells WHERE {F1} > 4.5),
+      grid AS (SELECT i // 572 AS z, i // 26 % 22 AS y, i % 26 AS x FROM (SELECT unnest(range(11440)) AS i)), p0 AS (SELECT grid.z, grid.y, grid.x, CASE WHEN hit.z IS NULL THEN 0.0::DOUBLE ELSE 5000.0::DOUBLE END AS c FROM grid LEFT JOIN hit ON hit.z = grid.z AND hit.y = grid.y AND hit.x = grid.x), """
+    + _mirror("p0", {"z": "20", "y": "22", "x": "26"}, {"z": V.gaussian_weights(1.0), "y": V.gaussian_weights(2.0), "x": V.gaussian_weights(2.0)}) + " SELECT z, y, x, c AS g FROM blurred WHERE c > 0",
+    "eva_10_region_image": f"WITH {VOX} SELECT z - 2 AS z, 49 - y - 5 AS y, 63 - x - 10 AS x, inten FROM vox WHERE z >= 2 AND z < 6 AND 49 - y BETWEEN 5 AND 29 AND 63 - x BETWEEN 10 AND 39",
+    "eva_13_stages": _DOG + f", dg AS (SELECT z, y, x, (s2.c - l2.c) * {V.dog_factor(*S_SMALL, 1.0)!r} AS dog FROM s2 JOIN l2 USING (z, y, x, inten)), g AS (SELECT z, y, x, dog, {_grad('dog', 'x')} AS gx, {_grad('dog', 'y')} AS gy, {_grad('dog', 'z')} AS gz FROM dg), "
+    + f"h AS (SELECT z, y, x, dog, {_grad('gx', 'x')} AS xx, {_grad('gx', 'y')} AS xy, {_grad('gx', 'z')} AS xz, {_grad('gy', 'y')} AS yy, {_grad('gy', 'z')} AS yz, {_grad('gz', 'z')} AS zz FROM g) SELECT z, y - 5 AS y, x - 10 AS x, "
+    + ", ".join(f"round({c}, 9) AS {c}" for c in ("dog", *HESS)) + " FROM h WHERE z < 8 AND y BETWEEN 5 AND 29 AND x BETWEEN 10 AND 39",
     "agg_01_09_features": _hess("v") + """ SELECT label, count(*) AS n_voxels, CAST(count(*) % 65536 AS INTEGER) AS size, max(v) AS max_norm, min(v) AS min_norm, max(inten) AS max_intensity, round(sum(v), 6) AS sum_norm,
       round(avg(v), 6) AS mean_norm, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, """ + ", ".join(f"round(sum({h}), 6) AS sum_{h}" for h in HESS) + " FROM h GROUP BY label",
-    "agg_10_eigen": _hess("inten") + """, m AS (SELECT z, y, sum(xx) AS xx, sum(xy) AS xy, sum(xz) AS xz, sum(yy) AS yy, sum(yz) AS yz, sum(zz) AS zz FROM h GROUP BY z, y)
-      SELECT z, y, round(xx + yy + zz, 3) AS trace, round((xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)) * CAST(0.7310585 AS DOUBLE) * 1e-6, 3) AS structureness,
-      round((xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) * CAST(0.7310585 AS DOUBLE) * 1e-9, 3) AS det FROM m""",
+    "agg_10_eigen": _hess("inten") + """, m AS (SELECT z, y, sum(xx) AS xx, sum(xy) AS xy, sum(xz) AS xz, sum(yy) AS yy, sum(yz) AS yz, sum(zz) AS zz FROM h GROUP BY z, y),
+      q AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS off FROM m), p AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * off) / 6) AS p FROM q),
+      t AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 AS t FROM p)
+      SELECT z, y, round((q + 2 * p * cos(t + 2 * pi() / 3)) * CAST(0.7310585 AS DOUBLE), 3) AS e0, round((q - 2 * p * (cos(t) + cos(t + 2 * pi() / 3))) * CAST(0.7310585 AS DOUBLE), 3) AS e1, round((q + 2 * p * cos(t)) * CAST(0.7310585 AS DOUBLE), 3) AS e2, round(xx + yy + zz, 3) AS trace, round((xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)) * CAST(0.7310585 AS DOUBLE) * 1e-6, 3) AS structureness,
+      round((xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) * CAST(0.7310585 AS DOUBLE) * 1e-9, 3) AS det FROM t""",
     "cpu_01_scale_response": f"WITH {VOX} SELECT label, round(avg(v) FILTER (WHERE inten > 6000), 9) AS response FROM vox GROUP BY label",
     "ccl_01_components": _CCL + " SELECT z, y, x, label FROM fg JOIN lab USING (id)",
     "ccl_regions": _CCL + " SELECT label, CAST(count(*) AS INTEGER) AS size, max(v) AS max_norm, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, round(sum(v), 6) AS sum_norm FROM fg JOIN lab USING (id) GROUP BY label",
     "mrg_05_rotate_flip": f"WITH {VOX} SELECT z, 49 - (49 - y) AS rx, x AS ry, y AS qx, 63 - (63 - x) AS qy, inten FROM vox",
     "mrg_06_block_agg": _BLOCK + ' SELECT z, bx, "by", mean, max, min FROM a',
     "mrg_07_09_mosaic": _BLOCK + " SELECT z, CAST(19 - ((z % 2) * 10 + bx) AS INTEGER) AS mx, CAST((z // 2 % 2) * 7 + \"by\" AS INTEGER) AS my, CASE WHEN bx = 0 OR \"by\" = 0 THEN 5000 ELSE mean END AS mean FROM a",
+    "mrg_02_bounds": f"WITH {CELLS} SELECT side, CASE WHEN side = 'FW' THEN lz * 5 <= 250 ELSE lz * 5 >= 200 END AS ok, count(*) AS n FROM cells GROUP BY ALL",
+    "mrg_03_reversed": f"WITH {VOX}, {_PLAN} SELECT side, index, CAST(row_number() OVER (ORDER BY side DESC, index DESC) - 1 AS INTEGER) AS position FROM p",
+    "mrg_04_geometry": f"""WITH {VOX}, b AS (SELECT z, CAST(floor((x - 2) * (CAST(3 AS DOUBLE) / 60)) AS INTEGER) AS bx, CAST(floor((y - 1) * (CAST(2 AS DOUBLE) / 48)) AS INTEGER) AS "by", inten FROM vox WHERE x >= 2 AND y >= 1 AND z % 2 = 0)
+      SELECT z, bx, "by", CAST(sum(inten) AS BIGINT) // count(*) AS mean FROM b WHERE bx < 3 AND "by" < 2 GROUP BY ALL""",
+    "mrg_10_volume": _BLOCK + f', {_PLAN}, k AS (SELECT side, index, CAST(row_number() OVER (ORDER BY side, index) - 1 AS INTEGER) AS mz FROM p) SELECT mz, "by", bx, mean, max, min FROM k JOIN a ON a.z = k.index',
+    "mrg_11_every_slice": _BLOCK + ', n AS (SELECT DISTINCT z, dense_rank() OVER (ORDER BY z) - 1 AS i FROM a) SELECT a.z, CAST(i // 3 AS INTEGER) AS mz, "by", bx, mean FROM a JOIN n ON n.z = a.z WHERE i % 3 = 0',
     "mrg_01_plan": f"""WITH {VOX}, z AS (SELECT DISTINCT CAST(z AS INTEGER) AS index FROM vox),
       p AS (SELECT 'FW' AS side, index FROM z WHERE index < 7 AND (7 - index) % 2 = 0 UNION ALL SELECT 'RV', index FROM z WHERE index >= 1 AND (index - 1) % 2 = 0)
       SELECT side, index, CAST(row_number() OVER (ORDER BY side, index) - 1 AS INTEGER) AS position FROM p""",
 }
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[:4] in ("flt_", "agg_", "cpu_", "ccl_", "mrg_", "dete")}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[:4] in ("flt_", "agg_", "cpu_", "ccl_", "mrg_", "dete", "eva_", "cls_")}

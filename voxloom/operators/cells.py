@@ -74,6 +74,25 @@ def inside_margin(x: Column, y: Column, z: Column, w: int, h: int, d: int) -> Co
     return (x >= 10) & (x < w - 10) & (y >= 10) & (y < h - 10) & (z > 5) & (z < d - 5)
 
 
+def lookup(df: DataFrame, keys: DataFrame, on: str, missing: str = "flag") -> DataFrame:
+    """Each row with the columns of its key. A key that isn't there is flagged (column `found`), or an error."""
+    out = df.join(keys.withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if missing == "flag":
+        return out
+    told = F.raise_error(F.concat(F.lit(f"no such {on}: "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+    return out.withColumn("found", F.when(F.col("found"), F.col("found")).otherwise(told.cast("boolean")))
+
+
+def slice_global_z(slices: DataFrame, by: list[str], z: str, offset: Column, scale: float, out: str = "global_z", completed: bool = False) -> DataFrame:
+    """Global z of each slice of a stack, from the numbers in the slices' names.
+
+    Numbers count from the stack's first slice in steps of its first gap; in a completed grid they count as they are."""
+    w = Window.partitionBy(*by).orderBy(z)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gap = F.lit(1) if completed else F.coalesce(F.nth_value(z, 2).over(whole) - F.first(z).over(whole), F.lit(1))
+    return slices.withColumn(out, offset + (F.col(z) - F.first(z).over(whole)) / gap * scale)
+
+
 def greatest_at_most(df: DataFrame, at: str, points: DataFrame, point: str, keep: list[str]) -> DataFrame:
     """As-of join: each row gets the columns of the greatest `point` not beyond `at`; rows before all points go.
 

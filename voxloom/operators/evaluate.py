@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .nearest import nearest_within
+from .nearest import nearest_any, nearest_within
 
 
 def with_nearest(points: DataFrame, key: str, others: DataFrame, other: str, bound: float) -> DataFrame:
@@ -15,8 +15,10 @@ def with_nearest(points: DataFrame, key: str, others: DataFrame, other: str, bou
 
 
 def truth_from_markers(predicted: DataFrame, key: str, false_pos: DataFrame, false_neg: DataFrame, bound: float) -> DataFrame:
-    """Predictions without those nearest to a false-positive marker, and the false-negative markers."""
-    wrong = nearest_within(false_pos, key, predicted, key, bound, inclusive=True).select(F.col("near_id").alias(key)).distinct()
+    """Predictions without those nearest to a false-positive marker, at any distance, and the false-negative markers.
+
+    bound: where the search for neighbours begins."""
+    wrong = nearest_any(false_pos, key, predicted, key, bound).select(F.col("near_id").alias(key)).distinct()
     right = predicted.join(wrong, key, "left_anti")
     return right.select("x", "y", "z").withColumn("kind", F.lit("TP")).unionByName(false_neg.select("x", "y", "z").withColumn("kind", F.lit("FN")))
 

@@ -134,3 +134,24 @@ def grid_overlay(df: DataFrame, value: str, bright: int = 5000) -> DataFrame:
 def mirror(df: DataFrame, width: int, height: int, flags: int) -> DataFrame:
     x, y = F.col("mx"), F.col("my")
     return df.withColumns({"mx": F.lit(width - 1) - x if flags & FLIP_X else x, "my": F.lit(height - 1) - y if flags & FLIP_Y else y})
+
+
+def region_image(df: DataFrame, zlim: tuple[int, int], ylim: tuple[int, int], xlim: tuple[int, int], width: int, height: int, flip_x: bool = False, flip_y: bool = False) -> DataFrame:
+    """Voxels of half-open ranges, counted from their starts; flips of the whole slices come before the cut."""
+    flipped = {"x": F.lit(width - 1) - F.col("x") if flip_x else F.col("x"), "y": F.lit(height - 1) - F.col("y") if flip_y else F.col("y")}
+    df = df.where((F.col("z") >= zlim[0]) & (F.col("z") < zlim[1])).withColumns(flipped)
+    for c, (lo, hi) in (("y", ylim), ("x", xlim)):
+        df = df.where((F.col(c) >= lo) & (F.col(c) < hi))
+    return df.withColumns({c: F.col(c) - lo for c, (lo, _) in (("z", zlim), ("y", ylim), ("x", xlim))})
+
+
+def stack_planes(planes: DataFrame, plan: DataFrame, on: list[str]) -> DataFrame:
+    """Merged planes as one volume: each plane's rows get the position that the plan gives its slice."""
+    return planes.join(plan.select(*on, "position"), on).withColumnRenamed("position", "mz")
+
+
+def every_slice(slices: DataFrame, name: str, skip: int) -> DataFrame:
+    """Every skip-th of the slice names that any tile has, with its position."""
+    w = Window.orderBy(name)  # over a scan's list of slice names
+    numbered = slices.select(name).distinct().withColumn("__i", F.row_number().over(w) - 1)
+    return numbered.where(F.col("__i") % skip == 0).withColumn("position", F.expr(f"cast(__i div {skip} as int)")).drop("__i")

@@ -66,6 +66,41 @@ def weighted(c: str, axis: str, weights: list[float], keys: tuple[str, ...] = ()
     return out
 
 
+def mirrored(c: str, axis: str, weights: list[float], keys: tuple[str, ...] = ()) -> Column:
+    """Sum of weighted neighbours of a dense line; beyond a border the line is mirrored, its end value first.
+
+    Lines must be at least as long as half the weights."""
+    w, r = line(axis, keys), len(weights) // 2
+    i = F.row_number().over(w) - 1
+    after = F.count(F.lit(1)).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)) - 1
+
+    def at(j: int) -> Column:
+        return F.col(c) if not j else F.lag(c, -j).over(w) if j < 0 else F.lead(c, j).over(w)
+
+    def near(j: int) -> Column:
+        # |j| steps from a place less than |j| from the border end up 2 * place + 1 steps nearer, on the other side
+        out, place = at(j), i if j < 0 else after
+        for k in range(abs(j)):
+            steps = abs(j) - 2 * k - 1
+            out = F.when(place == k, at(steps if j < 0 else -steps)).otherwise(out)
+        return out
+
+    terms = [F.lit(k) * near(j) for j, k in zip(range(-r, r + 1), weights, strict=True)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def blur_whole(df: DataFrame, c: str, out: str, sigma: tuple[float, float, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian blur of whole numbers along z, y and x, mirrored at the borders; each pass is cut to a whole number."""
+    df = by_column(df, keys).withColumn(out, F.col(c).cast("double"))
+    for a, s in zip("zyx", sigma, strict=True):
+        df = by_slice(df, keys) if a == "y" else df
+        df = df.withColumn(out, F.floor(F.round(mirrored(out, a, gaussian_weights(s), keys), 6)).cast("double"))
+    return df
+
+
 def gradient(c: str, axis: str, keys: tuple[str, ...] = ()) -> Column:
     """Half the difference of the neighbours, 0 beyond the border."""
     w = line(axis, keys)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A packed record: six 32-bit floats, a 16-bit size and two bytes of padding; fixed values of the format.
@@ -53,6 +53,20 @@ def list_slices(spark: SparkSession, path: str) -> DataFrame:
     return _named(_files(spark, path).select("path")).drop("path")
 
 
+def slice_range(slices: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The slices low to high - 1 of each stack, counted from 0 in the order of their names."""
+    w = Window.partitionBy("side", "yname", "xname").orderBy("zname")
+    i = F.row_number().over(w) - 1
+    at = slices.withColumn("__i", i)
+    return at.where((F.lit(low is None) | (F.col("__i") >= (low or 0))) & (F.lit(high is None) | (F.col("__i") < (high or 0)))).drop("__i")
+
+
+def collection_stats(records: DataFrame) -> DataFrame:
+    """Stacks, records and the extremes of each coordinate, by side."""
+    ends = [g(f"local_{a}").alias(f"{n}_{a}") for a in "xyz" for g, n in ((F.min, "min"), (F.max, "max"))]
+    return records.groupBy("side").agg(F.countDistinct("yname", "xname").alias("stacks"), F.count("*").alias("n"), *ends)
+
+
 def complete_grid(slices: DataFrame) -> DataFrame:
     """Every tile of a side with every slice name of the side; is_dummy marks those without a file."""
     tiles = slices.select("side", "yname", "xname").distinct()
