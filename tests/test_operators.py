@@ -201,3 +201,48 @@ def test_mirrored_blur(spark, volume):
         padded = np.pad(want, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
         want = np.floor(np.round(sum(k * np.take(padded, range(j, j + v.shape[axis]), axis=axis) for j, k in enumerate(w)), 6))
     assert np.array_equal(dense(windows.blur_whole(rows(spark, v), "v", "g", sigma), "g", v.shape), want)
+
+
+PARAMS = """{"devID": 0, "input_image_info": {"width": 44, "height": 40, "left_margin": 1, "right_margin": 1, "top_margin": 1, "bottom_margin": 1}, "coordinate_info": {"scale_x": 1, "scale_y": 1, "scale_z": 1},
+  "HDoG_param": {"depth": 16, "extra_depth_margin": 3, "radius_norm": {"xy_large": 3, "z_large": 1}, "min_intensity": 1000, "gamma_n": 1.0, "sigma_dog": {"xy_small": 1.0, "z_small": 0.6, "xy_large": 1.5, "z_large": 0.9}, "min_size": 4}}"""
+
+
+def test_detection_in_tiles(spark):
+    """Tiles of two stacks at once find what whole slices of each stack find."""
+    from voxloom.jobs import detect
+
+    s = detect.Settings.from_json(PARAMS)
+    assert (s.depth, s.radii, s.edges, s.min_size, s.mean_intensity) == (16, (3, 3, 1), (1, 1, 1, 1), 4, False)
+    with pytest.raises(KeyError):
+        detect.Settings.from_json(PARAMS.replace("min_size", "least_size"))
+    rng, spots = np.random.default_rng(8), np.indices((3, 3, 3)).reshape(3, -1) - 1
+    both, want = None, []
+    for name, depth in (("a", 33), ("b", 24)):
+        v = rng.integers(0, 900, (depth, 40, 44)).astype(float)
+        for z, y, x in ((z, y, x) for z in range(4, depth - 3, 9) for y in range(5, 38, 10) for x in range(5, 42, 10)):
+            z, y, x = z + rng.integers(-1, 2), y + rng.integers(-2, 3), x + rng.integers(-2, 3)
+            v[z + spots[0], y + spots[1], x + spots[2]] += 3000
+        df = rows(spark, v).withColumn("name", F.lit(name))
+        both = df if both is None else both.unionByName(df)
+        # the whole volume, substack by substack, without Spark
+        length, step = depth, s.depth - 2 * s.margin
+        for z0 in range(0, length - s.margin, step):
+            block = np.zeros((s.depth, 40, 44))
+            part = v[z0 : z0 + s.depth]
+            block[: len(part)] = part
+            f = detect.block_features(block, s)
+            f = f[(f.cz >= s.margin) & (f.cz < min(s.depth, length - z0) - s.margin) & (f.cy >= 1) & (f.cy < 39) & (f.cx >= 1) & (f.cx < 43) & (f.n_voxels >= 4) & (f.max_norm > 0)]
+            want += [(name, round(r.cz + z0, 6), round(r.cy, 6), round(r.cx, 6), int(r.n_voxels), round(r.max_norm, 6)) for r in f.itertuples()]
+    got = detect.detect(both, "v", 40, 44, s, ("name",), tile=16).collect()
+    assert sorted((r.name, round(r.z, 6), round(r.y, 6), round(r.x, 6), r.size, round(r.intensity, 6)) for r in got) == sorted(want) and len(want) > 20
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_as_of(spark, monkeypatch, small):
+    monkeypatch.setattr(cells, "SMALL_POINTS", small)
+    rng = np.random.default_rng(2)
+    at, points = rng.integers(0, 1000, 300), np.unique(rng.integers(100, 900, 40))
+    df = spark.createDataFrame(pd.DataFrame({"k": range(300), "v": at.astype(float)}))
+    p = spark.createDataFrame(pd.DataFrame({"off": points.astype(float), "name": [f"n{x}" for x in points]}))
+    got = {r.k: r.off for r in cells.greatest_at_most(df, "v", p, "off", ["off", "name"]).collect()}
+    assert got == {k: float(points[points <= x].max()) for k, x in enumerate(at.tolist()) if x >= points[0]}

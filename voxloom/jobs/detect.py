@@ -1,21 +1,27 @@
-"""Candidate detection: overlapping substacks through the filter chain, one kernel call for each substack.
+"""Candidate detection: overlapping tiles of stacks through the filter chain, one kernel call for each tile.
 
-One shuffle brings a substack's voxels together; filters, components and features then run in numpy on the dense
-block, and only candidate records come out. Blocks are cut along z with a margin, so each candidate is kept by one."""
+One shuffle brings a tile's voxels together; filters, components and features then run in numpy on the dense block, and
+only candidate records come out. Tiles overlap along z, y and x by what the filters reach, so each candidate is kept by
+the one tile that its centre lies in; a region that reaches out of a tile's margin is cut there. A task holds some ten
+arrays of (tile + 2 margins) squared times depth doubles, whatever the size of a slice.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import kernels as K
 from ..operators import regions as R
 from ..operators.cells import candidate
 from ..operators.partition import substacks
+from ..sources.shared import materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -36,8 +42,25 @@ class Settings:
     def margin(self) -> int:
         return int(2.0 * self.large[1] + 0.5) + self.extra_margin
 
+    @property
+    def reach(self) -> int:
+        """Margin along x and y: erosion, box, blur, two gradients, and as much again as along z for regions."""
+        return max(self.radii[:2]) + max(self.box[:2]) + int(2.0 * self.large[0] + 0.5) + 2 + self.extra_margin
+
+    @classmethod
+    def from_json(cls, text: str) -> Settings:
+        """From a parameter file. Optional keys have defaults, any other missing one is an error."""
+        j = json.loads(text)
+        image, p = j["input_image_info"], j["HDoG_param"]
+        r, g = p["radius_norm"], p["sigma_dog"]
+        wide = (r["xy_large"], r["xy_large"], r["z_large"])
+        return cls(
+            depth=p["depth"], extra_margin=p["extra_depth_margin"], radii=wide, box=wide, least=p["min_intensity"], small=(g["xy_small"], g["z_small"]), large=(g["xy_large"], g["z_large"]), gamma=p["gamma_n"],
+            edges=(image["left_margin"], image["top_margin"], image["right_margin"], image["bottom_margin"]), min_size=p["min_size"], mean_intensity=j.get("is_ave_mode", False),
+        )
 
-FEATURES = "z0 long, label long, n_voxels long, cz double, cy double, cx double, max_norm double, sum_norm double, sum_xx double, sum_xy double, sum_xz double, sum_yy double, sum_yz double, sum_zz double"
+
+FEATURES = "label long, n_voxels long, cz double, cy double, cx double, max_norm double, sum_norm double, sum_xx double, sum_xy double, sum_xz double, sum_yy double, sum_yz double, sum_zz double"
 
 
 def block_features(v: np.ndarray, s: Settings, wrap: bool = False) -> pd.DataFrame:
@@ -53,20 +76,30 @@ def block_features(v: np.ndarray, s: Settings, wrap: bool = False) -> pd.DataFra
     return g.agg(n_voxels=("norm", "size"), cz=("cz", "mean"), cy=("cy", "mean"), cx=("cx", "mean"), max_norm=("norm", "max"), sum_norm=("norm", "sum"), **{f"sum_{n}": (f"sum_{n}", "sum") for n in R.HESSIAN}).reset_index()
 
 
-def detect(voxels: DataFrame, value: str, height: int, width: int, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """Candidates of one stack: coordinates in the stack, shape features, intensity, size."""
-    length = voxels.agg((F.max("z") + 1).alias("n")).first()["n"] or 0
-    rows = substacks(voxels.select("z", "y", "x", F.col(value).alias("value")), "z", F.lit(length), s.depth, s.margin)
+def detect(voxels: DataFrame, value: str, height: int, width: int, s: Settings = Settings(), stack: tuple[str, ...] = (), tile: int = 256) -> DataFrame:  # noqa: B008
+    """Candidates of every stack (columns `stack`): coordinates in the stack, shape features, intensity, size."""
+    rows = voxels.select(*stack, F.lit(0).alias("all"), F.col("z").cast("long").alias("z"), "y", "x", F.col(value).alias("value"))
+    keys = [*stack, "all"]
+    length = materialize(rows.groupBy(*keys).agg((F.max("z") + 1).alias("length")), "lengths")
+    rows = substacks(rows.join(small_side(length), keys), "z", F.col("length"), s.depth, s.margin)
+    for a, n in (("y", height), ("x", width)):
+        low, high = F.floor((F.col(a) - s.reach) / tile), F.floor((F.col(a) + s.reach) / tile)
+        rows = rows.withColumn(f"t{a}", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit((n - 1) // tile)))))
+    by = [*keys, "z0", "length", "ty", "tx"]
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        z0 = int(pdf["z0"].iloc[0])
-        v = np.zeros((s.depth, height, width))  # slices beyond the end are zero
-        v[pdf["z"] - z0, pdf["y"], pdf["x"]] = pdf["value"]
-        return block_features(v, s).assign(z0=z0)
-
-    f = rows.groupBy("z0").applyInPandas(block, FEATURES)
+        first = pdf.iloc[0]
+        (y0, y1), (x0, x1) = ((max(0, int(first[t]) * tile - s.reach), min(n, (int(first[t]) + 1) * tile + s.reach)) for t, n in (("ty", height), ("tx", width)))
+        v = np.zeros((s.depth, y1 - y0, x1 - x0))  # slices beyond the end are zero
+        v[pdf["z"] - int(first["z0"]), pdf["y"] - y0, pdf["x"] - x0] = pdf["value"]
+        f = block_features(v, s)
+        return f.assign(cy=f["cy"] + y0, cx=f["cx"] + x0, **{k: first[k] for k in by})[[*by, *f.columns]]
+
+    schema = T.StructType([*[rows.schema[k] for k in by], *T.StructType.fromDDL(FEATURES).fields])
+    f = rows.groupBy(*by).applyInPandas(block, schema)
+    f = f.where((F.floor(F.col("cy") / tile) == F.col("ty")) & (F.floor(F.col("cx") / tile) == F.col("tx")))
     f = R.shape_features(f.withColumn("size", (F.col("n_voxels") % 65536).cast("int")))
     f = f.withColumn("intensity", F.col("sum_norm") / F.col("n_voxels") if s.mean_intensity else F.col("max_norm"))
     left, top, right, bottom = s.edges
-    f = candidate(f, "cz", "cy", "cx", depth=F.least(F.lit(s.depth), F.lit(length) - F.col("z0")), margin=s.margin, left=left, top=top, right=right, bottom=bottom, width=width, height=height, min_size=s.min_size)
-    return f.select((F.col("cz") + F.col("z0")).alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), "structureness", "blobness", "intensity", "size")
+    f = candidate(f, "cz", "cy", "cx", depth=F.least(F.lit(s.depth), F.col("length") - F.col("z0")), margin=s.margin, left=left, top=top, right=right, bottom=bottom, width=width, height=height, min_size=s.min_size)
+    return f.select(*stack, (F.col("cz") + F.col("z0")).alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), "structureness", "blobness", "intensity", "size")

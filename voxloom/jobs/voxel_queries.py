@@ -220,8 +220,8 @@ def mrg_11_every_slice(s: SparkSession, d: str) -> DataFrame:
 
 
 def detect_end_to_end(s: SparkSession, d: str) -> DataFrame:
-    """Substacks through the whole chain to candidates; each block is one numpy kernel call."""
-    return detect.detect(base(s, d), "inten", HEIGHT, WIDTH, detect.Settings(depth=8, extra_margin=1))
+    """Tiles of substacks through the whole chain to candidates; each tile is one numpy kernel call."""
+    return detect.detect(base(s, d), "inten", HEIGHT, WIDTH, detect.Settings(depth=8, extra_margin=1), tile=32)
 
 
 def _pass(src: str, name: str, axis: str, expr: str, cols: str = "z, y, x, inten") -> str:

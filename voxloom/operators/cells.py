@@ -93,6 +93,10 @@ def slice_global_z(slices: DataFrame, by: list[str], z: str, offset: Column, sca
     return slices.withColumn(out, offset + (F.col(z) - F.first(z).over(whole)) / gap * scale)
 
 
+#: Points up to which an as-of join broadcasts them, if no bucket holds more than so many.
+SMALL_POINTS, IN_BUCKET = 100_000, 64
+
+
 def greatest_at_most(df: DataFrame, at: str, points: DataFrame, point: str, keep: list[str]) -> DataFrame:
     """As-of join: each row gets the columns of the greatest `point` not beyond `at`; rows before all points go.
 
@@ -110,6 +114,13 @@ def greatest_at_most(df: DataFrame, at: str, points: DataFrame, point: str, keep
     grid = df.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("__b")).join(last, "__b", "left")
     before = grid.select(F.col("__b"), F.last("__kept", ignorenulls=True).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     rows = df.where(F.col(at) >= lo).withColumn("__b", cell(at))
+    if n <= SMALL_POINTS:
+        lists = p.groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("__at", "__kept"))).alias("__list"))
+        if (lists.agg(F.max(F.size("__list"))).first()[0] or 0) <= IN_BUCKET:
+            # few points, evenly spread: they go to the rows, which stay where they are
+            own = F.try_element_at(F.filter("__list", lambda e: e["__at"] <= F.col(at)), F.lit(-1))
+            got = rows.join(F.broadcast(before.join(lists, "__b", "left")), "__b").withColumn("__got", F.coalesce(own["__kept"], "__before"))
+            return got.select(*df.columns, "__got.*")
     both = rows.select("__b", F.col(at).alias("__at"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(p.schema["__kept"].dataType).alias("__kept")).unionByName(p.select("__b", "__at", F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType).alias("__row"), "__kept"))
     w = Window.partitionBy("__b").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__own", F.last("__kept", ignorenulls=True).over(w)).where("__row is not null")
