@@ -6,8 +6,10 @@ buckets: one over all documents, one over trusted documents (labels with quality
 the two; the base rules and a fixed threshold on the score decide. Only Spark's own functions run.
 
 Defined results: null and empty texts have no words, score 0 and fail the base rules (fewer than ten words); without
-trusted documents every score is 0, and the base rules alone decide; repeated rows and ties are judged alike; columns
-of the input other than the operator's own pass through.
+trusted documents every score is 0, and the base rules alone decide; repeated rows and ties are judged alike; an empty
+table gives no rows; texts of any length are judged whole; columns of the input other than the operator's own pass
+through. The threshold was set on labelled documents of sf0.1: 99.8 % of the trusted ones score as much or more (mean
+0.018), of those with quality 0 and toxic 0, 23 %.
 """
 
 from __future__ import annotations
