@@ -3,14 +3,16 @@
 `store` writes the UTF-8 bytes of each text, padded with zero bytes to a positive multiple of 64, as an 8-bit grey PNG
 image of 64 samples a row (lossless). Every task appends its images to tar shards of its own in the shared folder;
 members are named by the SHA-256 of the image, and a content that a shard holds already is not written again. The rows
-carry digest, shard, offset and length. `headers` fills metadata columns with range reads of the first bytes of each
+carry digest, shard, offset and length; of a content that several tasks have written, all rows name the same place, the
+first one. `headers` fills metadata columns with range reads of the first bytes of each
 image only; `read_back` reads whole images and computes digests and features from their samples.
 
 Shards are opened with pyarrow's file systems, so the shared folder may be a local one or a remote store. A task that
 runs again writes new shards; rows only name shards of the attempt that was committed.
 
 Defined results: null counts as an empty text (64 zero bytes); texts of any length are one image; equal texts give
-equal values; repeated rows repeat; other columns pass through `store`.
+equal values, their place included; repeated rows repeat; an empty table gives no rows; other columns pass through
+`store`, except those named as what it adds.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, materialize, table
+from .common import arrow_batches, fresh_path, give_back, materialize, table
 
 ROW = 64
 SHARD_BYTES = 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Stored bytes that a task reads back.
+TASK_BYTES = 16 << 20
 #: Bytes of an image up to the end of its header chunk.
 HEADER = 33
 PLACE = [T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]
@@ -136,6 +141,7 @@ class _Ranges:
 
 def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
     """Write the shards; the result has the input's columns but the text, and n_bytes, digest, shard, offset, length."""
+    arrow_batches(df.sparkSession)
     folder = fresh_path(df.sparkSession, name)
     folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
     df = df.drop(*[f.name for f in PLACE if f.name != text])
@@ -154,9 +160,19 @@ def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
             place = pd.DataFrame(rows, columns=[f.name for f in PLACE], index=b.index)
             yield pd.concat([b[[f.name for f in kept]], place], axis=1)
         shards.close()
+        give_back()
 
     # written at once: reading the plan again must not write the shards again
-    return materialize(df.mapInPandas(run, T.StructType([*kept, *PLACE])), name + "-index")
+    index = materialize(df.mapInPandas(run, T.StructType([*kept, *PLACE])), name + "-index")
+    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("__place"))
+    return index.join(first, "digest").select(*[f.name for f in kept], "n_bytes", "digest", "__place.shard", "__place.offset", "length")
+
+
+def spread(index: DataFrame) -> DataFrame:
+    """The index dealt out by the bytes that it stands for, in order of place, so that tasks read alike much, forwards."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return index.repartitionByRange(n, "shard", "offset", F.xxhash64(*[f.name for f in index.schema.fields if f.name not in ("shard", "offset")])).sortWithinPartitions("shard", "offset")
 
 
 def headers(index: DataFrame) -> DataFrame:
@@ -178,14 +194,16 @@ def read_back(index: DataFrame) -> DataFrame:
     index = index.drop(*[n for n, _ in fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges = _Ranges()
+        ranges, last, row = _Ranges(), None, ()
         for b in batches:
             rows = []
-            for s, o, n in zip(b["shard"], b["offset"], b["length"], strict=True):
-                image = ranges.read(s, o, n)
-                samples = from_png(image)
-                data = samples.tobytes()
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(image), hashlib.sha256(image).hexdigest(), features(samples)))
+            for place in zip(b["shard"], b["offset"], b["length"], strict=True):
+                if place != last:  # of equal places in a row, the image is read once
+                    image = ranges.read(*place)
+                    samples = from_png(image)
+                    data = samples.tobytes()
+                    last, row = place, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(image), hashlib.sha256(image).hexdigest(), features(samples))
+                rows.append(row)
             yield pd.concat([b, pd.DataFrame(rows, columns=[n for n, _ in fields], index=b.index)], axis=1)
 
     return index.mapInPandas(run, T.StructType([*index.schema.fields, *[T.StructField(n, t) for n, t in fields]]))
@@ -193,8 +211,8 @@ def read_back(index: DataFrame) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = store(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = read_back(headers(index))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "offset", "length")
+    out = read_back(headers(spread(index)))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset", "length")
 
 
 QUERIES = {"op6_media": op6_media}
