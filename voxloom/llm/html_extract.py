@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow_batches, table
 
 #: What may begin at a `<`: a comment, a tag, or a declaration.
 MARKUP = re.compile(r"<(?:(!--)|(/?)([a-z][a-z0-9:-]*)|[!?/])", re.I)
@@ -363,6 +363,7 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of each page."""
     df = df.drop(out)
+    arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -373,6 +374,7 @@ def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
 
 def _extract_only(df: DataFrame) -> DataFrame:
     """Without sending the pages back from Python."""
+    arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
