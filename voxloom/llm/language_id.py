@@ -5,35 +5,36 @@ learned weights of its affixes and inner n-grams of one to three letters (hashed
 the lexicon of the training words; learned transitions tie neighbours. Forward-backward gives each word a distribution
 over languages, so that code-switched lines keep their parts; the document's language has the largest mean.
 
-The field is trained by gradient ascent on the likelihood of a sample of at most `train_docs` labelled documents,
-chosen by a hash of their ids; prediction covers the whole text of every document, without a shuffle.
-
-Defined results: null texts and texts without letters are `und` with score 0; without training documents everything is
-`und`; ties go to the first language in code point order; equal texts get equal results; other columns pass through.
+The field is trained by gradient ascent on the likelihood of a sample of at most `train_docs` labelled documents of
+`TRAIN_CHARS` characters at most, chosen by a hash of their ids; prediction covers the whole text of every document,
+without a shuffle.
+
+Defined results: letters are those of Unicode (category L), so numerals like one half are none; null texts and texts
+without letters are `und` with score 0; without training documents everything is `und`; ties go to the first language
+in code point order; equal texts get equal results (scores are rounded to six decimals), repeated rows repeat; an empty
+table gives no rows; very long texts are handled in pieces of whole lines, a line whole; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import letter_runs, table, with_columns
 
-#: Bound of the training sample.
-TRAIN_DOCS = 800
+#: Bounds of the training sample, which the driver holds: documents, and characters of each.
+TRAIN_DOCS, TRAIN_CHARS = 800, 50_000
 SLOTS = 1 << 15
 LEXICON = 4000
 EPOCHS = 30
-TOKENS = re.compile(r"[^\W\d_]+|\n")
 #: Words handled at once, and word types whose scores are kept; both bound the memory of a task.
-AT_ONCE, CACHED_TYPES = 200_000, 250_000
+AT_ONCE, CACHED_TYPES = 100_000, 150_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -158,7 +159,7 @@ def fit(texts: list[tuple[str, str]]) -> Field | None:
         return None
     k, words, lengths, gold = len(langs), [], [], []
     for text, lang in texts:
-        w, n = chains(TOKENS.findall(text.lower()))
+        w, n = chains(letter_runs(text.lower(), lines=True))
         words += w
         lengths += n
         gold += [langs.index(lang)] * len(w)
@@ -228,7 +229,7 @@ class Tagger:
         """All words, each text's number of words, and the words' distributions over languages."""
         words, lengths, sizes = [], [], []
         for t in texts:
-            w, n = chains(TOKENS.findall((t or "").lower()))
+            w, n = chains(letter_runs((t or "").lower(), lines=True))
             words += w
             lengths += n
             sizes.append(len(w))
@@ -242,25 +243,40 @@ class Tagger:
         return self.scores[ids]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, out, scores, batch, size = self.field.langs, [], [], [], 0
+        """Language and score of each text; long texts go in pieces of whole lines, so that memory is bounded."""
+        langs, batch, size = self.field.langs, [], 0
+        total, count = np.zeros((len(texts), len(langs))), np.zeros(len(texts), dtype=np.int64)
 
         def flush() -> None:
-            _, sizes, post = self.words(batch)
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            mean = np.column_stack([np.bincount(owner, weights=post[:, j], minlength=len(batch)) for j in range(len(langs))]) / np.maximum(sizes, 1)[:, None]
-            best = mean.argmax(1)
-            out.extend(langs[b] if n else "und" for b, n in zip(best, sizes, strict=True))
-            scores.extend(float(min(1.0, mean[i, b])) if n else 0.0 for i, (b, n) in enumerate(zip(best, sizes, strict=True)))
-
-        for t in texts:
-            batch.append(t)
-            size += len(t or "")
-            if size > 5 * AT_ONCE:
-                flush()
-                batch, size = [], 0
+            _, sizes, post = self.words([piece for _, piece in batch])
+            owner = np.repeat([i for i, _ in batch], sizes)
+            for j in range(len(langs)):
+                total[:, j] += np.bincount(owner, weights=post[:, j], minlength=len(texts))
+            count[:] += np.bincount(owner, minlength=len(texts))
+
+        for i, t in enumerate(texts):
+            for piece in pieces(t or "", 5 * AT_ONCE):
+                batch.append((i, piece))
+                size += len(piece)
+                if size > 5 * AT_ONCE:
+                    flush()
+                    batch, size = [], 0
         if batch:
             flush()
-        return out, scores
+        mean = total / np.maximum(count, 1)[:, None]
+        best = mean.argmax(1)
+        scores = np.round(np.minimum(1.0, mean[np.arange(len(texts)), best]), 6) if len(texts) else []
+        return [langs[b] if n else "und" for b, n in zip(best, count, strict=True)], [float(x) if n else 0.0 for x, n in zip(scores, count, strict=True)]
+
+
+def pieces(text: str, most: int) -> Iterator[str]:
+    """The text cut at line ends into pieces of `most` characters, or of one line that is longer."""
+    at = 0
+    while len(text) - at > most:
+        end = text.rfind("\n", at, at + most) + 1 or text.find("\n", at + most) + 1 or len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -269,7 +285,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
     """docs: doc_id, text, lang. Held-out documents and those without a language are not looked at."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     rows = usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).collect()
     return fit([(r["d"]["text"] or "", r["d"]["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
@@ -278,16 +294,18 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
 def predict(df: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     """Add lang_pred and score."""
     df = df.drop("lang_pred", "score")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable:
         tagger = Tagger(shared.value) if shared.value else None
-        for b in batches:
-            langs, scores = tagger.predict(list(b[text])) if tagger else (["und"] * len(b), [0.0] * len(b))
-            yield b.assign(lang_pred=langs, score=np.array(scores, dtype=float))
 
-    return df.mapInPandas(run, schema)
+        def columns(texts: list[str | None]) -> list[pa.Array]:
+            langs, scores = tagger.predict(texts) if tagger else (["und"] * len(texts), [0.0] * len(texts))
+            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+
+        return columns
+
+    return with_columns(df, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
