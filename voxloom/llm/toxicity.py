@@ -8,23 +8,26 @@ The models are fitted on a sample of at most `train_docs` labelled documents, ch
 covers every document and its whole text, without a shuffle.
 
 Defined results: null and empty texts have no words and get probabilities from the measures alone; words are runs of
-letters, lower-cased; a category with only one class in the sample gets its smoothed base rate, without labels 0.5 at
-most and no rejection; equal texts get equal scores; other columns pass through.
+letters (Unicode category L), lower-cased; label rows that lack one of the categories aren't used, of labels with equal
+ids the largest counts, of documents with equal ids the first text; a category with only one class in the sample gets
+its smoothed base rate, without any labels all probabilities are 0; equal texts get equal scores, repeated rows repeat,
+a score at the threshold counts as toxic; an empty table gives no rows; a text of any length is read whole, one at a
+time; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, letter_runs, table, with_columns
 
 #: Bound of the sample of labelled rows that the models are fitted on.
 TRAIN_DOCS = 4000
@@ -35,7 +38,6 @@ FOLDS = 4
 THRESHOLD = 0.5
 #: (name, label column, value that counts as positive), in the order of the chain.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-LETTERS = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 200_000
 
 
@@ -49,7 +51,7 @@ def word_features(w: str) -> list[int]:
 def measures(text: str, n_words: int) -> list[float]:
     """Shares of upper case, digits and other signs; the scale of the length."""
     n = max(1, len(text))
-    letters = sum(map(len, LETTERS.findall(text)))
+    letters = sum(map(len, letter_runs(text)))
     upper = n - len(re.sub("[A-ZÀ-ÖØ-Þ]", "", text))
     digits = n - len(re.sub("[0-9]", "", text))
     signs = len(re.sub(r"[\w\s]", "", text))
@@ -58,7 +60,7 @@ def measures(text: str, n_words: int) -> list[float]:
 
 def _features(text: str | None) -> tuple[np.ndarray, list[float]]:
     text = text or ""
-    words = LETTERS.findall(text.lower())
+    words = letter_runs(text.lower())
     return np.array(sorted({f for w in set(words) for f in word_features(w)}), dtype=np.int64), measures(text, len(words))
 
 
@@ -161,7 +163,7 @@ class Chain:
 
     def score(self, text: str | None) -> list[float]:
         text = text or ""
-        words = LETTERS.findall(text.lower())
+        words = letter_runs(text.lower())
         present = {f for w in set(words) for f in self.hits(w)}
         total = np.zeros(len(self.models))
         for f in sorted(present):
@@ -177,16 +179,18 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, train_docs:
     given = labels.select("doc_id", *cols).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in cols])
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": [w.tobytes() for w, _ in got], "dense": [d for _, d in got]} | {c: b[c] for c in cols})
+            got = [_features(t) for t in b["text"].to_pylist()]
+            new = [pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([d for _, d in got], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *new, *[b[c] for c in cols]], names=["doc_id", "words", "dense", *cols])
+        give_back()
 
     kinds = {f.name: f.dataType for f in given.schema.fields}
     fields = [T.StructField("doc_id", kinds["doc_id"]), T.StructField("words", T.BinaryType()), T.StructField("dense", T.ArrayType(T.DoubleType())), *[T.StructField(c, kinds[c]) for c in cols]]
     # once for each id, the first text of equal ids
     d = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", *cols).agg(F.min("text").alias("text"))
-    got = sorted(d.select("doc_id", "text", *cols).mapInPandas(run, T.StructType(fields)).collect(), key=lambda r: r["doc_id"])
+    got = sorted(d.select("doc_id", "text", *cols).mapInArrow(run, T.StructType(fields)).collect(), key=lambda r: r["doc_id"])
     if not got:
         return []
     y = np.array([[float(r[c] == v) for _, c, v in chain] for r in got])
@@ -198,15 +202,18 @@ def score(df: DataFrame, models: list[Linear], chain: tuple = CHAIN, text: str =
     names = [f"p_{n}" for n, _, _ in chain]
     df = df.drop(*names, "toxic")
     shared = df.sparkSession.sparkContext.broadcast(models)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())])
+    fields = [*[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable:
         c = Chain(shared.value)
-        for b in batches:
-            p = np.array([c.score(t) if c.models else [0.0] * len(names) for t in b[text]]).reshape(-1, len(names))
-            yield b.assign(**{n: p[:, i] for i, n in enumerate(names)}, toxic=p[:, -1] >= threshold)
 
-    return df.mapInPandas(run, schema)
+        def columns(texts: list[str | None]) -> list[pa.Array]:
+            p = np.array([c.score(t) if c.models else [0.0] * len(names) for t in texts]).reshape(-1, len(names))
+            return [*[pa.array(p[:, i].copy()) for i in range(len(names))], pa.array(p[:, -1] >= threshold)]
+
+        return columns
+
+    return with_columns(df, text, fields, make)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
