@@ -42,6 +42,15 @@ def test_url_rules(spark, inline):
     assert url_filter.url_filter(df.limit(0), "url", url_filter.HOST_RULES, inline_rules=inline).count() == 0
 
 
+def test_url_many_rules(spark):
+    """A list that is joined judges as one that is inlined; rules without a token and very long addresses too."""
+    rules = url_filter.HOST_RULES + [url_filter.Rule(f"/r{i}/", f"/r{i}/", "block") for i in range(1200)] + [url_filter.Rule("*zz*", "*zz*", "block")]
+    urls = [*URLS, "http://a.com/r17/x", "http://a.com/xzzx", "http://a.com/" + "y" * 200_000 + "/r5/", "http://net/zz"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = [{r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(df, "url", rules, inline_rules=n).collect()} for n in (5000, 1000)]
+    assert got[0] == got[1] and [got[0][i][1] for i in range(len(URLS), len(urls))] == ["block"] * 4 and got[0][len(urls) - 1][0] == "net/"
+
+
 def test_literal_tokens():
     assert url_filter.literal_tokens("||a-b.com/*x^y") == ["a", "b", "com"]
     assert url_filter.literal_tokens("*foo*") == []
@@ -106,6 +115,33 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+NAMES = ["head", "key", "budget", "epochs", "last", "s_", "size", "taken", "target", "toxic", "score", "lang_pred", "p_toxic", "row", "times", "k", "label", "node", "n", "text_", "__0"]
+
+
+def test_mixing_names(spark):
+    """Columns named as the operator's own ones for its work pass; those that it adds are replaced."""
+    df = spark.createDataFrame([(i, f"s{i % 2}", "w " * (1 + i % 5)) for i in range(60)], "doc_id long, source string, text string")
+    plain = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    out = mixing.mix(df.withColumns({n: F.lit(f"my {n}") for n in NAMES})).collect()
+    assert {r.doc_id: r.taken for r in out} == plain
+    assert all(r[n] == f"my {n}" for r in out for n in NAMES if n not in mixing.OWN)
+
+
+def test_mixing_cells(spark):
+    """Texts without letters draw large keys; no cell gets far more than its share."""
+    df = mixing.keyed(spark.createDataFrame([(i, "a", "### 123") for i in range(20_000)], "doc_id long, source string, text string"))
+    cells = df.groupBy(F.floor(mixing._cell(F.col("key")) * mixing.COARSE).alias("c")).count()
+    assert cells.agg(F.max("count")).first()[0] < 3 * 20_000 / mixing.COARSE
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    df = spark.createDataFrame([(i, f"s{i}", "w") for i in range(4)], "doc_id long, source string, text string")
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+    assert mixing.mix(df.where("doc_id < 3")).count() == 3
+
+
 def test_mixing_order(spark):
     """Within a source, every document taken once more has a smaller key than every one that isn't."""
     df = mixing.keyed(spark.createDataFrame([(i, "a" if i % 2 else "b", "w " * (1 + i % 9)) for i in range(400)], "doc_id long, source string, text string"))
@@ -127,6 +163,15 @@ def test_chat_pairs(spark):
     assert chat_format.preference_pairs(mk(a), mk(b).limit(0)).count() == 0
 
 
+def test_chat_negative_ids(spark, tmp_path):
+    rows = [(c, 0, "user", "q") for c in (-2, -1, 0, 1)] + [(c, 1, "assistant", f"a{c}") for c in (-2, -1, 0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat_format.op8_chat_format(spark, str(tmp_path))
+    got = {r.pair_id: (r.chosen, r.rejected) for r in out.collect()}
+    assert set(got) == {-1, 0} and "a-2" in got[-1][0] and "a-1" in got[-1][1] and "a0" in got[0][0]
+    assert harness.compare(out, chat_format.ORACLE["op8_chat_format"], harness.duck(str(tmp_path))) == ""
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
@@ -171,6 +216,15 @@ def test_media(spark):
     assert media.store(docs(spark).limit(0)).count() == 0
 
 
+def test_media_places(spark):
+    """Equal texts of different tasks name one place, from which any of them is read."""
+    df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(60)], "doc_id long, text string").repartition(6)
+    index = media.store(df)
+    assert index.select("shard").distinct().count() > 1 or index.count() == 60
+    out = media.read_back(media.spread(index)).collect()
+    assert len(out) == 60 and all(len({tuple(r)[1:] for r in out if r.doc_id % 5 == k}) == 1 for k in range(5))
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><header>site</header><div class='cookie-notice'>accept</div><article><h1>Title</h1><p>One &amp; two <b>bold</b>.<p>Three&nbsp;four<br>five<aside>side</aside><form>f</form></article><section id='comments'><p>A long reader comment that goes on and on and on</p></section><script>var x='<p>no</p>'</script><footer>foot</footer>"
     want = "Title\nOne & two bold.\nThree four five"

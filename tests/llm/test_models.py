@@ -2,11 +2,13 @@
 
 import random
 
+import harness
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm import jaccard_join, language_id, toxicity
+from voxloom.llm.common import letter_runs
 
 random.seed(8)
 
@@ -140,6 +142,43 @@ def test_language(spark):
     assert [field.langs[k] for k in post.argmax(1)] == ["en"] * 12 + ["de"] * 12 and len(got) == 24
 
 
+def test_letters(spark):
+    """Numerals are no letters; marks end a word."""
+    field = language_id.train(spark.createDataFrame([(i, words(20, EN), "en") for i in range(20)], "doc_id long, text string, lang string"))
+    got = language_id.Tagger(field).predict(["½ ² Ⅳ ①", "½²Ⅳ", "中文 Ⅳ", None, "x"])
+    assert got[0] == ["und", "und", "en", "und", "en"] and got[1][:2] == [0.0, 0.0]
+    assert letter_runs("aÜ½b²c Ⅳd\n中1文_x", lines=True) == ["aÜ", "b", "c", "d", "\n", "中", "文", "x"] and letter_runs("aÜ½b\n") == ["aÜ", "b"]
+
+
+def test_language_pieces(spark, monkeypatch):
+    """Long texts in pieces of whole lines give what they give at once."""
+    rows = [(i, words(30, EN if i % 2 else DE), "en" if i % 2 else "de") for i in range(80)]
+    tagger = language_id.Tagger(language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    texts = ["\n".join(words(9, EN if k % 3 else DE) for k in range(50)), words(400, DE), "\n\n", words(3, EN)]
+    whole = tagger.predict(texts)
+    monkeypatch.setattr(language_id, "AT_ONCE", 20)
+    assert tagger.predict(texts)[0] == whole[0] and np.allclose(tagger.predict(texts)[1], whole[1], atol=2e-6)
+    for t in texts:
+        cut = list(language_id.pieces(t, 100))
+        assert "".join(cut) == t and all(len(c) <= 100 or "\n" not in c[:-1] for c in cut)
+
+
+def test_language_held_out(spark):
+    """The sample leaves held-out documents aside; on these, accuracy is high. Source and id don't count."""
+    import zlib
+
+    docs = spark.read.parquet(f"{harness.DATA}/sf0.01/documents.parquet")
+    out = language_id.op5_language_id(spark, f"{harness.DATA}/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    held = [r for r in out if r.held_out and r.lang is not None and r.text and any(c.isalpha() for c in r.text)]
+    right = sum(r.lang == r.lang_pred for r in held) / len(held)
+    print(f"held-out accuracy of op5 on sf0.01: {right:.4f} of {len(held)}")
+    assert right > 0.97
+    # a language that only held-out documents have isn't learned
+    rows = [(i, words(10, EN), "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else "en") for i in range(60)]
+    assert language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["en"]
+
+
 def test_forward_backward():
     """Against summing over all label sequences."""
     rng = np.random.default_rng(3)
@@ -172,6 +211,120 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in toxicity.score(d, toxicity.train(docs, lab.limit(0))).collect())
 
 
+def test_chain_out_of_fold():
+    """The later model gets, for each row, the probability of a model that was fitted without the row's fold."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int64) for _ in range(80)]
+    dense = rng.normal(size=(80, 2))
+    labels = np.column_stack([[float(3 in r) for r in rows], [float(7 in r) for r in rows]])
+    models = toxicity.fit_chain(rows, dense, labels)
+    fold, early = np.arange(80) % toxicity.FOLDS, np.zeros(80)
+    sample = toxicity.Sample(rows, dense)
+    for k in range(toxicity.FOLDS):
+        m = toxicity.Linear(sample, dense, labels[:, 0], fold != k)
+        for i in np.flatnonzero(fold == k):
+            z = sum(m.weights.get(int(f), 0.0) for f in rows[i]) + ((dense[i] - m.center) / m.scale) @ m.dense + m.bias
+            early[i] = 1 / (1 + np.exp(-z))
+    both = np.column_stack([dense, early])
+    want = toxicity.Linear(toxicity.Sample(rows, dense), both, labels[:, 1], np.ones(80, dtype=bool))
+    assert np.allclose(models[1].center, want.center) and np.allclose(models[1].dense, want.dense) and models[1].weights.keys() == want.weights.keys()
+    assert all(abs(models[1].weights[f] - want.weights[f]) < 1e-9 for f in want.weights)
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on labelled documents that the models weren't fitted on."""
+    d = f"{harness.DATA}/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    fit, rest = labels.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 = 0").dropna()
+    out = toxicity.score(docs.join(rest, "doc_id").withColumnRenamed("toxic", "gold"), toxicity.train(docs, fit)).collect()
+    found = [sum(r.toxic == (r.gold == 1) for r in out if r.gold == g) / max(1, sum(r.gold == g for r in out)) for g in (0, 1)]
+    print(f"held-out toxicity on sf0.1: clean left alone {found[0]:.4f}, toxic caught {found[1]:.4f}, of {len(out)}")
+    assert found[0] > 0.97 and found[1] > 0.9
+
+
+def test_pipeline_names_and_empty(spark, tmp_path):
+    """Columns of any name pass all stages but the last; null, empty and repeated rows and empty tables don't stop one."""
+    import corpus_pipeline as cp
+
+    names = ["head", "key", "size", "score", "toxic", "taken", "row", "k", "label", "p_toxic", "lang_pred", "n_grams", "component_id", "__0"]
+    rows = [(i, words(30, EN if i % 2 else DE), "en" if i % 2 else "de", f"s{i % 2}", 0) for i in range(60)]
+    rows += [rows[3], rows[3], (None, words(20, EN), None, None, None), (None, None, None, None, None), (70, "", "en", "s0", 0)]
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(60)] + [(61, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, kind).withColumns({n: F.lit(f"my {n}") for n in names})
+        for i, (name, stage) in enumerate(cp.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if i < 4:
+                assert out.columns == docs.columns
+                out.write.parquet(f"{tmp_path}/{len(data)}-{name}")
+                docs = spark.read.parquet(f"{tmp_path}/{len(data)}-{name}")
+                assert all(r[n] == f"my {n}" for r in docs.collect() for n in names)
+            else:
+                assert out.count() == docs.count()
+                if name == "jaccard_join":
+                    assert docs.where("doc_id = 3").count() <= 1 and docs.where("text is null or text = ''").count() == 0
+
+
+def brute_mix(rows):
+    """rows: (doc_id, source, text). Times that each document is taken, by sorting keys within sources."""
+    import hashlib
+    import math
+    import re
+
+    size = {i: len((t or "").split()) for i, _, t in rows}
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = [sum(size[i] for i, x, _ in rows if x == s) for s in sources]
+    from voxloom.llm.mixing import water_fill
+
+    times = {}
+    for s, n, target in zip(sources, total, water_fill(total, [1.0 + i % 3 for i in range(len(sources))])):
+        epochs = min(3, int(target // n)) if n else 0
+        keyed = []
+        for i, x, t in rows:
+            if x == s:
+                u = (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                w = round(0.1 + 0.9 * len(re.findall("[^\\W\\d_]", t)) / len(t), 3) if t else 0.1
+                keyed.append((-math.log(u) / w, i))
+        before = 0
+        for _, i in sorted(keyed):
+            times[i] = epochs + (before + size[i] / 2 <= target - epochs * n)
+            before += size[i]
+    return times
+
+
+def test_pipeline_mixing_and_encoding(spark, tmp_path):
+    """The last two stages against brute force."""
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    from voxloom.llm import bpe
+
+    rows = [(i, f"s{i % 4}" if i % 9 else None, words(1 + i % 17, EN)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = cp.mix_sources(spark, docs, "").cache()
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: k for i, k in brute_mix(rows).items() if k})
+    t = Tokenizer.from_file(bpe.tokenizer_path())
+    text = {i: x for i, _, x in rows}
+    for r in cp.encode(spark, mixed, "").collect():
+        ids = t.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from voxloom.llm.common import shared_dir
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        shared_dir(far)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -10,7 +10,7 @@ The tokenizer is a file of the public `tokenizers` kind (byte-level BPE); the dr
 content, of a size that the file fixes.
 
 Defined results: a null text is encoded as an empty one; special tokens in the text are recognised; texts of any length
-are encoded whole; repeated rows repeat; other columns pass through `encode`.
+are encoded whole; repeated rows repeat; an empty table gives no rows; other columns pass through `encode`.
 """
 
 from __future__ import annotations
@@ -20,16 +20,19 @@ import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow_batches, give_back, table
+
+if TYPE_CHECKING:  # a worker that only needs Arrow doesn't load it
+    import pandas as pd
 
 #: Pre-tokens of byte-level BPE, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,9 +43,9 @@ BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Where this matches, white space runs reach over a blank, and the text can't be cut at its blanks.
 RUNS = re.compile(r"  |\s (?:\s|$)")
 #: Entries kept between the texts of a task, so that memory is bounded: pieces, pre-tokens and pairs.
-CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 250_000, 350_000, 400_000
+CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 20_000, 250_000, 250_000
 #: Characters of text whose pieces are encoded together, each distinct one once.
-TOGETHER = 8_000_000
+TOGETHER = 3_000_000
 _NEVER = 1 << 40
 
 
@@ -111,7 +114,6 @@ class Codec:
         self.pairs: dict[tuple[int, int], bool] = {}
         #: ids, the same as text, and the bytes that they decode to
         self.pieces, self.pre = Cache(CACHED_PIECES), Cache(CACHED_PRE_TOKENS)
-        pa.default_memory_pool().release_unused()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of a and b side by side are encoded as just a and b.
@@ -258,6 +260,7 @@ def _codec(content) -> Codec:  # noqa: ANN001  (a broadcast variable)
     key = hash(content.value)
     if key not in _codecs:
         _codecs[key] = Codec(content.value)
+        give_back()  # what parsing the file took
     return _codecs[key]
 
 
@@ -281,6 +284,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         for b in batches:
             yield b.assign(**{out: [codec.encode(x or "") for x in b[text]]})
         codec.forget()
+        give_back()
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -303,19 +307,23 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     content = _content(df.sparkSession, path)
     kind = df.schema[key].dataType
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content)
-        for b in batches:
-            n, a, c = [], [], []
-            for count, ids, back in codec.summaries([x or "" for x in b[text]]):
-                n.append(count)
-                a.append(hashlib.sha256(ids).hexdigest())
-                c.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-            yield pd.DataFrame({key: b[key], "n_tokens": n, "ids_sha256": a, "decoded_sha256": c})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                part, n, a, c = whole.slice(at, 1024), [], [], []
+                for count, ids, back in codec.summaries([x or "" for x in part[1].to_pylist()]):
+                    n.append(count)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    c.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
         codec.forget()
+        give_back()
 
     fields = [T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return df.select(key, F.col(text)).mapInPandas(run, T.StructType(fields))
+    return df.select(key, F.col(text)).mapInArrow(run, T.StructType(fields))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
