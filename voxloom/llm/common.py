@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import fresh_path, materialize, shared_dir, small_side
 
-__all__ = ["Steps", "arrow_batches", "ascii_lower", "blanks", "fresh_path", "give_back", "letter_runs", "materialize", "private", "restored", "shared_dir", "small_side", "table", "with_columns", "words"]
+__all__ = ["Steps", "arrow_batches", "ascii_lower", "blanks", "crc32_sql", "fresh_path", "give_back", "letter_runs", "materialize", "private", "restored", "shared_dir", "small_side", "table", "with_columns", "words"]
 
 #: Java regular expression of a run of the white space that separates words.
 WS = "[\\x20\\x09-\\x0D]+"
@@ -66,6 +66,16 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*names.values()).toDF(*names)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes: the checksum's table is made by its rule, then used byte by byte."""
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    table_ = f"list_transform(range(256), lambda i: list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: {step}))"
+    of = "(strpos('0123456789ABCDEF', substr(hex({t}), {at}, 1)) - 1)"
+    values = f"list_transform(range(strlen({text})), lambda j: 16 * {of.format(t=text, at='2 * j + 1')} + {of.format(t=text, at='2 * j + 2')})"
+    walk = f"list_reduce(list_prepend(4294967295::bigint, {values}), lambda c, b: xor(c >> 8, crc_table.t[xor(c & 255, b) + 1]))"
+    return f"(select xor({walk}, 4294967295) from (select {table_} as t) crc_table)"
+
+
 class Steps:
     """The written tables of one run of an operator; those that nothing reads any more can be dropped."""
 
