@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import fresh_path, materialize, shared_dir, small_side
 
-__all__ = ["Steps", "arrow_batches", "ascii_lower", "blanks", "crc32_sql", "fresh_path", "give_back", "letter_runs", "materialize", "private", "restored", "shared_dir", "small_side", "table", "with_columns", "words"]
+__all__ = ["Steps", "arrow_batches", "ascii_lower", "blanks", "bucketed", "crc32_sql", "fresh_path", "give_back", "letter_runs", "materialize", "private", "restored", "shared_dir", "small_side", "table", "with_columns", "words"]
 
 #: Java regular expression of a run of the white space that separates words.
 WS = "[\\x20\\x09-\\x0D]+"
@@ -55,6 +56,18 @@ def letter_runs(text: str, lines: bool = False) -> list[str]:
     return _LATIN_RUNS[lines].findall(text)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table in buckets of a key and read it back: a join or grouping by the key leaves it where it is.
+
+    The catalog's entry goes at once, the files in the shared folder stay, as with `materialize`."""
+    spark = df.sparkSession
+    path, entry = fresh_path(spark, name), f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"drop table {entry}")
+    return out
+
+
 def private(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The table with columns named by position, so that no name clashes with an operator's own; the new name of each."""
     names = {c: f"__{i}" for i, c in enumerate(df.columns)}

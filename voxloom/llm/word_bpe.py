@@ -8,8 +8,8 @@ bytes, a table of fixed size.
 
 The files are rank files: a token's bytes in base 64, a blank, its rank. A chunk holds at most CHUNK_BYTES of text (or
 one longer text) and about CHUNK_WORDS words. Buckets start anew every CHUNK_GROUP chunks, so that a word that all
-chunks have can't grow a bucket without bound; there such a word is encoded again. The chunks are written before they
-are shuffled, so that a repeated task can't cut other chunks.
+chunks have can't grow a bucket without bound; there such a word is encoded again. The chunks are written first, so that
+a repeated task can't cut other chunks, and in buckets of their number, so that the texts' positions aren't shuffled.
 
 Defined results: a null text counts as empty, an empty one has no ids; special tokens are ordinary text; texts and words
 of any length are encoded whole; rows without or with repeated keys give a row each; an empty table gives no rows; a
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BEYOND_LATIN, LATIN, PATTERN, RUNS, tokenizer_path
-from .common import arrow_batches, give_back, materialize, table
+from .common import arrow_batches, bucketed, give_back, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text and distinct words that close a chunk, bytes of text whose words are looked up together.
-CHUNK_BYTES, CHUNK_WORDS, TOGETHER = 32 << 20, 1 << 18, 3 << 20
+CHUNK_BYTES, CHUNK_WORDS, TOGETHER = 32 << 20, 1 << 19, 8 << 20
 #: Buckets of words, chunks that share buckets.
 BUCKETS, CHUNK_GROUP = 256, 4096
 #: Pair merges of a word are found by scanning up to this length, by a heap beyond.
@@ -113,37 +113,46 @@ def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.
     return flat[first + np.arange(len(first))], sizes
 
 
+class Codes(dict):
+    """A number for each word, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Words:
-    """The dictionary of a chunk, in order of appearance."""
+    """The dictionary of a chunk."""
 
     def __init__(self) -> None:
         import regex
 
-        self.codes: dict[str, int] = {}
+        self.codes = Codes()
         self.everywhere = regex.compile(PATTERN)
 
-    def cut(self, s: str) -> list[int]:
+    def cut(self, s: str, latin: bool) -> list[int]:
         codes = self.codes
-        return [codes.setdefault(w, len(codes)) for w in (self.everywhere if BEYOND_LATIN.search(s) else LATIN).findall(s)]
+        return [codes[w] for w in (LATIN if latin else self.everywhere).findall(s)]
 
     def positions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words of the texts, and the number of words of each text."""
+        cut, latin = self.cut, not any(BEYOND_LATIN.search(x) for x in texts)
         each: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
         at_blanks = []
         for k, x in enumerate(texts):
             if not x:
                 continue
             if x[0] == " " or RUNS.search(x):  # white space runs reach over blanks
-                each[k] = np.array(self.cut(x), np.int32)
+                each[k] = np.array(cut(x, latin), np.int32)
             else:
                 at_blanks.append(k)
         if at_blanks:  # elsewhere a blank belongs to what follows it, and distinct pieces are cut once
             split = pc.split_pattern(pa.array([texts[k] for k in at_blanks], pa.large_string()), " ")
             coded = split.flatten().dictionary_encode()
-            pieces = [self.cut(" " + x) for x in coded.dictionary.to_pylist()]
+            pieces = [cut(" " + x, latin) for x in coded.dictionary.to_pylist()]
             bounds, which = split.offsets.to_numpy(), coded.indices.to_numpy().copy()
             which[bounds[:-1]] = len(pieces) + np.arange(len(at_blanks))  # a text's first piece has no blank before it
-            pieces += [self.cut(x) for x in pc.list_element(split, 0).to_pylist()]
+            pieces += [cut(x, latin) for x in pc.list_element(split, 0).to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
             flat, sizes = gather(np.array([c for p in pieces for c in p], np.int32), starts, which)
             ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
@@ -224,7 +233,7 @@ def _chunks(df: DataFrame, chunk_words: int) -> DataFrame:
         del words
         give_back()
 
-    return materialize(df.mapInArrow(run, schema), "word-bpe-chunks")
+    return bucketed(df.mapInArrow(run, schema), "word-bpe-chunks", "chunk")
 
 
 _encoders: dict[int, Encoder] = {}
