@@ -1,9 +1,9 @@
-"""Candidate detection: overlapping tiles of stacks through the filter chain, one kernel call for each tile.
+"""Candidate detection: substacks of all stacks through the filter chain, as tables of blocks.
 
-One shuffle brings a tile's voxels together; filters, components and features then run in numpy on the dense block, and
-only candidate records come out. Tiles overlap along z, y and x by what the filters reach, so each candidate is kept by
-the one tile that its centre lies in; a region that reaches out of a tile's margin is cut there. A task holds some ten
-arrays of (tile + 2 margins) squared times depth doubles, whatever the size of a slice.
+Substacks overlap along z by what the filters reach, and each candidate is kept by the one that its centre lies in. Along
+y and x a substack is cut into blocks: local contrast and second derivatives come from blocks with halos, regions are
+labelled and added up in each block, and labels that meet over faces are joined, so a region counts whole however many
+blocks it reaches over. A task holds some ten arrays of a block with its halo, whatever the size of a slice or radius.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..operators import blocks as B
 from ..operators import kernels as K
 from ..operators import regions as R
 from ..operators.cells import candidate
 from ..operators.partition import substacks
-from ..sources.shared import materialize, small_side
+from ..sources import datasource
+from ..sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,8 @@ class Settings:
 
     @property
     def reach(self) -> int:
-        """Margin along x and y: erosion, box, blur, two gradients, and as much again as along z for regions."""
-        return max(self.radii[:2]) + max(self.box[:2]) + int(2.0 * self.large[0] + 0.5) + 2 + self.extra_margin
+        """What the blur and two gradients reach along x and y."""
+        return int(2.0 * self.large[0] + 0.5) + 2
 
     @classmethod
     def from_json(cls, text: str) -> Settings:
@@ -60,46 +61,89 @@ class Settings:
         )
 
 
-FEATURES = "label long, n_voxels long, cz double, cy double, cx double, max_norm double, sum_norm double, sum_xx double, sum_xy double, sum_xz double, sum_yy double, sum_yz double, sum_zz double"
+#: Columns of a region's part: their sums, the largest value for max_norm.
+PART = ("n_voxels", "sum_z", "sum_y", "sum_x", "max_norm", "sum_norm", *[f"sum_{h}" for h in R.HESSIAN])
 
 
-def block_features(v: np.ndarray, s: Settings, wrap: bool = False) -> pd.DataFrame:
-    """Aggregates of all regions of a dense block."""
-    norm = K.normalize(v, s.radii, s.box, s.least)
-    h = K.hessian(K.difference_of_gaussians(norm, s.small, s.large, s.gamma))
-    index = np.flatnonzero(K.negative_definite(h).ravel())
-    label = K.label_block(index, v.shape[1], v.shape[2], wrap)
-    z, rest = np.divmod(index, v.shape[1] * v.shape[2])
-    y, x = np.divmod(rest, v.shape[2])
-    df = pd.DataFrame({"label": label, "cz": z, "cy": y, "cx": x, "norm": norm.ravel()[index]} | {f"sum_{n}": a.ravel()[index] for n, a in zip(R.HESSIAN, h, strict=True)})
-    g = df.groupby("label")
-    return g.agg(n_voxels=("norm", "size"), cz=("cz", "mean"), cy=("cy", "mean"), cx=("cx", "mean"), max_norm=("norm", "max"), sum_norm=("norm", "sum"), **{f"sum_{n}": (f"sum_{n}", "sum") for n in R.HESSIAN}).reset_index()
+def _parts(norm: np.ndarray, h: tuple[np.ndarray, ...], mask: np.ndarray, place: B.Place, grid: B.Grid) -> dict[str, np.ndarray]:
+    """Voxels of a block's foreground with their part's label, and sums over each part."""
+    lin, label = B.local_labels(mask, place, grid)
+    own, which = np.unique(label, return_inverse=True)
+    at = np.flatnonzero(mask.ravel())
+    z, y, x = np.unravel_index(at, mask.shape)
+    value = norm.ravel()[at]
+    total = lambda v: np.bincount(which, weights=v, minlength=len(own))
+    most = np.full(len(own), -np.inf)
+    np.maximum.at(most, which, value)
+    sums = [total(c + o) for c, (o, _) in zip((z, y, x), place.own, strict=True)]
+    columns = [total(np.ones(len(at))), *sums, most, total(value), *[total(a.ravel()[at]) for a in h]]
+    return {"lin": lin, "label": label, "part": own} | dict(zip(PART, columns, strict=True))
 
 
-def detect(voxels: DataFrame, value: str, height: int, width: int, s: Settings = Settings(), stack: tuple[str, ...] = (), tile: int = 256) -> DataFrame:  # noqa: B008
-    """Candidates of every stack (columns `stack`): coordinates in the stack, shape features, intensity, size."""
-    rows = voxels.select(*stack, F.lit(0).alias("all"), F.col("z").cast("long").alias("z"), "y", "x", F.col(value).alias("value"))
-    keys = [*stack, "all"]
-    length = materialize(rows.groupBy(*keys).agg((F.max("z") + 1).alias("length")), "lengths")
-    rows = substacks(rows.join(small_side(length), keys), "z", F.col("length"), s.depth, s.margin)
-    for a, n in (("y", height), ("x", width)):
-        low, high = F.floor((F.col(a) - s.reach) / tile), F.floor((F.col(a) + s.reach) / tile)
-        rows = rows.withColumn(f"t{a}", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit((n - 1) // tile)))))
-    by = [*keys, "z0", "length", "ty", "tx"]
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        (y0, y1), (x0, x1) = ((max(0, int(first[t]) * tile - s.reach), min(n, (int(first[t]) + 1) * tile + s.reach)) for t, n in (("ty", height), ("tx", width)))
-        v = np.zeros((s.depth, y1 - y0, x1 - x0))  # slices beyond the end are zero
-        v[pdf["z"] - int(first["z0"]), pdf["y"] - y0, pdf["x"] - x0] = pdf["value"]
-        f = block_features(v, s)
-        return f.assign(cy=f["cy"] + y0, cx=f["cx"] + x0, **{k: first[k] for k in by})[[*by, *f.columns]]
-
-    schema = T.StructType([*[rows.schema[k] for k in by], *T.StructType.fromDDL(FEATURES).fields])
-    f = rows.groupBy(*by).applyInPandas(block, schema)
-    f = f.where((F.floor(F.col("cy") / tile) == F.col("ty")) & (F.floor(F.col("cx") / tile) == F.col("tx")))
-    f = R.shape_features(f.withColumn("size", (F.col("n_voxels") % 65536).cast("int")))
+def block_features(v: np.ndarray, s: Settings) -> pd.DataFrame:
+    """Aggregates of all regions of a dense block, the counterpart of the blocks' way on one array."""
+    grid = B.Grid(v.shape[1], v.shape[2], v.shape)
+    norm = K.normalize(v, s.radii, s.box, s.least)
+    h = K.hessian(K.difference_of_gaussians(norm, s.small, s.large, s.gamma))
+    box = grid.box((0, 0, 0), len(v))
+    p = _parts(norm, h, K.negative_definite(h), B.Place(box, box, len(v)), grid)
+    df = pd.DataFrame({c: p[c] for c in PART})
+    return df.assign(label=p["part"], **{f"c{a}": df[f"sum_{a}"] / df["n_voxels"] for a in "zyx"})
+
+
+def detect_blocks(substack_blocks: DataFrame, grid: B.Grid, s: Settings) -> DataFrame:
+    """Candidates of substacks (keys ..., z0, length; each as deep as the settings say) given as blocks of raw values."""
+    blocks = B.normalize(substack_blocks, grid, s.radii, s.box, s.least)
+    contrast = B.Grid(grid.height, grid.width, grid.block, grid.keys)
+    halo = (0, s.reach, s.reach)
+
+    def parts(v: np.ndarray, place: B.Place) -> dict:
+        h = K.hessian(K.difference_of_gaussians(v[0], s.small, s.large, s.gamma))
+        p = _parts(place.inner(v[0]), tuple(map(place.inner, h)), place.inner(K.negative_definite(h)), place, grid)
+        return {k: [np.ascontiguousarray(a).tobytes()] for k, a in p.items()}
+
+    fields = ", ".join(f"{c} binary" for c in ("lin", "label", "part", *PART))
+    found = materialize(B.with_halo(blocks, contrast, halo, parts, fields), "detected-parts")
+    rows = B.unpacked(found, grid.keys, {"part": np.int64, **dict.fromkeys(PART, np.float64)}).withColumnRenamed("part", "label")
+    whole = B.relabelled(rows, B.joined_labels(found, grid), grid).groupBy(*grid.keys, "label")
+    f = whole.agg(*[(F.max if c == "max_norm" else F.sum)(c).alias(c) for c in PART])
+    f = f.withColumns({f"c{a}": F.col(f"sum_{a}") / F.col("n_voxels") for a in "zyx"})
+    f = R.shape_features(f.withColumn("size", (F.col("n_voxels").cast("long") % 65536).cast("int")))
     f = f.withColumn("intensity", F.col("sum_norm") / F.col("n_voxels") if s.mean_intensity else F.col("max_norm"))
     left, top, right, bottom = s.edges
-    f = candidate(f, "cz", "cy", "cx", depth=F.least(F.lit(s.depth), F.col("length") - F.col("z0")), margin=s.margin, left=left, top=top, right=right, bottom=bottom, width=width, height=height, min_size=s.min_size)
+    f = candidate(f, "cz", "cy", "cx", depth=F.least(F.lit(s.depth), F.col("length") - F.col("z0")), margin=s.margin, left=left, top=top, right=right, bottom=bottom, width=grid.width, height=grid.height, min_size=s.min_size)
+    stack = [k for k in grid.keys if k not in ("z0", "length")]
     return f.select(*stack, (F.col("cz") + F.col("z0")).alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), "structureness", "blobness", "intensity", "size")
+
+
+def _substacks(rows: DataFrame, s: Settings, stack: tuple[str, ...]) -> DataFrame:
+    """Rows of slices or parts of them (column z), repeated for each substack that covers them, with z counted in it."""
+    rows = B.with_depth(rows, stack, F.col("z")).withColumnRenamed("depth", "length")
+    rows = substacks(rows, "z", F.col("length"), s.depth, s.margin)
+    return rows.withColumns({"z": F.col("z") - F.col("z0"), "depth": F.lit(s.depth).cast("long")})
+
+
+def _grid(height: int, width: int, s: Settings, stack: tuple[str, ...], tile: int, dtype: str = "<f8") -> B.Grid:
+    return B.Grid(height, width, (s.depth, tile, tile), (*stack, "z0", "length"), dtype)
+
+
+def detect(voxels: DataFrame, value: str, height: int, width: int, s: Settings = Settings(), stack: tuple[str, ...] = (), tile: int = 256) -> DataFrame:  # noqa: B008
+    """Candidates of every stack (columns `stack`) given as voxel rows: coordinates in the stack, shape features, intensity, size."""
+    rows = _substacks(voxels.select(*stack, F.col("z").cast("long").alias("z"), "y", "x", F.col(value).alias("value")), s, stack)
+    grid = _grid(height, width, s, stack, tile)
+    return detect_blocks(B.from_voxels(rows, "value", grid), grid, s)
+
+
+def detect_lines(lines: DataFrame, values: str, height: int, width: int, s: Settings = Settings(), stack: tuple[str, ...] = (), tile: int = 256) -> DataFrame:  # noqa: B008
+    """The same of rows that hold a line's values along x as an array."""
+    rows = _substacks(lines.select(*stack, F.col("z").cast("long").alias("z"), "y", F.col(values).alias("values")), s, stack)
+    grid = _grid(height, width, s, stack, tile)
+    return detect_blocks(B.from_lines(rows, "values", grid), grid, s)
+
+
+def detect_files(spark: SparkSession, path: str, height: int, width: int, s: Settings = Settings(), tile: int = 256) -> DataFrame:  # noqa: B008
+    """The same of a folder of raw slices; slices count in the order of their names. No voxel is ever a row."""
+    stack = ("side", "yname", "xname")
+    rows = _substacks(datasource.read_slices(spark, path, width), s, stack)
+    grid = _grid(height, width, s, stack, tile, "<u2")
+    return detect_blocks(B.from_slices(rows, grid), grid, s)

@@ -9,9 +9,11 @@ from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import nearest as N
 from ..operators.transform import affine, displaced
+from ..operators.windows import gaussian_weights
 from ..sources import raw
 from ..sources.shared import fresh_path
 from .cell_queries import F1, ID
+from .voxel_queries import _mirror
 from .views import ATLAS, CELLS, HEIGHT, N_SLICES, PROBES, VOX, WIDTH, atlas, cells, n_slices, probes, voxels
 
 MAP = [[0.9, 0.1, 0.0, 5.0], [-0.1, 0.9, 0.0, 60.0], [0.0, 0.05, 1.1, -20.0]]
@@ -127,6 +129,15 @@ def eva_08_splat(s: SparkSession, d: str) -> DataFrame:
     return E.splat(c, {"z": 20, "y": 21, "x": 25})
 
 
+def eva_08_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Hits, false ones and double counts as blurred volumes of their own, in bins of 50 units."""
+    p, t = _sides(s, d)
+    kinds = E.hit_kinds(p, "id", t, "id", 40.0).select("kind", *[(F.col(a) / 50).alias(a) for a in "zyx"])
+    size = E.extents(kinds)
+    bins = E.splat(kinds, size, by=["kind"]).select("kind", *[F.col(f"b{a}").alias(a) for a in "zyx"], "v")
+    return E.sparse_blur(bins, "v", size, {"z": 1.8, "y": 4.0, "x": 4.0}, ("kind",), truncate=4.0)
+
+
 def eva_09_slices(s: SparkSession, d: str) -> DataFrame:
     return cells(s, d).where(F.col("lz").between(40 - 3, 40 + 3)).groupBy("lz").agg(F.count("*").alias("n"))
 
@@ -199,6 +210,11 @@ ORACLE = {
     "eva_07_double_count": _matched(40.0) + ", c AS (SELECT *, count(*) OVER (PARTITION BY point_id) AS k FROM m) SELECT CASE WHEN point_id IS NULL THEN 'FP' WHEN k > 1 THEN 'DC' ELSE 'TP' END AS kind, count(*) AS n FROM c GROUP BY ALL",
     "eva_08_splat": f"""WITH {CELLS} SELECT CAST(least(floor(lz / 5), 19) AS INTEGER) AS bz, CAST(least(floor(ly / 100), 20) AS INTEGER) AS "by", CAST(least(floor(lx / 100), 24) AS INTEGER) AS bx, count(*) * 5000 AS v
       FROM cells WHERE lz / 5 BETWEEN 0 AND 20 AND ly / 100 BETWEEN 0 AND 21 AND lx / 100 BETWEEN 0 AND 25 GROUP BY ALL""",
+    "eva_08_kinds": _matched(40.0) + f""", k AS (SELECT cell_id, CASE WHEN point_id IS NULL THEN 'FP' WHEN count(*) OVER (PARTITION BY point_id) > 1 THEN 'DC' ELSE 'TP' END AS kind FROM m),
+      q AS (SELECT kind, floor(z / 50) AS z, floor(y / 50) AS y, floor(x / 50) AS x FROM k JOIN probes USING (cell_id)), n AS (SELECT CAST(max(z) AS BIGINT) + 1 AS nz, CAST(max(y) AS BIGINT) + 1 AS ny, CAST(max(x) AS BIGINT) + 1 AS nx FROM q),
+      grid AS (SELECT DISTINCT kind, i AS z, j AS y, k AS x FROM q, n, LATERAL (SELECT unnest(range(nz)) AS i), LATERAL (SELECT unnest(range(ny)) AS j), LATERAL (SELECT unnest(range(nx)) AS k)),
+      b AS (SELECT kind, z, y, x, count(*) * 5000.0::DOUBLE AS c FROM q GROUP BY ALL), p0 AS MATERIALIZED (SELECT kind, z, y, x, coalesce(b.c, 0.0) AS c FROM grid LEFT JOIN b USING (kind, z, y, x)), """
+    + _mirror("p0", {a: f"(SELECT n{a} FROM n)" for a in "zyx"}, {"z": gaussian_weights(1.8, 4.0), "y": gaussian_weights(4.0, 4.0), "x": gaussian_weights(4.0, 4.0)}, "kind") + " SELECT kind, z, y, x, c AS v FROM blurred WHERE c > 0",
     "eva_09_slices": f"WITH {CELLS} SELECT lz, count(*) AS n FROM cells WHERE lz BETWEEN 37 AND 43 GROUP BY lz",
     "eva_11_histograms": f"""WITH {CELLS}, e AS (SELECT 'lx' AS axis, lx AS v FROM cells UNION ALL SELECT 'ly', ly FROM cells UNION ALL SELECT 'lz', lz FROM cells), b AS (SELECT *, min(v) OVER (PARTITION BY axis) AS lo, max(v) OVER (PARTITION BY axis) AS hi FROM e)
       SELECT axis, CAST(least(floor((v - lo) * 10 / (hi - lo)), 9) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY ALL""",

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import structureness, with_eigenvalues
+from ..operators import blocks as B
 from ..operators import cells as C
 from ..operators import components as CC
+from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import merge as M
 from ..operators import regions as R
 from ..operators import windows as V
 from . import detect
 from .cell_queries import F1
-from .views import CELLS, HEIGHT, VOX, WIDTH, cells, voxels
+from .views import CELLS, HEIGHT, VOX, WIDTH, cells, table, voxels
 
-#: Voxels of the prediction image along z, y and x.
-IMAGE = (20, 22, 26)
 RADII, SMALL, LEAST = (3, 3, 1), (3, 3, 1), 5000
+#: Radii of the reach that wide backgrounds need, beyond every line of the volume along y and x.
+WIDE = (100, 100, 5)
 S_SMALL, S_LARGE = (1.5, 0.8), (2.2, 1.2)
 #: Keeps values that are multiples of a power of two off the ties of rounding.
 TIELESS = 0.7310585
 HESS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
+def _intensities() -> Column:
+    return F.transform("embedding", lambda v: F.floor((v.cast("double") + 0.6) * 10000).cast("int"))
+
+
 def base(s: SparkSession, d: str) -> DataFrame:
     return voxels(s, d).select("z", "y", "x", "v", "inten", "label")
 
@@ -49,6 +57,14 @@ def flt_04_normalize(s: SparkSession, d: str) -> DataFrame:
     return out(V.normalize(base(s, d), "inten", "norm", RADII, SMALL, LEAST), "norm", digits=8)
 
 
+def _tieless(df: DataFrame) -> DataFrame:
+    return df.withColumn("norm", F.col("norm") * TIELESS)
+
+
+def flt_04_normalize_wide(s: SparkSession, d: str) -> DataFrame:
+    return out(_tieless(V.normalize(base(s, d), "inten", "norm", WIDE, WIDE, LEAST)), "norm", digits=8)
+
+
 def flt_05_copy_threshold(s: SparkSession, d: str) -> DataFrame:
     return out(V.normalize(base(s, d), "inten", "norm", (0, 0, 0), SMALL, LEAST), "norm", digits=None)
 
@@ -91,13 +107,10 @@ def flt_14_gaussian_u16(s: SparkSession, d: str) -> DataFrame:
 
 
 def cls_14_prediction_image(s: SparkSession, d: str) -> DataFrame:
-    """Positive cells as bright voxels of a dense image, blurred."""
-    c = FE.feature_columns(cells(s, d)).where(FE.above(F.col("f1"), 4.5))
-    hit = c.select(F.floor(F.col("lz") / 5).alias("z"), F.floor(F.col("ly") / 100).alias("y"), F.floor(F.col("lx") / 100).alias("x")).distinct().withColumn("v", F.lit(5000))
-    n, i = IMAGE, F.col("id")
-    grid = s.range(n[0] * n[1] * n[2]).select(F.expr(f"id div {n[1] * n[2]}").alias("z"), F.expr(f"id div {n[2]} % {n[1]}").alias("y"), (i % n[2]).alias("x"))
-    img = grid.join(hit, ["z", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    return V.blur_whole(img, "v", "g", (1.0, 2.0, 2.0)).where("g > 0").select("z", "y", "x", "g")
+    """Positive cells as bright voxels of an image as large as the cells' extents, blurred without building it."""
+    c = FE.feature_columns(cells(s, d)).select("f1", (F.col("lz") / 5).alias("z"), (F.col("ly") / 100).alias("y"), (F.col("lx") / 100).alias("x"))
+    hit = c.where(FE.above(F.col("f1"), 4.5)).select(*[F.floor(a).alias(a) for a in "zyx"]).distinct().withColumn("g", F.lit(5000))
+    return E.sparse_blur(hit, "g", E.extents(c), {"z": 1.0, "y": 2.0, "x": 2.0})
 
 
 def eva_10_region_image(s: SparkSession, d: str) -> DataFrame:
@@ -148,6 +161,46 @@ def ccl_regions(s: SparkSession, d: str) -> DataFrame:
     return r.select("label", "size", "max_norm", *[F.round(c, 6).alias(c) for c in ("cz", "cy", "cx", "sum_norm")])
 
 
+def lines(s: SparkSession, d: str) -> DataFrame:
+    """The volume's lines along x, an array each."""
+    return table(s, d, "embeddings").select(F.expr("vec_id div 50").alias("z"), F.expr("vec_id % 50").alias("y"), "embedding")
+
+
+def two_stacks(s: SparkSession, d: str) -> tuple[DataFrame, B.Grid]:
+    """The volume and its negative as two stacks of blocks."""
+    sign = F.explode(F.create_map(F.lit("bright"), F.lit(1.0), F.lit("dark"), F.lit(-1.0))).alias("stack", "sign")
+    both = B.with_depth(lines(s, d), (), F.col("z")).select("*", sign)
+    both = both.withColumn("v", F.transform("embedding", lambda v: v.cast("double") * F.col("sign")))
+    grid = B.Grid(HEIGHT, WIDTH, (4, 16, 16), ("stack",))
+    return B.from_lines(both, "v", grid), grid
+
+
+def ccl_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Components of two stacks, labelled in blocks and joined over faces."""
+    blocks, grid = two_stacks(s, d)
+    return B.label_blocks(blocks, grid, lambda v: v > 0.15)
+
+
+def ccl_blocks_wrap(s: SparkSession, d: str) -> DataFrame:
+    """The same where rows run on into each other."""
+    blocks, grid = two_stacks(s, d)
+    return B.label_blocks(blocks, grid, lambda v: v > 0.15, wrap=True)
+
+
+def flt_04_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Local contrast on blocks, with one exchange of halos."""
+    grid = B.Grid(HEIGHT, WIDTH, (10, 32, 32))
+    blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
+    return out(_tieless(B.voxels(B.normalize(blocks, grid, RADII, SMALL, LEAST), grid, "norm")), "norm", digits=8)
+
+
+def flt_04_blocks_wide(s: SparkSession, d: str) -> DataFrame:
+    """Radii beyond a block: an exchange along each axis."""
+    grid = B.Grid(HEIGHT, WIDTH, (10, 16, 16))
+    blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
+    return out(_tieless(B.voxels(B.normalize(blocks, grid, WIDE, WIDE, LEAST), grid, "norm")), "norm", digits=8)
+
+
 def mrg_05_rotate_flip(s: SparkSession, d: str) -> DataFrame:
     df = base(s, d)
     x, y = M.turned(F.col("x"), F.col("y"), WIDTH, HEIGHT, M.ROTATE_CW | M.FLIP_X)
@@ -221,7 +274,7 @@ def mrg_11_every_slice(s: SparkSession, d: str) -> DataFrame:
 
 def detect_end_to_end(s: SparkSession, d: str) -> DataFrame:
     """Tiles of substacks through the whole chain to candidates; each tile is one numpy kernel call."""
-    return detect.detect(base(s, d), "inten", HEIGHT, WIDTH, detect.Settings(depth=8, extra_margin=1), tile=32)
+    return detect.detect_lines(lines(s, d).select("z", "y", _intensities().alias("inten")), "inten", HEIGHT, WIDTH, detect.Settings(depth=8, extra_margin=1), tile=32)
 
 
 def _pass(src: str, name: str, axis: str, expr: str, cols: str = "z, y, x, inten") -> str:
@@ -257,17 +310,18 @@ def _sep(f, c: str = "v") -> str:  # noqa: ANN001
     return _chain([(a, f(a)) for a in "xyz"], c)
 
 
-def _mirror(src: str, n: dict[str, str], weights: dict[str, list[float]]) -> str:
+def _mirror(src: str, n: dict[str, str], weights: dict[str, list[float]], key: str = "") -> str:
     """CTEs of a blur of src (z, y, x, c) in whole numbers, borders mirrored; the last one is named blurred."""
     ctes = []
     for i, a in enumerate("zyx"):
         w = weights[a]
         j = f"(g.{a} + w.j)"
         at = f"CASE WHEN {j} < 0 THEN -{j} - 1 WHEN {j} >= {n[a]} THEN 2 * {n[a]} - 1 - {j} ELSE {j} END"
-        rest = " AND ".join(f"s.{b} = g.{b}" for b in "zyx" if b != a)
+        rest = " AND ".join(f"s.{b} = g.{b}" for b in [*"zyx", *([key] if key else [])] if b != a)
+        more = f"g.{key}, " if key else ""
         values = ", ".join(f"({k - len(w) // 2}, CAST({x!r} AS DOUBLE))" for k, x in enumerate(w))
         name = "blurred" if i == 2 else f"m{i}"
-        ctes.append(f"{name} AS (SELECT g.z, g.y, g.x, floor(round(sum(w.k * s.c), 6)) AS c FROM {src} g JOIN (VALUES {values}) w(j, k) ON true JOIN {src} s ON s.{a} = {at} AND {rest} GROUP BY ALL)")
+        ctes.append(f"{name} AS (SELECT {more}g.z, g.y, g.x, floor(round(sum(w.k * s.c), 6)) AS c FROM {src} g JOIN (VALUES {values}) w(j, k) ON true JOIN {src} s ON s.{a} = {at} AND {rest} GROUP BY ALL)")
         src = name
     return ", ".join(ctes)
 
@@ -290,7 +344,9 @@ def _hess(c: str) -> str:
       h AS (SELECT z, y, x, inten, v, label, {_grad('gx', 'x')} AS xx, {_grad('gx', 'y')} AS xy, {_grad('gx', 'z')} AS xz, {_grad('gy', 'y')} AS yy, {_grad('gy', 'z')} AS yz, {_grad('gz', 'z')} AS zz FROM g)"""
 
 
-def _norm_sql() -> str:
+def _norm_sql(radii: tuple[int, int, int] = RADII, factor: float = 1.0) -> str:
+    _r = dict(zip("xyz", radii, strict=True)).__getitem__
+
     def side(fn: str, p: str) -> str:
         steps = [(a, _frame(fn, "{c}", a, _r(a))) for a in "xyz"] + [(a, _box("{c}", a, _r(a))) for a in "zyx"]
         ctes, src = [], "p0"
@@ -300,7 +356,7 @@ def _norm_sql() -> str:
         return ", ".join(ctes)
 
     return f"""WITH {VOX}, p0 AS (SELECT z, y, x, inten, CAST(inten AS DOUBLE) AS c FROM vox), {side('min', 'e')}, {side('max', 'd')}
-      SELECT z, y, x, round(CASE WHEN inten >= {LEAST} THEN CASE WHEN d5.c <> e5.c THEN (inten - e5.c) / (d5.c - e5.c) WHEN inten = e5.c THEN 'nan'::DOUBLE WHEN inten > e5.c THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE 0 END, 8) AS norm
+      SELECT z, y, x, round(CASE WHEN inten >= {LEAST} THEN CASE WHEN d5.c <> e5.c THEN (inten - e5.c) / (d5.c - e5.c) WHEN inten = e5.c THEN 'nan'::DOUBLE WHEN inten > e5.c THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE 0 END * {factor!r}::DOUBLE, 8) AS norm
       FROM e5 JOIN d5 USING (z, y, x, inten)"""
 
 
@@ -313,6 +369,20 @@ _CCL = f"""WITH RECURSIVE {VOX}, fg AS (SELECT z, y, x, z * 3200 + y * 64 + x AS
     JOIN fg b ON b.z = a.z + a.i AND b.y = a.y + a.j AND b.x = a.x + a.k),
   lab(id, label) USING KEY (id) AS (SELECT id, id FROM fg UNION
     (SELECT e.b, min(l.label) FROM lab l JOIN e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.label < r.label GROUP BY e.b))"""
+_LATER = [d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
+
+
+def _ccl_stacks(least: float, wrap: bool) -> str:
+    """Components of the volume and its negative; with wrap neighbours are steps of the linear number."""
+    steps = ", ".join(f"({i}, {j}, {k}, {(i * 50 + j) * 64 + k})" for i, j, k in _LATER)
+    near = "b.id = a.id + o.step" if wrap else "b.z = a.z + o.i AND b.y = a.y + o.j AND b.x = a.x + o.k"
+    return f"""WITH RECURSIVE {VOX}, fg AS (SELECT s.stack, s.no * 1000000000 + z * 3200 + y * 64 + x AS id, z, y, x FROM vox, (VALUES ('bright', 0, 1.0), ('dark', 1, -1.0)) s(stack, no, sign) WHERE v * sign > {least}),
+  o(i, j, k, step) AS (VALUES {steps}), e1 AS (SELECT a.id AS a, b.id AS b FROM fg a, o, fg b WHERE a.stack = b.stack AND {near}), e AS (SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1),
+  lab(id, label) USING KEY (id) AS (SELECT id, id FROM fg UNION
+    (SELECT e.b, min(l.label) FROM lab l JOIN e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.label < r.label GROUP BY e.b))
+  SELECT stack, z, y, x, label % 1000000000 AS label FROM fg JOIN lab USING (id)"""
+
+
 _BLOCK = f"""WITH {VOX}, b AS (SELECT z, CAST(floor((x - 2) / 6.0) AS INTEGER) AS bx, CAST(floor((y - 1) / 7.0) AS INTEGER) AS "by", inten FROM vox WHERE x >= 2 AND y >= 1),
   a AS (SELECT z, bx, "by", CAST(sum(inten) AS BIGINT) // count(*) AS mean, max(inten) AS max, min(inten) AS min FROM b WHERE bx < 10 AND "by" < 7 GROUP BY ALL)"""
 
@@ -323,6 +393,9 @@ ORACLE = {
     "flt_02_dilation": _sep(lambda a: _frame("max", "{c}", a, _r(a))) + " SELECT z, y, x, c AS e FROM last",
     "flt_03_box": _sep(lambda a: _box("{c}", a, _r(a))) + " SELECT z, y, x, round(c, 9) AS b FROM last",
     "flt_04_normalize": _norm_sql(),
+    "flt_04_blocks": _norm_sql(RADII, TIELESS),
+    "flt_04_normalize_wide": _norm_sql(WIDE, TIELESS),
+    "flt_04_blocks_wide": _norm_sql(WIDE, TIELESS),
     "flt_05_copy_threshold": f"WITH {VOX} SELECT z, y, x, CASE WHEN inten >= {LEAST} THEN CAST(inten AS DOUBLE) ELSE 0.0 END AS norm FROM vox",
     "flt_06_zero_erosion": _sep(lambda a: _ZERO.format(n=_frame("count", "{c}", a, 2), m=_frame("min", "{c}", a, 2))) + " SELECT z, y, x, c AS v FROM last",
     "flt_08_gaussian": _sep(lambda a: _gauss("{c}", _sig(S_SMALL, a))) + " SELECT z, y, x, round(c, 9) AS g FROM last",
@@ -347,6 +420,8 @@ ORACLE = {
       round((xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) * CAST(0.7310585 AS DOUBLE) * 1e-9, 3) AS det FROM t""",
     "cpu_01_scale_response": f"WITH {VOX} SELECT label, round(avg(v) FILTER (WHERE inten > 6000), 9) AS response FROM vox GROUP BY label",
     "ccl_01_components": _CCL + " SELECT z, y, x, label FROM fg JOIN lab USING (id)",
+    "ccl_blocks": _ccl_stacks(0.15, False),
+    "ccl_blocks_wrap": _ccl_stacks(0.15, True),
     "ccl_regions": _CCL + " SELECT label, CAST(count(*) AS INTEGER) AS size, max(v) AS max_norm, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, round(sum(v), 6) AS sum_norm FROM fg JOIN lab USING (id) GROUP BY label",
     "mrg_05_rotate_flip": f"WITH {VOX} SELECT z, 49 - (49 - y) AS rx, x AS ry, y AS qx, 63 - (63 - x) AS qy, inten FROM vox",
     "mrg_06_block_agg": _BLOCK + ' SELECT z, bx, "by", mean, max, min FROM a',

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -98,31 +100,55 @@ SMALL_POINTS, IN_BUCKET = 100_000, 64
 
 
 def greatest_at_most(df: DataFrame, at: str, points: DataFrame, point: str, keep: list[str]) -> DataFrame:
-    """As-of join: each row gets the columns of the greatest `point` not beyond `at`; rows before all points go.
-
-    Rows and points are merged in one sorted order in buckets of equal width over the points' range: within a bucket
-    the last point seen is carried forward, across buckets the last point of the buckets before."""
-    lo, hi, n = points.agg(F.min(point), F.max(point), F.count("*")).first()
+    """As-of join: each row gets the columns of the greatest `point` not beyond `at`; rows before all points and null ones go.
+
+    Of points at one place the one counts whose kept columns sort last, whatever the sizes and the order of the rows;
+    points that are null or not a number are none; a row that is not a number comes after all points."""
+    real = F.col(point).isNotNull() & ~F.isnan(F.col(point).cast("double"))
+    p = materialize(points.where(real).groupBy(F.col(point).alias("__at")).agg(F.max(F.struct(*keep)).alias("__kept")), "as-of-points")
+    lo, hi, n = p.agg(F.min("__at"), F.max("__at"), F.count("*")).first()
+    rows = df.where(F.col(at).isNotNull())
     if not n:
-        return df.limit(0).withColumns({c: F.lit(None).cast(points.schema[c].dataType) for c in keep})
+        return df.where("false").withColumns({c: F.lit(None).cast(points.schema[c].dataType) for c in keep})
+    spread = _in_lists(rows, at, p, lo, hi, n) if n <= SMALL_POINTS else None
+    return (spread if spread is not None else _in_ranges(rows, at, p)).select(*df.columns, "__got.*")
+
+
+def _in_lists(rows: DataFrame, at: str, p: DataFrame, lo: float, hi: float, n: int) -> DataFrame | None:
+    """Few points go to the rows, in lists of equal width, if they are spread evenly enough; the rows stay where they are."""
     buckets = max(1, min(n, 10_000))
-    width = max((hi - lo) / buckets, 1e-300) if hi > lo else 1.0
-    cell = lambda c: F.least(F.greatest(F.floor((F.col(c) - lo) / width), F.lit(0)), F.lit(buckets)).cast("int")
-    p = points.select(F.col(point).alias("__at"), F.struct(*keep).alias("__kept")).withColumn("__b", cell("__at"))
-    # the last point of each bucket, carried over to the buckets after it (at most 10,001 rows)
-    last = p.groupBy("__b").agg(F.max_by("__kept", "__at").alias("__kept"))
-    grid = df.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("__b")).join(last, "__b", "left")
-    before = grid.select(F.col("__b"), F.last("__kept", ignorenulls=True).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    rows = df.where(F.col(at) >= lo).withColumn("__b", cell(at))
-    if n <= SMALL_POINTS:
-        lists = p.groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("__at", "__kept"))).alias("__list"))
-        if (lists.agg(F.max(F.size("__list"))).first()[0] or 0) <= IN_BUCKET:
-            # few points, evenly spread: they go to the rows, which stay where they are
-            own = F.try_element_at(F.filter("__list", lambda e: e["__at"] <= F.col(at)), F.lit(-1))
-            got = rows.join(F.broadcast(before.join(lists, "__b", "left")), "__b").withColumn("__got", F.coalesce(own["__kept"], "__before"))
-            return got.select(*df.columns, "__got.*")
-    both = rows.select("__b", F.col(at).alias("__at"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(p.schema["__kept"].dataType).alias("__kept")).unionByName(p.select("__b", "__at", F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType).alias("__row"), "__kept"))
-    w = Window.partitionBy("__b").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__own", F.last("__kept", ignorenulls=True).over(w)).where("__row is not null")
-    both = both.join(F.broadcast(before), "__b").withColumn("__got", F.coalesce("__own", "__before"))
-    return both.select("__row.*", "__got.*")
+    width = max((float(hi) - float(lo)) / buckets, 1e-300) if hi > lo else 1.0
+
+    def cell(c: str) -> Column:
+        v = F.col(c).cast("double")
+        v = F.when(F.isnan(v), F.lit(float(buckets))).otherwise(F.least(F.greatest((v - float(lo)) / width, F.lit(-1.0)), F.lit(float(buckets))))
+        return F.floor(v).cast("int")
+
+    lists = materialize(p.groupBy(cell("__at").alias("__b")).agg(F.sort_array(F.collect_list(F.struct("__at", "__kept"))).alias("__list")), "as-of-lists")
+    if (lists.agg(F.max(F.size("__list"))).first()[0] or 0) > IN_BUCKET:
+        return None
+    grid = rows.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("__b")).join(lists, "__b", "left")
+    # the last point of the buckets before (at most 10,001 rows)
+    last = F.try_element_at("__list", F.lit(-1))["__kept"]
+    before = F.last(last, ignorenulls=True).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.try_element_at(F.filter("__list", lambda e: e["__at"] <= F.col(at)), F.lit(-1))["__kept"]
+    got = rows.withColumn("__b", cell(at)).join(F.broadcast(grid.withColumn("__before", before)), "__b")
+    return got.withColumn("__got", F.coalesce(own, "__before")).where("__got is not null")
+
+
+def _in_ranges(rows: DataFrame, at: str, p: DataFrame) -> DataFrame:
+    """Rows and points in one order, cut at quantiles of both, so that no range is crowded: within a range the last point
+    is carried forward, and each range begins with the last point of the ranges before."""
+    row, kept = F.struct(*rows.columns), p.schema["__kept"].dataType
+    kind = p.schema["__at"].dataType
+    a = rows.select(F.col(at).cast(kind).alias("__at"), F.lit(1).alias("__kind"), F.monotonically_increasing_id().alias("__id"), row.alias("__row"), F.lit(None).cast(kept).alias("__kept"))
+    b = p.select("__at", F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__id"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__kept")
+    keys = ["__at", "__kind", "__id"]
+    put = materialize(a.unionByName(b), "as-of-rows").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__seq", F.monotonically_increasing_id())
+    put = materialize(put, "as-of-ranges").withColumn("__part", F.shiftright("__seq", 33))
+    last = put.groupBy("__part").agg(F.max_by("__kept", F.when(F.col("__kind") == 0, F.col("__seq"))).alias("__last"))
+    until = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = last.select(F.col("__part"), F.last("__last", ignorenulls=True).over(until).alias("__before"))
+    carried = F.last("__kept", ignorenulls=True).over(Window.partitionBy("__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0))
+    out = put.withColumn("__own", carried).where("__kind = 1").join(F.broadcast(before), "__part")
+    return out.select("__row.*", F.coalesce("__own", "__before").alias("__got")).where("__got is not null")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .nearest import nearest_any, nearest_within
+from .windows import gaussian_weights
 
 
 def with_nearest(points: DataFrame, key: str, others: DataFrame, other: str, bound: float) -> DataFrame:
@@ -55,10 +56,40 @@ def sweep(distances: DataFrame, d: str, thresholds: list[float]) -> DataFrame:
     return counts.select(F.inline(each))
 
 
-def splat(df: DataFrame, size: dict[str, int], weight: int = 5000) -> DataFrame:
+def splat(df: DataFrame, size: dict[str, int], weight: int = 5000, by: list[str] | None = None) -> DataFrame:
     """Weighted counts in unit bins; the far end of each axis belongs to its last bin."""
     bins = {f"b{a}": F.when(F.col(a) == n, n - 1).otherwise(F.floor(a)).cast("int") for a, n in size.items()}
     inside = F.lit(True)
     for a, n in size.items():
         inside = inside & F.col(a).between(0, n)
-    return df.where(inside).groupBy(*[c.alias(n) for n, c in bins.items()]).agg((F.count("*") * weight).alias("v"))
+    return df.where(inside).groupBy(*(by or []), *[c.alias(n) for n, c in bins.items()]).agg((F.count("*") * weight).alias("v"))
+
+
+def extents(df: DataFrame, axes: str = "zyx") -> dict[str, int]:
+    """Unit bins along each axis that hold all coordinates, by one aggregation; 1 where there are none."""
+    most = df.agg(*[F.floor(F.max(a)).cast("long").alias(a) for a in axes]).first()
+    return {a: max(0, most[a] or 0) + 1 for a in axes}
+
+
+def _spread(axis: str, n: int, weights: list[float]) -> Column:
+    """Places within 0 to n - 1 that a voxel's value reaches along an axis, with weights.
+
+    A place p takes from p + j, mirrored at the borders (the end value first) as often as needed."""
+    r, at = len(weights) // 2, F.col(axis)
+    turns = range(-(r // (2 * n)) - 1, r // (2 * n) + 2)
+    each = [F.struct((q + (2 * n * m - j)).alias("to"), F.lit(w).alias("w")) for j, w in zip(range(-r, r + 1), weights, strict=True) for m in turns for q in (at, -at - 1)]
+    return F.filter(F.array(*each), lambda e: e["to"].between(0, n - 1))
+
+
+def sparse_blur(df: DataFrame, c: str, size: dict[str, int], sigma: dict[str, float], keys: tuple[str, ...] = (), truncate: float = 2.0) -> DataFrame:
+    """Gaussian blur of whole numbers on a volume of which only the voxels that aren't 0 have rows (keys, axes, c).
+
+    Each voxel is spread over the kernel's reach along one axis and summed by voxel; each pass is cut to a whole number,
+    borders are mirrored. The grid is never built."""
+    axes = list(sigma)
+    out = df.select(*keys, *[F.col(a).cast("long").alias(a) for a in axes], F.col(c).cast("double").alias(c))
+    for a in axes:
+        rest = [*keys, *[b for b in axes if b != a]]
+        spread = out.select(*rest, c, F.inline(_spread(a, size[a], gaussian_weights(sigma[a], truncate))))
+        out = spread.groupBy(*rest, F.col("to").alias(a)).agg(F.floor(F.round(F.sum(F.col(c) * F.col("w")), 6)).cast("double").alias(c)).where(F.col(c) > 0)
+    return out.select(*keys, *axes, c)

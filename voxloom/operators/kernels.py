@@ -7,26 +7,39 @@ import numpy as np
 from .windows import dog_factor, gaussian_weights
 
 
-def _slide(v: np.ndarray, axis: int, r: int) -> np.ndarray:
-    pad = [(r, r) if a == axis else (0, 0) for a in range(3)]
-    return np.lib.stride_tricks.sliding_window_view(np.pad(v, pad, mode="edge"), 2 * r + 1, axis=axis)
+def running(v: np.ndarray, axis: int, r: int, op: np.ufunc, border: str = "edge") -> np.ndarray:
+    """op over 2 r + 1 neighbours along an axis in time that doesn't depend on r; border values are repeated ("edge") or 0 ("constant").
+
+    The line is cut into runs of 2 r + 1; a window is the end of one run and the beginning of the next."""
+    if not r:
+        return v
+    n, k = v.shape[axis], 2 * r + 1
+    v = np.moveaxis(v, axis, -1)
+    padded = np.pad(v, [(0, 0)] * (v.ndim - 1) + [(r, r + -(n + 2 * r) % k)], mode=border)
+    runs = padded.reshape(*v.shape[:-1], -1, k)
+    head = op.accumulate(runs, -1).reshape(padded.shape)
+    tail = op.accumulate(runs[..., ::-1], -1)[..., ::-1].reshape(padded.shape)
+    out = op(tail[..., :n], head[..., k - 1 : k - 1 + n])
+    if op is np.add:  # a window that is a whole run counts once
+        out[..., ::k] = head[..., k - 1 : k - 1 + n : k]
+    return np.moveaxis(out, -1, axis)
 
 
 def erode(v: np.ndarray, r: tuple[int, int, int]) -> np.ndarray:
-    for axis, k in zip((2, 1, 0), r, strict=True):
-        v = _slide(v, axis, k).min(-1)
+    for axis, k in zip((-1, -2, -3), r, strict=True):
+        v = running(v, axis, k, np.minimum)
     return v
 
 
 def dilate(v: np.ndarray, r: tuple[int, int, int]) -> np.ndarray:
-    for axis, k in zip((2, 1, 0), r, strict=True):
-        v = _slide(v, axis, k).max(-1)
+    for axis, k in zip((-1, -2, -3), r, strict=True):
+        v = running(v, axis, k, np.maximum)
     return v
 
 
-def box(v: np.ndarray, r: tuple[int, int, int]) -> np.ndarray:
-    for axis, k in zip((2, 1, 0), r, strict=True):
-        v = _slide(v, axis, k).mean(-1)
+def box(v: np.ndarray, r: tuple[int, int, int], border: str = "edge") -> np.ndarray:
+    for axis, k in zip((-1, -2, -3), r, strict=True):
+        v = running(v, axis, k, np.add, border) / (2 * k + 1)
     return v
 
 
@@ -38,6 +51,21 @@ def normalize(v: np.ndarray, r: tuple[int, int, int], small: tuple[int, int, int
         return np.where(v >= least, (v - e) / (d - e), 0.0)
 
 
+def share(v: np.ndarray, r: tuple[int, int, int], least: float) -> np.ndarray:
+    """The other mode's contrast: the whole value, not its distance from the eroded one, over the spread; the box sees zeros beyond the border."""
+    e, d = box(erode(v, r), r, "constant"), box(dilate(v, r), r, "constant")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (v >= least) * v / (d - e)
+
+
+def hessian_one_sided(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """xx, xy, xz, yy, yz, zz where a border's derivative is its step to the one neighbour there is."""
+    gz, gy, gx = np.gradient(v)
+    gyz, gyy, _ = np.gradient(gy)
+    gxz, gxy, gxx = np.gradient(gx)
+    return gxx, gxy, gxz, gyy, gyz, np.gradient(gz, axis=0)
+
+
 def gaussian(v: np.ndarray, sigma_xy: float, sigma_z: float) -> np.ndarray:
     for axis, sigma in ((2, sigma_xy), (1, sigma_xy), (0, sigma_z)):
         w = gaussian_weights(sigma)

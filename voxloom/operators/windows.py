@@ -8,6 +8,7 @@ find their rows on partitions hashed by z. Filters take the passes in an order t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -27,27 +28,48 @@ def line(axis: str, keys: tuple[str, ...] = ()) -> WindowSpec:
     return Window.partitionBy(*keys, *OTHERS[axis]).orderBy(axis)
 
 
-def lowest(c: str, axis: str, r: int, keys: tuple[str, ...] = ()) -> Column:
-    """Grey erosion along one axis; repeating the border doesn't change a minimum."""
-    return F.min(c).over(line(axis, keys).rowsBetween(-r, r))
-
-
-def highest(c: str, axis: str, r: int, keys: tuple[str, ...] = ()) -> Column:
-    return F.max(c).over(line(axis, keys).rowsBetween(-r, r))
-
-
-def box(c: str, axis: str, r: int, keys: tuple[str, ...] = ()) -> Column:
-    """Mean of 2 r + 1 values, border values repeated."""
-    w = line(axis, keys)
+def running(df: DataFrame, axis: str, r: int, how: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Replace columns by their min, max or sum over 2 r + 1 neighbours of a dense line; the window ends at the line's ends.
+
+    The line is cut into runs of 2 r + 1, so that a window is the end of one run and the beginning of the next. Values
+    running up to a place from either end of its run, and those of the places r before and r after, give every window
+    in steps that don't grow with r."""
+    if not r:
+        return df
+    run, at = F.floor(F.col(axis) / (2 * r + 1)), Window.partitionBy(*keys, *OTHERS[axis], "__run")
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}
+    join = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + b}
+    df = df.withColumn("__run", run)
+    df = df.withColumns({f"__t{c}": fold[f](c).over(at.orderBy(F.col(axis).desc()).rowsBetween(*to_here)) for c, f in how.items()})
+    df = df.withColumns({f"__h{c}": fold[f](c).over(at.orderBy(axis).rowsBetween(*to_here)) for c, f in how.items()})
+    # in the order of the runs' own windows, so that the rows needn't be sorted again
+    w = Window.partitionBy(*keys, *OTHERS[axis]).orderBy("__run", axis)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i = F.row_number().over(w) - 1
-    n = F.count(F.lit(1)).over(whole)
-    before, after = F.greatest(F.lit(0), r - i), F.greatest(F.lit(0), r - (n - 1 - i))
-    return (F.sum(c).over(w.rowsBetween(-r, r)) + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * r + 1)
-
-
-def gaussian_weights(sigma: float) -> list[float]:
-    r = int(2.0 * sigma + 0.5)
+    cut = F.lag("__run", r).over(w).isNull()
+    same = F.coalesce(F.lag("__run", r).over(w), F.first("__run").over(whole)) == F.coalesce(F.lead("__run", r).over(w), F.last("__run").over(whole))
+    out = {}
+    for c, f in how.items():
+        tail = F.coalesce(F.lag(f"__t{c}", r).over(w), F.first(f"__t{c}").over(whole))
+        head = F.coalesce(F.lead(f"__h{c}", r).over(w), F.last(f"__h{c}").over(whole))
+        out[c] = F.when(~same, join[f](tail, head)).when(cut, head).otherwise(tail)
+    return df.withColumns(out).drop("__run", *[f"__{k}{c}" for k in "th" for c in how])
+
+
+def box(df: DataFrame, axis: str, r: int, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Replace columns by their mean over 2 r + 1 values of a dense line, border values repeated."""
+    if not r:
+        return df
+    whole = line(axis, keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    i, last = F.col(axis) - F.first(axis).over(whole), F.last(axis).over(whole) - F.col(axis)
+    before, after = F.greatest(F.lit(0), r - i), F.greatest(F.lit(0), r - last)
+    df = df.withColumns({f"__more{c}": before * F.first(c).over(whole) + after * F.last(c).over(whole) for c in columns})
+    df = running(df, axis, r, dict.fromkeys(columns, "sum"), keys)
+    return df.withColumns({c: (F.col(c) + F.col(f"__more{c}")) / (2 * r + 1) for c in columns}).drop(*[f"__more{c}" for c in columns])
+
+
+def gaussian_weights(sigma: float, truncate: float = 2.0) -> list[float]:
+    r = int(truncate * sigma + 0.5)
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     return [x / sum(w) for x in w]
 
@@ -115,15 +137,22 @@ def separable(df: DataFrame, c: str, out: str, passes: dict[str, object], keys:
 
 
 def erode(df: DataFrame, c: str, out: str, r: tuple[int, int, int], keys: tuple[str, ...] = ()) -> DataFrame:
-    return separable(df, c, out, {a: (lambda col, a=a, k=k: lowest(col, a, k, keys)) for a, k in zip("xyz", r, strict=True)}, keys)
+    """Grey erosion; repeating the border doesn't change a minimum."""
+    return _by_axes(df.withColumn(out, F.col(c)), lambda d, a, k: running(d, a, k, {out: "min"}, keys), r, keys)
 
 
 def dilate(df: DataFrame, c: str, out: str, r: tuple[int, int, int], keys: tuple[str, ...] = ()) -> DataFrame:
-    return separable(df, c, out, {a: (lambda col, a=a, k=k: highest(col, a, k, keys)) for a, k in zip("xyz", r, strict=True)}, keys)
+    return _by_axes(df.withColumn(out, F.col(c)), lambda d, a, k: running(d, a, k, {out: "max"}, keys), r, keys)
 
 
 def box_mean(df: DataFrame, c: str, out: str, r: tuple[int, int, int], keys: tuple[str, ...] = ()) -> DataFrame:
-    return separable(df, c, out, {a: (lambda col, a=a, k=k: box(col, a, k, keys)) for a, k in zip("xyz", r, strict=True)}, keys)
+    return _by_axes(df.withColumn(out, F.col(c).cast("double")), lambda d, a, k: box(d, a, k, [out], keys), r, keys)
+
+
+def _by_axes(df: DataFrame, step: Callable[[DataFrame, str, int], DataFrame], r: tuple[int, int, int], keys: tuple[str, ...]) -> DataFrame:
+    """One step along x, y and then z, with two placements."""
+    df = step(step(by_slice(df, keys), "x", r[0]), "y", r[1])
+    return step(by_column(df, keys), "z", r[2])
 
 
 def gaussian(df: DataFrame, c: str, out: str, sigma_xy: float, sigma_z: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -137,13 +166,11 @@ def normalize(df: DataFrame, c: str, out: str, r: tuple[int, int, int], small: t
     Erosion and dilation run side by side; the box takes z first, where the rows already are: three placements."""
     if 0 in r or 0 in small:
         return df.withColumn(out, copy_threshold(F.col(c), least))
-    df = by_slice(df, keys).withColumns({"__e": lowest(c, "x", r[0], keys), "__d": highest(c, "x", r[0], keys)})
-    df = df.withColumns({"__e": lowest("__e", "y", r[1], keys), "__d": highest("__d", "y", r[1], keys)})
-    df = by_column(df, keys).withColumns({"__e": lowest("__e", "z", r[2], keys), "__d": highest("__d", "z", r[2], keys)})
-    df = df.withColumns({"__e": box("__e", "z", small[2], keys), "__d": box("__d", "z", small[2], keys)})
-    df = by_slice(df, keys)
-    for a, k in (("y", small[1]), ("x", small[0])):
-        df = df.withColumns({"__e": box("__e", a, k, keys), "__d": box("__d", a, k, keys)})
+    both = ["__e", "__d"]
+    shrink = lambda d, a, k: running(d, a, k, {"__e": "min", "__d": "max"}, keys)
+    df = _by_axes(df.withColumns({e: F.col(c).cast("double") for e in both}), shrink, r, keys)
+    df = by_slice(box(df, "z", small[2], both, keys), keys)
+    df = box(box(df, "y", small[1], both, keys), "x", small[0], both, keys)
     from ..functions.numeric import ratio
 
     return df.withColumn(out, F.when(F.col(c) >= least, ratio(F.col(c) - F.col("__e"), F.col("__d") - F.col("__e"))).otherwise(0.0)).drop("__e", "__d")

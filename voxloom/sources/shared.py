@@ -42,3 +42,15 @@ SMALL_ROWS = 1_000_000
 def small_side(written: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """Mark a written table for broadcast if its counted size allows; beyond, the join shuffles."""
     return F.broadcast(written) if written.count() <= most else written
+
+
+#: Bytes of a batch between Spark and Python where rows hold blocks or whole files.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound batches to Python by bytes, unless the session has a lower bound: a row may be a block of several MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
