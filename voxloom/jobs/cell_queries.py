@@ -141,9 +141,7 @@ def cls_11_density(s: SparkSession, d: str) -> DataFrame:
 
 def cls_12_facets(s: SparkSession, d: str) -> DataFrame:
     """Every 1000th cell of stacks with at least 1000 cells."""
-    c = cells(s, d)
-    n = c.groupBy("side", "ix", "iy").agg(F.count("*").alias("n")).where("n >= 1000").drop("n")
-    out = P.every_nth(c.join(n, ["side", "ix", "iy"]), 1000, CELL_ORDER, ["side", "ix", "iy"])
+    out = P.facets(cells(s, d), CELL_ORDER, ["side", "ix", "iy"], least=1000)
     return out.select("side", "ix", "iy", "lx", "structureness")
 
 
@@ -153,6 +151,12 @@ def cls_09_gather(s: SparkSession, d: str) -> DataFrame:
     return c.groupBy("side").agg(F.count("*").alias("n"), *[F.round(F.avg(f), 6).alias(f) for f in ("f0", "f1", "f2")])
 
 
+def cls_09_rows(s: SparkSession, d: str) -> DataFrame:
+    """The matrix of features of all valid cells, stack by stack, its rows numbered."""
+    c = FE.feature_columns(with_global(cells(s, d)), mean_intensity=True).where("mz <= 250 and f0 > -1e300")
+    return P.numbered(c, ["side", "iy", *CELL_ORDER]).select("rn", "side", "iy", r("f0"), r("f1"), r("f2"))
+
+
 def flagship_density(s: SparkSession, d: str) -> DataFrame:
     """Cells to features, linear classifier, validity and density."""
     c = with_global(FE.feature_columns(cells(s, d))).where("f0 > -1e300")
@@ -231,6 +235,8 @@ ORACLE = {
     "cls_12_facets": f"WITH {CELLS}, q AS (SELECT *, row_number() OVER (PARTITION BY side, ix, iy ORDER BY {_ORDER}) - 1 AS i, count(*) OVER (PARTITION BY side, ix, iy) AS n FROM cells) SELECT side, ix, iy, lx, structureness FROM q WHERE n >= 1000 AND i % 1000 = 0",
     "cls_09_gather": f"""WITH {CELLS}, {GLOBAL}, q AS (SELECT side, {_LOG.format('(intensity / size)')} AS f0, {F1} AS f1, {F2} AS f2 FROM placed WHERE mz <= 250)
       SELECT side, count(*) AS n, round(avg(f0), 6) AS f0, round(avg(f1), 6) AS f1, round(avg(f2), 6) AS f2 FROM q WHERE f0 > -1e300 GROUP BY ALL""",
+    "cls_09_rows": f"""WITH {CELLS}, {GLOBAL}, q AS (SELECT *, {_LOG.format('(intensity / size)')} AS f0, {F1} AS f1, {F2} AS f2 FROM placed WHERE mz <= 250)
+      SELECT row_number() OVER (ORDER BY side, iy, {_ORDER}) - 1 AS rn, side, iy, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM q WHERE f0 > -1e300""",
     "flagship_density": _density_sql(f"SELECT * FROM (SELECT *, {F0} AS f0, {F1} AS f1 FROM placed) WHERE f0 > -1e300 AND 6.0 * f1 + 0.0 * f0 - 25.0 > 0 AND mz BETWEEN 0 AND 450"),
 }
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[:4] in ("cel_", "par_", "cls_", "flag")}

@@ -1,21 +1,17 @@
-"""Queries of the Dirichlet-process mixture and of the other detection mode, with their SQL."""
+"""The query of the Dirichlet-process mixture and its SQL."""
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks as B
 from ..operators import features as FE
 from ..operators import mixture as X
 from ..sources.shared import materialize
-from . import cpu_mode
 from .cell_queries import FEAT
-from .views import CELLS, HEIGHT, VOX, WIDTH, cells
-from .voxel_queries import HESS, LEAST, RADII, S_LARGE, S_SMALL, V, _frame, _gauss, _intensities, _pass, _sig, lines
+from .views import CELLS, cells
 
 FEATURES = ["f0", "f1", "f2"]
 #: Clusters and the feature whose mean tells the wanted one, rounds of the query.
@@ -36,24 +32,6 @@ def cls_05_dp_mixture(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("side", "ix", "iy").agg(F.count("*").alias("n"), F.count_if(F.col("component") == best).alias("positive"), F.round(F.sum(share), 4).alias("share"))
 
 
-def cpu_02_features(s: SparkSession, d: str) -> DataFrame:
-    """Regions of the volume in the other detection mode, numbered from 0."""
-    grid = B.Grid(HEIGHT, WIDTH, (5, 16, 16))
-    blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
-    f = cpu_mode.features(blocks, grid, RADII, LEAST, S_SMALL, S_LARGE)
-    return f.select("index", F.col("size").cast("long").alias("size"), *[F.round(c, 5).alias(c) for c in ("intensity", "centroid_x", "centroid_y", "centroid_z")], F.round(F.col("structureness") * 0.7310585, 4).alias("structureness"))
-
-
-def cpu_03_unsupervised(s: SparkSession, d: str) -> DataFrame:
-    """Regions of the other mode in three clusters by size, brightness and shape; wanted is the one with the largest second feature."""
-    grid = B.Grid(HEIGHT, WIDTH, (5, 16, 16))
-    blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
-    f = cpu_mode.features(blocks, grid, RADII, LEAST, S_SMALL, S_LARGE).where("size > 1")
-    f = materialize(f.select("index", "size", F.log10("size").alias("a"), F.log10("structureness").alias("b"), F.log10("intensity").alias("c")).where("b is not null and c is not null"), "regions")
-    model = X.fit(f, ["a", "b", "c"], 3, "b").pruned()
-    return model.predict(f).groupBy((F.col("component") == model.largest("b")).alias("wanted")).agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("voxels"))
-
-
 # SQL: the rounds are unrolled; a round is a row of sums and a row of parameters
 _D = 3
 _PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
@@ -130,38 +108,5 @@ def _mixture_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT side, ix, iy, count(*) AS n, count(*) FILTER (WHERE (l1 > l0) = ({best} = 1)) AS positive, round(sum(CASE WHEN {best} = 1 THEN r1 ELSE r0 END), 4) AS share FROM ({_scored(last)}) GROUP BY ALL"
 
 
-def _cpu_sql() -> str:
-    r = dict(zip("xyz", RADII, strict=True))
-    other = {"x": "z, y", "y": "z, x", "z": "y, x"}
-
-    def chain(p: str, steps: list[tuple[str, str]], source: str) -> str:
-        out, src = [], source
-        for i, (axis, e) in enumerate(steps):
-            out.append(_pass(src, f"{p}{i}", axis, e + " AS c"))
-            src = f"{p}{i}"
-        return ", ".join(out)
-
-    spread = {p: chain(p, [(a, _frame(fn, "c", a, r[a])) for a in "xyz"] + [(a, f"{_frame('sum', 'c', a, r[a])} / {2 * r[a] + 1}") for a in "zyx"], "p0") for p, fn in (("e", "min"), ("d", "max"))}
-    blur = {p: chain(p, [(a, _gauss("c", _sig(sig, a))) for a in "xyz"], "nn") for p, sig in (("g", S_SMALL), ("b", S_LARGE))}
-
-    def grad(c: str, a: str) -> str:
-        w = f"OVER (PARTITION BY {other[a]} ORDER BY {a})"
-        return f"CASE WHEN lag({c}) {w} IS NULL THEN lead({c}) {w} - {c} WHEN lead({c}) {w} IS NULL THEN {c} - lag({c}) {w} ELSE (lead({c}) {w} - lag({c}) {w}) / 2 END"
-
-    det = "(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz))"
-    steps = ", ".join(f"({i}, {j}, {k})" for i, j, k in itertools.product((-1, 0, 1), repeat=3) if (i, j, k) != (0, 0, 0))
-    return f"""WITH RECURSIVE {VOX}, p0 AS (SELECT z, y, x, inten, CAST(inten AS DOUBLE) AS c FROM vox), {spread['e']}, {spread['d']},
-      nn AS MATERIALIZED (SELECT z, y, x, inten, CASE WHEN inten >= {LEAST} THEN inten / (d5.c - e5.c) ELSE 0.0 END AS c FROM e5 JOIN d5 USING (z, y, x, inten)), {blur['g']}, {blur['b']},
-      dog AS MATERIALIZED (SELECT z, y, x, nn.c AS norm, (g2.c - b2.c) * {V.dog_factor(*S_SMALL, 1.0)!r} AS v FROM g2 JOIN b2 USING (z, y, x) JOIN nn USING (z, y, x)),
-      g AS (SELECT *, {grad('v', 'x')} AS gx, {grad('v', 'y')} AS gy, {grad('v', 'z')} AS gz FROM dog),
-      h AS MATERIALIZED (SELECT *, {grad('gx', 'x')} AS xx, {grad('gx', 'y')} AS xy, {grad('gx', 'z')} AS xz, {grad('gy', 'y')} AS yy, {grad('gy', 'z')} AS yz, {grad('gz', 'z')} AS zz FROM g),
-      fg AS MATERIALIZED (SELECT *, z * 3200 + y * 64 + x AS id FROM h WHERE xx < 0 AND xx * yy - xy * xy > 0 AND {det} < 0), o(i, j, k) AS (VALUES {steps}),
-      e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM fg a, o, fg b WHERE b.z = a.z + o.i AND b.y = a.y + o.j AND b.x = a.x + o.k),
-      lab(id, label) USING KEY (id) AS (SELECT id, id FROM fg UNION (SELECT e.b, min(l.label) FROM lab l JOIN e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.label < r.label GROUP BY e.b)),
-      q AS (SELECT label, count(*) AS size, max(norm) AS intensity, avg(x) AS centroid_x, avg(y) AS centroid_y, avg(z) AS centroid_z, {', '.join(f'sum({c}) AS {c}' for c in HESS)} FROM fg JOIN lab USING (id) GROUP BY label)
-      SELECT row_number() OVER (ORDER BY label) - 1 AS index, size, {', '.join(f'round({c}, 5) AS {c}' for c in ('intensity', 'centroid_x', 'centroid_y', 'centroid_z'))},
-        round((xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)) * CAST(0.7310585 AS DOUBLE), 4) AS structureness FROM q"""
-
-
-ORACLE = {"cls_05_dp_mixture": _mixture_sql(), "cpu_02_features": _cpu_sql()}
-QUERIES = {f.__name__: f for f in (cls_05_dp_mixture, cpu_02_features, cpu_03_unsupervised)}
+ORACLE = {"cls_05_dp_mixture": _mixture_sql()}
+QUERIES = {"cls_05_dp_mixture": cls_05_dp_mixture}

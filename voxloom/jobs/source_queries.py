@@ -12,12 +12,12 @@ from ..sources import datasource, raw
 from ..sources import tables as T
 from ..sources.shared import fresh_path
 from .cell_queries import F1, ID
-from .views import ATLAS, CELLS, HEIGHT, VOX, WIDTH, atlas, cells, table, voxels
+from .views import ATLAS, CELLS, HEIGHT, VOX, WIDTH, atlas, cells, slice_numbers, table
 
 
 def _slices(s: SparkSession, d: str) -> DataFrame:
     """The volume's slices as files of two tiles, of which every second is missing; names count in fives."""
-    z = voxels(s, d).select("z").distinct()
+    z = slice_numbers(s, d)
     return z.select(F.lit("FW").alias("side"), F.lit("0000").alias("yname"), (F.col("z") % 2).cast("string").alias("xname"), F.lpad((F.col("z") * 5 + 100).cast("string"), 6, "0").alias("zname"))
 
 

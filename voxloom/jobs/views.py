@@ -19,6 +19,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("inten", F.floor((F.col("v") + 0.6) * 10000).cast("int"))
 
 
+def slice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z of every slice."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("z")).distinct()
+
+
 def n_slices(spark: SparkSession, sf_dir: str) -> int:
     return (table(spark, sf_dir, "embeddings").agg(F.max(F.expr("vec_id div 50"))).first()[0] or 0) + 1
 

@@ -18,7 +18,7 @@ from ..operators import regions as R
 from ..operators import windows as V
 from . import detect
 from .cell_queries import F1
-from .views import CELLS, HEIGHT, VOX, WIDTH, cells, table, voxels
+from .views import CELLS, HEIGHT, VOX, WIDTH, cells, slice_numbers, table, voxels
 
 RADII, SMALL, LEAST = (3, 3, 1), (3, 3, 1), 5000
 #: Radii of the reach that wide backgrounds need, beyond every line of the volume along y and x.
@@ -225,7 +225,7 @@ def mrg_07_09_mosaic(s: SparkSession, d: str) -> DataFrame:
 
 def mrg_01_plan(s: SparkSession, d: str) -> DataFrame:
     """Slices of two half scans that overlap, merged at a boundary; every second slice."""
-    z = base(s, d).select("z").distinct()
+    z = slice_numbers(s, d)
     sl = z.select(F.lit("FW").alias("side"), F.col("z").cast("int").alias("index")).unionByName(z.select(F.lit("RV").alias("side"), F.col("z").cast("int").alias("index")))
     _, sides, strips = M.case_of(5.0, 5.0, 0.0, 45.0, 30.0)
     return M.plan_slices(sl, {"FW": 7, "RV": 1}, {"FW": 2, "RV": 2}, sides, strips, "RV")
@@ -241,7 +241,7 @@ def mrg_02_bounds(s: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(s: SparkSession, d: str, reverse: bool = False) -> DataFrame:
-    z = base(s, d).select(F.col("z").cast("int").alias("index")).distinct()
+    z = slice_numbers(s, d).select(F.col("z").cast("int").alias("index"))
     sl = z.select(F.explode(F.array(F.lit("FW"), F.lit("RV"))).alias("side"), "index")
     _, sides, strips = M.case_of(5.0, 5.0, 0.0, 45.0, 30.0)
     return M.plan_slices(sl, {"FW": 7, "RV": 1}, {"FW": 2, "RV": 2}, sides, strips, "RV", reverse)

@@ -67,3 +67,9 @@ def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out:
 def every_nth(df: DataFrame, n: int, order: list[str], by: list[str]) -> DataFrame:
     """Systematic sample: rows 0, n, 2n, ... of each group in a total order."""
     return numbered(df, order, by, "__rn").where(F.col("__rn") % n == 0).drop("__rn")
+
+
+def facets(df: DataFrame, order: list[str], by: list[str], least: int = 10_000, step: int = 1_000) -> DataFrame:
+    """Every step-th row of the groups that hold at least so many."""
+    n = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    return every_nth(df.join(n, by), step, order, by)
