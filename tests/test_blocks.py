@@ -10,7 +10,7 @@ from test_operators import PARAMS, dense, rows
 
 from voxloom.jobs import cpu_mode, detect
 from voxloom.operators import blocks as B
-from voxloom.operators import cells, evaluate, kernels, mixture, partition, windows
+from voxloom.operators import cells, evaluate, features, kernels, mixture, partition, windows
 from voxloom.sources import raw
 
 
@@ -276,3 +276,43 @@ def test_sparse_blur(spark, shape):
     out = evaluate.sparse_blur(both, "v", dict(zip("zyx", shape)), sigma, ("kind",), truncate=3.0)
     assert np.array_equal(dense(out.where("kind = 'a'"), "v", shape), want) and out.where("v <= 0").count() == 0
     assert evaluate.extents(both.limit(0)) == {"z": 1, "y": 1, "x": 1}
+
+
+def plain_tree(x, y, depth):
+    """Greedy splits at midpoints by Gini impurity; a function from rows to labels."""
+    share = y.mean() if len(y) else 0
+    gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v)
+    best = None
+    if depth and 0 < share < 1:
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for t in (values[1:] + values[:-1]) / 2:
+                low = x[:, f] <= t
+                gain = gini(y) - gini(y[low]) - gini(y[~low])
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, f, t
+    if best is None or best[0] <= 1e-12:
+        return lambda r: np.full(len(r), float(share > 0.5))
+    _, f, t = best
+    low = x[:, f] <= t
+    left, right = plain_tree(x[low], y[low], depth - 1), plain_tree(x[~low], y[~low], depth - 1)
+    return lambda r: np.where(r[:, f] <= t, left(r), right(r))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tree_on_components(spark, seed):
+    """Components as numpy's but for their signs; the tree as the greedy one over all midpoints."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 3)) @ np.array([[3, 1, 0], [0, 2, 0.5], [0.2, 0, 0.7]]) + [10, -4, 7]
+    y = (np.abs(x[:, 0] - 10) + 0.3 * x[:, 1] + rng.normal(0, 0.4, 60) > 1).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(label=y, id=range(60)))
+    model = features.boundary_tree(list("abc"), "label", bins=64).fit(df.where("id < 50"))
+    out = model.transform(df).orderBy("id").collect()
+    got = np.array([r.components.toArray() for r in out])
+    centred = x - x[:50].mean(0)
+    _, vectors = np.linalg.eigh(np.cov(centred[:50].T))
+    want = centred @ vectors[:, ::-1]
+    signs = np.sign((got * want).sum(0))
+    assert np.allclose(got, want * signs)
+    assert [r.prediction for r in out] == plain_tree(got[:50], y[:50], 2)(got).tolist()
+    assert np.mean([r.prediction for r in out[:50]] == y[:50]) > 0.75

@@ -178,14 +178,9 @@ def cls_05_gmm(s: SparkSession, d: str) -> DataFrame:
 
 def cls_06_tree(s: SparkSession, d: str) -> DataFrame:
     """Depth-2 tree on centred principal components, trained on four fifths and scored on the rest."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
     c = FE.feature_columns(cells(s, d)).where("f0 > -1e300").withColumn("label", FE.above(F.col("f1"), 4.5).cast("double"))
-    steps = [VectorAssembler(inputCols=["f0", "f1", "f2"], outputCol="v"), StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False), PCA(k=3, inputCol="c", outputCol="p"), DecisionTreeClassifier(maxDepth=2, featuresCol="p", labelCol="label", seed=1)]
     train = F.pmod(F.xxhash64(*ID), F.lit(5)) != 0
-    model = Pipeline(stages=steps).fit(c.where(train))
+    model = FE.boundary_tree(["f0", "f1", "f2"], "label").fit(c.where(train))
     return model.transform(c.where(~train)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 

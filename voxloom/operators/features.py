@@ -61,3 +61,16 @@ def density(df: DataFrame, axes: tuple[str, str, str]) -> DataFrame:
         return df.select(*[F.lit(None).cast("int").alias(f"b{i}") for i in range(3)], F.lit(0).cast("long").alias("n")).limit(0)
     b = df.select(*[bin_of(F.col(a), most[a]).alias(f"b{i}") for i, a in enumerate(axes)]).dropna()
     return b.groupBy("b0", "b1", "b2").agg(F.count("*").alias("n"))
+
+
+def boundary_tree(features: list[str], label: str, depth: int = 2, bins: int = 32):  # noqa: ANN201  (a Pipeline of pyspark.ml)
+    """A shallow decision tree on the principal components of centred features, not yet fitted."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    # components are of centred columns, which PCA itself doesn't centre
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=features, outputCol="__row"), StandardScaler(inputCol="__row", outputCol="__centred", withMean=True, withStd=False),
+        PCA(k=len(features), inputCol="__centred", outputCol="components"), DecisionTreeClassifier(maxDepth=depth, maxBins=bins, featuresCol="components", labelCol=label, seed=1),
+    ])

@@ -6,13 +6,17 @@ alone. Writing goes through pyarrow's file systems, from the tasks, into a folde
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: A packed record: six 32-bit floats, a 16-bit size and two bytes of padding; fixed values of the format.
 RECORD = np.dtype([("local_x", "<f4"), ("local_y", "<f4"), ("local_z", "<f4"), ("structureness", "<f4"), ("blobness", "<f4"), ("intensity", "<f4"), ("size", "<u2"), ("padding", "<u2")])
 _NAMES = r"([^/]+)/([^/]+)/\2_([^/]+)/([^/]+)\.bin$"
@@ -23,8 +27,10 @@ def _put(path: str, data: bytes) -> None:
 
     system, at = fs.FileSystem.from_uri(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(at) as f:
+    own = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
         f.write(data)
+    system.move(own, at)  # a task that runs twice at once writes the same file; readers see a whole one
 
 
 def write_slices(voxels: DataFrame, path: str, height: int, width: int) -> None:
@@ -77,16 +83,20 @@ def complete_grid(slices: DataFrame) -> DataFrame:
 
 def read_voxels(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Slices as voxel rows; a file cut short gives the pixels that it has."""
-    files = _named(_files(spark, path).select("path", "content")).drop("path")
+    bounded_batches(spark)
+    names = ["side", "yname", "xname", "zname"]
+    files = _named(_files(spark, path).select("path", "content")).select(*names, "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, r in b.iterrows():
-                v = np.frombuffer(r["content"][: len(r["content"]) // 2 * 2], dtype="<u2").astype(np.int32)
+            for i in range(b.num_rows):
+                content = b["content"][i].as_buffer()
+                v = np.frombuffer(content, "<u2", len(content) // 2).astype(np.int32)
                 y, x = np.divmod(np.arange(len(v)), width)
-                yield pd.DataFrame({"side": r["side"], "yname": r["yname"], "xname": r["xname"], "zname": r["zname"], "y": y, "x": x, "v": v})
+                same = pa.array(np.full(len(v), i))
+                yield pa.RecordBatch.from_arrays([*[b[n].take(same) for n in names], pa.array(y), pa.array(x), pa.array(v)], names=[*names, "y", "x", "v"])
 
-    return files.mapInPandas(run, "side string, yname string, xname string, zname string, y long, x long, v int")
+    return files.mapInArrow(run, "side string, yname string, xname string, zname string, y long, x long, v int")
 
 
 def write_records(cells: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
@@ -108,12 +118,17 @@ def write_records(cells: DataFrame, path: str, rows_a_file: int = 1_000_000) ->
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records with their stack and their place in the file (cell_seq); stacks without a file have no rows."""
     parts = [F.regexp_extract("path", r"([^/]+)/([^/_]+)_([^/]+)/([^/]+)\.bin$", i).alias(n) for i, n in enumerate(("side", "yname", "xname", "file"), 1)]
-    files = _files(spark, path).select("content", *parts)
+    bounded_batches(spark)
+    names, fields = ["side", "yname", "xname", "file"], RECORD.names[:-1]
+    files = _files(spark, path).select(*parts, "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, r in b.iterrows():
-                v = np.frombuffer(r["content"][: len(r["content"]) // RECORD.itemsize * RECORD.itemsize], dtype=RECORD)
-                yield pd.DataFrame({"side": r["side"], "yname": r["yname"], "xname": r["xname"], "file": r["file"], "cell_seq": np.arange(len(v))} | {f: v[f].astype(np.int32 if f == "size" else np.float32) for f in RECORD.names[:-1]})
-
-    return files.mapInPandas(run, "side string, yname string, xname string, file string, cell_seq long, local_x float, local_y float, local_z float, structureness float, blobness float, intensity float, size int")
+            for i in range(b.num_rows):
+                content = b["content"][i].as_buffer()
+                v = np.frombuffer(content, RECORD, len(content) // RECORD.itemsize)
+                same = pa.array(np.full(len(v), i))
+                columns = [pa.array(np.ascontiguousarray(v[f]).astype(np.int32 if f == "size" else np.float32)) for f in fields]
+                yield pa.RecordBatch.from_arrays([*[b[n].take(same) for n in names], pa.array(np.arange(len(v))), *columns], names=[*names, "cell_seq", *fields])
+
+    return files.mapInArrow(run, "side string, yname string, xname string, file string, cell_seq long, local_x float, local_y float, local_z float, structureness float, blobness float, intensity float, size int")
