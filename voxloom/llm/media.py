@@ -25,12 +25,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, fresh_path, give_back, materialize, table
+from .common import ROWS_AT_ONCE, arrow_batches, fresh_path, give_back, materialize, private, small_side, table
 
 ROW = 64
 SHARD_BYTES = 256 << 20
@@ -144,28 +144,37 @@ def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
     arrow_batches(df.sparkSession)
     folder = fresh_path(df.sparkSession, name)
     folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
-    df = df.drop(*[f.name for f in PLACE if f.name != text])
+    df, names = private(df.drop(*[f.name for f in PLACE if f.name != text]))
+    text = names.pop(text)
     kept = [f for f in df.schema.fields if f.name != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(folder)
-        for b in batches:
-            rows = []
-            for t in b[text]:
-                data = payload(t)
-                image = to_png(data)
-                digest = hashlib.sha256(image).hexdigest()
-                shard, offset = shards.put(digest, image)
-                rows.append((len((t or "").encode()), digest, shard, offset, len(image)))
-            place = pd.DataFrame(rows, columns=[f.name for f in PLACE], index=b.index)
-            yield pd.concat([b[[f.name for f in kept]], place], axis=1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b, rows = whole.slice(at, ROWS_AT_ONCE), []
+                for t in b[text].to_pylist():
+                    data = payload(t)
+                    image = to_png(data)
+                    digest = hashlib.sha256(image).hexdigest()
+                    shard, offset = shards.put(digest, image)
+                    rows.append((len((t or "").encode()), digest, shard, offset, len(image)))
+                yield pa.RecordBatch.from_arrays([*[b[f.name] for f in kept], *_columns(rows, PLACE)], names=[f.name for f in [*kept, *PLACE]])
         shards.close()
         give_back()
 
     # written at once: reading the plan again must not write the shards again
-    index = materialize(df.mapInPandas(run, T.StructType([*kept, *PLACE])), name + "-index")
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("__place"))
-    return index.join(first, "digest").select(*[f.name for f in kept], "n_bytes", "digest", "__place.shard", "__place.offset", "length")
+    index = materialize(df.mapInArrow(run, T.StructType([*kept, *PLACE])), name + "-index")
+    # contents that several tasks have stored get one place; the others' rows stay where they are
+    place = F.struct("shard", "offset")
+    again = index.groupBy("digest").agg(F.min(place).alias("__place"), F.max(place).alias("__last")).where("__place <> __last").select(F.col("digest").alias("__digest"), "__place")
+    out = index.join(small_side(materialize(again, name + "-places"), 100_000), F.col("digest") == F.col("__digest"), "left")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "n_bytes", "digest", F.coalesce("__place.shard", "shard").alias("shard"), F.coalesce("__place.offset", "offset").alias("offset"), "length")
+
+
+def _columns(rows: list[tuple], fields: list[T.StructField]) -> list[pa.Array]:
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
+    return [pa.array([r[i] for r in rows], kinds[f.dataType]) for i, f in enumerate(fields)]
 
 
 def spread(index: DataFrame) -> DataFrame:
@@ -179,40 +188,42 @@ def headers(index: DataFrame) -> DataFrame:
     """Add width, height and bits from the images' first bytes."""
     index = index.drop("width", "height", "bits")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [T.StructField(c, T.IntegerType()) for c in ("width", "height", "bits")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges()
         for b in batches:
-            got = [png_header(ranges.read(s, o, HEADER)) for s, o in zip(b["shard"], b["offset"], strict=True)]
-            yield b.assign(width=[g[0] for g in got], height=[g[1] for g in got], bits=[g[2] for g in got])
+            got = [png_header(ranges.read(s, o, HEADER)) for s, o in zip(b["shard"].to_pylist(), b["offset"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *_columns(got, fields)], names=[*b.schema.names, "width", "height", "bits"])
 
-    return index.mapInPandas(run, T.StructType([*index.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("width", "height", "bits")]]))
+    return index.mapInArrow(run, T.StructType([*index.schema.fields, *fields]))
 
 
 def read_back(index: DataFrame) -> DataFrame:
     """Add payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, all from the stored bytes."""
-    fields = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    index = index.drop(*[n for n, _ in fields])
+    fields = [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+    index = index.drop(*[f.name for f in fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, last, row = _Ranges(), None, ()
         for b in batches:
             rows = []
-            for place in zip(b["shard"], b["offset"], b["length"], strict=True):
+            for place in zip(*[b[c].to_pylist() for c in ("shard", "offset", "length")], strict=True):
                 if place != last:  # of equal places in a row, the image is read once
                     image = ranges.read(*place)
                     samples = from_png(image)
                     data = samples.tobytes()
                     last, row = place, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(image), hashlib.sha256(image).hexdigest(), features(samples))
                 rows.append(row)
-            yield pd.concat([b, pd.DataFrame(rows, columns=[n for n, _ in fields], index=b.index)], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, *_columns(rows, fields)], names=[*b.schema.names, *[f.name for f in fields]])
 
-    return index.mapInPandas(run, T.StructType([*index.schema.fields, *[T.StructField(n, t) for n, t in fields]]))
+    return index.mapInArrow(run, T.StructType([*index.schema.fields, *fields]))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = store(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = read_back(headers(spread(index)))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset", "length")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "length")
 
 
 QUERIES = {"op6_media": op6_media}
