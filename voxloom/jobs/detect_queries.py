@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import mixture as X
 from ..operators.windows import dog_factor
-from ..sources.shared import materialize
+from ..sources import datasource
+from ..sources.shared import fresh_path, materialize
 from . import cpu_mode, detect
 from .views import HEIGHT, VOX, WIDTH
 from .voxel_queries import HESS, LEAST, RADII, S_LARGE, S_SMALL, TIELESS, _intensities, _sig, lines
@@ -24,6 +25,20 @@ def detect_candidates(s: SparkSession, d: str) -> DataFrame:
     return found.select(*[F.round(c, 5).alias(c) for c in "zyx"], F.round(F.col("intensity") * TIELESS, 6).alias("intensity"), F.round(F.col("structureness") * TIELESS, 6).alias("structureness"), "size")
 
 
+def detect_from_files(s: SparkSession, d: str) -> DataFrame:
+    """Two stacks as files of raw slices, the volume and its upside-down negative, from files to candidates."""
+    path = fresh_path(s, "detect-slices")
+    both = F.explode(F.array(F.struct(F.lit("FW").alias("side"), F.col("y").alias("row"), _intensities().alias("v")), F.struct(F.lit("RV").alias("side"), (HEIGHT - 1 - F.col("y")).alias("row"), F.transform(_intensities(), lambda v: 11_500 - v).alias("v")))).alias("e")
+    rows = B.with_depth(lines(s, d), (), F.col("z")).select("depth", "z", both).select("e.side", "depth", "z", F.col("e.row").alias("y"), "e.v")
+    grid = B.Grid(HEIGHT, WIDTH, (1, HEIGHT, WIDTH), ("side",), "<u2")
+    slices = B.from_lines(rows, "v", grid)
+    datasource.register(s)
+    named = slices.select("side", F.lit("0").alias("yname"), F.lit("1").alias("xname"), F.lpad(F.col("bz").cast("string"), 6, "0").alias("zname"), F.col("data").alias("content"))
+    named.write.format("raw_slices").option("path", path).mode("append").save()
+    found = detect.detect_files(s, path, HEIGHT, WIDTH, SETTINGS, tile=16)
+    return found.select("side", *[F.round(c, 5).alias(c) for c in "zyx"], F.round(F.col("intensity") * TIELESS, 6).alias("intensity"), F.round(F.col("structureness") * TIELESS, 6).alias("structureness"), "size")
+
+
 def cpu_02_features(s: SparkSession, d: str) -> DataFrame:
     """Regions of the volume in the other detection mode, numbered from 0."""
     grid = B.Grid(HEIGHT, WIDTH, (5, 16, 16))
@@ -102,13 +117,15 @@ def _zero_beyond(c: str, a: str) -> str:
     return f"(coalesce(lead({c}) {_over(a)}, 0) - coalesce(lag({c}) {_over(a)}, 0)) * CAST(0.5 AS DOUBLE)"
 
 
-def _detect_sql() -> str:
+def _detect_sql(stacks: str = "SELECT 0 AS side, z, y, x, inten FROM vox", side: str = "") -> str:
+    """stacks: side (0, 1, ...), z, y, x, inten; a substack's number is its side's thousands and its first slice."""
     m, depth, length = SETTINGS.margin, SETTINGS.depth, "(SELECT max(z) + 1 FROM vox)"
-    volume = f"""subs AS (SELECT unnest(range(0, {length} - {m}, {depth - 2 * m})) AS sub), box AS (SELECT sub, i AS z, y, x FROM subs, (SELECT unnest(range({depth})) AS i), (SELECT DISTINCT y, x FROM vox)),
-      p0 AS MATERIALIZED (SELECT box.sub, box.z, box.y, box.x, coalesce(vox.inten, 0) AS inten, CAST(coalesce(vox.inten, 0) AS DOUBLE) AS c FROM box LEFT JOIN vox ON vox.z = box.sub + box.z AND vox.y = box.y AND vox.x = box.x)"""
+    volume = f"""st AS MATERIALIZED ({stacks}), subs AS (SELECT s.side * 1000 + z0 AS sub, s.side, z0 FROM (SELECT DISTINCT side FROM st) s, (SELECT unnest(range(0, {length} - {m}, {depth - 2 * m})) AS z0)),
+      box AS (SELECT sub, side, z0, i AS z, y, x FROM subs, (SELECT unnest(range({depth})) AS i), (SELECT DISTINCT y, x FROM vox)),
+      p0 AS MATERIALIZED (SELECT box.sub, box.z, box.y, box.x, coalesce(st.inten, 0) AS inten, CAST(coalesce(st.inten, 0) AS DOUBLE) AS c FROM box LEFT JOIN st ON st.side = box.side AND st.z = box.z0 + box.z AND st.y = box.y AND st.x = box.x)"""
     left, top, right, bottom = SETTINGS.edges
-    kept = f"cz >= {m} AND cz < least({depth}, {length} - sub) - {m} AND cx >= {left} AND cx < {WIDTH - right} AND cy >= {top} AND cy < {HEIGHT - bottom} AND size >= {SETTINGS.min_size} AND intensity > 0"
-    cols = f"round(cz + sub, 5) AS z, round(cy, 5) AS y, round(cx, 5) AS x, round(intensity * CAST({TIELESS} AS DOUBLE), 6) AS intensity, round({_STRUCTURE} * CAST({TIELESS} AS DOUBLE), 6) AS structureness, CAST(size % 65536 AS INTEGER) AS size"
+    kept = f"cz >= {m} AND cz < least({depth}, {length} - sub % 1000) - {m} AND cx >= {left} AND cx < {WIDTH - right} AND cy >= {top} AND cy < {HEIGHT - bottom} AND size >= {SETTINGS.min_size} AND intensity > 0"
+    cols = f"{side}round(cz + sub % 1000, 5) AS z, round(cy, 5) AS y, round(cx, 5) AS x, round(intensity * CAST({TIELESS} AS DOUBLE), 6) AS intensity, round({_STRUCTURE} * CAST({TIELESS} AS DOUBLE), 6) AS structureness, CAST(size % 65536 AS INTEGER) AS size"
     return _regions_sql(volume, _mean, "(inten - e5.c) / (d5.c - e5.c)", _zero_beyond) + f" SELECT {cols} FROM q WHERE {kept}"
 
 
@@ -119,5 +136,6 @@ def _cpu_sql() -> str:
     return _regions_sql(volume, zeros, "inten / (d5.c - e5.c)", _one_sided) + f" SELECT row_number() OVER (ORDER BY label) - 1 AS index, size, {cols}, round({_STRUCTURE} * CAST({TIELESS} AS DOUBLE), 4) AS structureness FROM q"
 
 
-ORACLE = {"detect_candidates": _detect_sql(), "cpu_02_features": _cpu_sql()}
-QUERIES = {f.__name__: f for f in (detect_candidates, cpu_02_features, cpu_03_unsupervised)}
+_FILES = "SELECT 0 AS side, z, y, x, inten FROM vox UNION ALL SELECT 1, z, 49 - y, x, 11500 - inten FROM vox"
+ORACLE = {"detect_candidates": _detect_sql(), "detect_from_files": _detect_sql(_FILES, "CASE WHEN sub >= 1000 THEN 'RV' ELSE 'FW' END AS side, "), "cpu_02_features": _cpu_sql()}
+QUERIES = {f.__name__: f for f in (detect_candidates, detect_from_files, cpu_02_features, cpu_03_unsupervised)}
