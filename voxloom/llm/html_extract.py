@@ -27,12 +27,12 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, table
+from .common import ROWS_AT_ONCE, arrow_batches, give_back, table, with_columns
 
 #: What may begin at a `<`: a comment, a tag, or a declaration.
 MARKUP = re.compile(r"<(?:(!--)|(/?)([a-z][a-z0-9:-]*)|[!?/])", re.I)
@@ -72,6 +72,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDERS = frozenset("ul ol dl table div article section main body td th".split())
 
 
+#: Elements whose own header belongs to the text.
+CONTENT_TAGS = ("article", "main")
+#: Marked elements yield together if they hold more than this share of the plain text.
+TOGETHER = 0.75
 #: How an element is marked: not at all, by a name, by a name of reader comments (these two can yield), for good.
 CLEAN, NAMED, COMMENTS, NEVER = range(4)
 
@@ -222,9 +226,9 @@ class Page:
         self.open.push(node, tag)
         if tag == "body" and not self.body:
             self.body = node
-        self.articles += tag == "article"
+        self.articles += tag in CONTENT_TAGS
         self.links += tag == "a"
-        mark = NEVER if self.noisy else _noise(tag, attrs, self.articles > (tag == "article"))
+        mark = NEVER if self.noisy else _noise(tag, attrs, self.articles > (tag in CONTENT_TAGS))
         if mark == NEVER:
             self.noisy += 1  # all within is left out
         elif mark:
@@ -241,7 +245,7 @@ class Page:
         self.noisy = max(0, self.noisy - (len(self.open.nodes) - k))
         while len(self.open.nodes) > k:
             _, tag = self.open.pop()
-            self.articles -= tag == "article"
+            self.articles -= tag in CONTENT_TAGS
             self.links -= tag == "a"
             if tag in BLOCK:
                 self.texts.append((0, None))
@@ -260,7 +264,8 @@ class Page:
 
         The article is the longest element of that tag without a mark, or else of main. An element in it yields if it
         holds most of the article's characters. Outside, an element yields if it holds the article, and, on a page
-        that names no article or only one in a marked element, if it holds most of the page's characters. Reader
+        that names no article or only one in a marked element, if it holds most of the page's characters. Elements of
+        text, not of links, that together hold nearly all plain text of the article or page yield together. Reader
         comments, often longer than the article, yield to characters only if they hold all of them."""
         marks = {k: m for k, m in self.marked.items() if self.tag[k] not in ("article", "main")}
         if not marks:
@@ -278,15 +283,33 @@ class Page:
             k = self.parent[k]
             holders.add(k)
         named = article and holders.isdisjoint(marks)
-        gone, inside = self.gone, [False] * n
-        for node in range(n):
-            above = self.parent[node] if node else 0
-            inside[node] = node == article or node > 0 and inside[above]
-            gone[node] = gone[node] or node > 0 and gone[above]
-            if node in marks and not gone[node] and not (article and node in holders):
-                whole = chars[article if inside[node] else 0]
-                most = chars[node] == whole if marks[node] == COMMENTS else 2 * chars[node] > whole
-                gone[node] = not most or named and not inside[node]
+        linked = [0 if out else c for c, out in zip(self.link_chars, self.gone, strict=True)]
+        for node in range(n - 1, 0, -1):
+            linked[self.parent[node]] += linked[node]
+
+        def drop(yielding: set[int]) -> tuple[list[bool], list[int]]:
+            """What is left out, and the highest elements that a name (none of comments) leaves out."""
+            gone, inside, by_name = self.gone[:], [False] * n, []
+            for node in range(n):
+                above = self.parent[node] if node else 0
+                inside[node] = node == article or node > 0 and inside[above]
+                gone[node] = gone[node] or node > 0 and gone[above]
+                if node in marks and not gone[node] and not (article and node in holders):
+                    whole = chars[article if inside[node] else 0]
+                    most = chars[node] == whole if marks[node] == COMMENTS else 2 * chars[node] > whole
+                    gone[node] = not (most or node in yielding) or named and not inside[node]
+                    if gone[node] and marks[node] == NAMED and not (named and not inside[node]):
+                        by_name.append(node)
+            return gone, by_name
+
+        gone, by_name = drop(set())
+        plain = [c - k for c, k in zip(chars, linked, strict=True)]
+        text = {k for k in by_name if 2 * linked[k] < chars[k]}
+        if len(text) > 1 and sum(plain[k] for k in text) > TOGETHER * plain[article if named else 0]:
+            gone, _ = drop(text)
+            for k in text:
+                del self.marked[k]
+        self.gone = gone
         self.texts = [x for x in self.texts if not gone[x[0]]]
 
     def _add_up(self) -> None:
@@ -362,25 +385,22 @@ def main_text(html: str | None) -> str:
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of each page."""
-    df = df.drop(out)
-    arrow_batches(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{out: [main_text(x) for x in b[html]]})
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return with_columns(df.drop(out), html, [T.StructField(out, T.StringType())], lambda: lambda pages: [pa.array([main_text(x) for x in pages], pa.string())])
 
 
 def _extract_only(df: DataFrame) -> DataFrame:
     """Without sending the pages back from Python."""
     arrow_batches(df.sparkSession)
+    names = ["page_id", "url", "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [main_text(x) for x in b["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array([main_text(x) for x in b["html"].to_pylist()], pa.string())], names=names)
+        give_back()
 
-    return df.mapInPandas(run, T.StructType([df.schema["page_id"], df.schema["url"], T.StructField("text", T.StringType())]))
+    return df.mapInArrow(run, T.StructType([df.schema["page_id"], df.schema["url"], T.StructField("text", T.StringType())]))
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
