@@ -1,6 +1,7 @@
 """Operators with models, the similarity join, and the pipeline."""
 
 import random
+import time
 
 import harness
 import numpy as np
@@ -163,6 +164,34 @@ def test_language_pieces(spark, monkeypatch):
         assert "".join(cut) == t and all(len(c) <= 100 or "\n" not in c[:-1] for c in cut)
 
 
+def test_language_long_line(spark):
+    """A line of many words in overlapping parts: scores as of the whole chain, time as of lines."""
+    rows = [(i, words(30, EN if i % 2 else DE), "en" if i % 2 else "de") for i in range(80)]
+    tagger = language_id.Tagger(language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    line = " ".join(words(40, EN if k % 2 else DE) for k in range(160))
+    found, _, post = tagger.words([line + "\nthaing", "thaing"])
+    scores = tagger.scores_of(found)
+    whole = language_id.Lines(np.array([6400, 1, 1])).posteriors(scores, tagger.field.trans)
+    assert len(found) == 6402 and np.abs(post - whole).max() < 1e-3
+    take, cut, keep = language_id.overlapping(np.array([3, 7, 1]), 3, 1)
+    assert take[keep].tolist() == list(range(11)) and cut.tolist() == [3, 4, 5, 2, 1]
+    many = [words(10, EN) for _ in range(30_000)]
+    took = []
+    for text in ("\n".join(many), " ".join(many)):
+        start = time.perf_counter()
+        tagger.predict([text])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 2 * took[0] + 0.5
+
+
+def test_language_rare(spark):
+    """A language of one document in a hundred is drawn and predicted."""
+    rows = [(i, words(20, ["zq" + w for w in EN]) if i % 100 == 0 else words(20, EN if i % 2 else DE), "zz" if i % 100 == 0 else "en" if i % 2 else "de") for i in range(900)]
+    field = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=30)
+    assert field.langs == ["de", "en", "zz"]
+    assert language_id.Tagger(field).predict([words(20, ["zq" + w for w in EN])])[0] == ["zz"]
+
+
 def test_language_held_out(spark):
     """The sample leaves held-out documents aside; on these, accuracy is high. Source and id don't count."""
     import zlib

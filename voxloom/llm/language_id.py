@@ -6,13 +6,14 @@ the lexicon of the training words; learned transitions tie neighbours. Forward-b
 over languages, so that code-switched lines keep their parts; the document's language has the largest mean.
 
 The field is trained by gradient ascent on the likelihood of a sample of at most `train_docs` labelled documents of
-`TRAIN_CHARS` characters at most, chosen by a hash of their ids; prediction covers the whole text of every document,
+`TRAIN_CHARS` characters at most, drawn by language in turn, within a language by a hash of their ids; prediction covers the whole text of every document,
 without a shuffle.
 
 Defined results: letters are those of Unicode (category L), so numerals like one half are none; null texts and texts
 without letters are `und` with score 0; without training documents everything is `und`; ties go to the first language
 in code point order; equal texts get equal results (scores are rounded to six decimals), repeated rows repeat; an empty
-table gives no rows; very long texts are handled in pieces of whole lines, a line whole; other columns pass through.
+table gives no rows; very long texts are handled in pieces of whole lines, a line whole, its chain in overlapping parts; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,8 @@ LEXICON = 4000
 EPOCHS = 30
 #: Words handled at once, and word types whose scores are kept; both bound the memory of a task.
 AT_ONCE, CACHED_TYPES = 100_000, 150_000
+#: Words of a chain, and of the neighbours on either side that a part of a longer line is read with.
+CHAIN, CONTEXT = 2000, 50
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -137,6 +140,24 @@ def chains(tokens: list[str]) -> tuple[list[str], list[int]]:
     return words, lengths + [n] * (n > 0)
 
 
+def overlapping(lengths: np.ndarray, most: int | None = None, context: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of at most `most` words with `context` words on either side in place of longer ones: which words they take,
+    their lengths, and which of these words are to be kept, once each, in their order. Far words hardly matter to a word."""
+    most, context = most or CHAIN, CONTEXT if context is None else context
+    take, cut, keep, start = [], [], [], 0
+    for n in lengths.tolist():
+        for at in range(0, n, most) if n > most else [0]:
+            end = min(n, at + most) if n > most else n
+            low, high = max(0, at - context), min(n, end + context)
+            take.append(np.arange(start + low, start + high))
+            cut.append(high - low)
+            mine = np.zeros(high - low, bool)
+            mine[at - low : end - low] = True
+            keep.append(mine)
+        start += n
+    return np.concatenate(take), np.array(cut), np.concatenate(keep)
+
+
 class Field:
     def __init__(self, langs: list[str], grams: np.ndarray, lexicon: dict[str, np.ndarray], trans: np.ndarray) -> None:
         self.langs, self.grams, self.lexicon, self.trans = langs, grams, lexicon, trans
@@ -235,7 +256,12 @@ class Tagger:
             sizes.append(len(w))
         if not words:
             return words, np.array(sizes), np.zeros((0, len(self.field.langs)), dtype=np.float32)
-        post = Lines(np.array(lengths)).posteriors(self.scores_of(words), self.field.trans)
+        scores, each = self.scores_of(words), np.array(lengths)
+        if lengths and max(lengths) > CHAIN:
+            take, cut, keep = overlapping(each)
+            post = Lines(cut).posteriors(scores[take], self.field.trans)[keep]
+        else:
+            post = Lines(each).posteriors(scores, self.field.trans)
         return words, np.array(sizes), post
 
     def scores_of(self, words: list[str]) -> np.ndarray:
@@ -286,7 +312,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
     """docs: doc_id, text, lang. Held-out documents and those without a language are not looked at."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    # every language gets an equal part; what a rare one leaves over goes to the others
+    ids = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("place", place).where(F.col("place") <= train_docs).orderBy("place", F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id")
     rows = usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).collect()
     return fit([(r["d"]["text"] or "", r["d"]["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
