@@ -56,8 +56,8 @@ def running(df: DataFrame, axis: str, r: int, how: dict[str, str], keys: tuple[s
     return df.withColumns(out).drop("__run", *[f"__{k}{c}" for k in "th" for c in how])
 
 
-def box(df: DataFrame, axis: str, r: int, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Replace columns by their mean over 2 r + 1 values of a dense line, border values repeated."""
+def box_sum(df: DataFrame, axis: str, r: int, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Replace columns by their sum over 2 r + 1 values of a dense line, border values repeated."""
     if not r:
         return df
     whole = line(axis, keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -65,7 +65,12 @@ def box(df: DataFrame, axis: str, r: int, columns: list[str], keys: tuple[str, .
     before, after = F.greatest(F.lit(0), r - i), F.greatest(F.lit(0), r - last)
     df = df.withColumns({f"__more{c}": before * F.first(c).over(whole) + after * F.last(c).over(whole) for c in columns})
     df = running(df, axis, r, dict.fromkeys(columns, "sum"), keys)
-    return df.withColumns({c: (F.col(c) + F.col(f"__more{c}")) / (2 * r + 1) for c in columns}).drop(*[f"__more{c}" for c in columns])
+    return df.withColumns({c: F.col(c) + F.col(f"__more{c}") for c in columns}).drop(*[f"__more{c}" for c in columns])
+
+
+def box(df: DataFrame, axis: str, r: int, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Replace columns by their mean over 2 r + 1 values of a dense line, border values repeated."""
+    return box_sum(df, axis, r, columns, keys).withColumns({c: F.col(c) / (2 * r + 1) for c in columns})
 
 
 def gaussian_weights(sigma: float, truncate: float = 2.0) -> list[float]:
@@ -169,11 +174,12 @@ def normalize(df: DataFrame, c: str, out: str, r: tuple[int, int, int], small: t
     both = ["__e", "__d"]
     shrink = lambda d, a, k: running(d, a, k, {"__e": "min", "__d": "max"}, keys)
     df = _by_axes(df.withColumns({e: F.col(c).cast("double") for e in both}), shrink, r, keys)
-    df = by_slice(box(df, "z", small[2], both, keys), keys)
-    df = box(box(df, "y", small[1], both, keys), "x", small[0], both, keys)
+    # sums of whole numbers are exact: the value is taken as often as the box has voxels, and only the ratio is rounded
+    df = by_slice(box_sum(df, "z", small[2], both, keys), keys)
+    df = box_sum(box_sum(df, "y", small[1], both, keys), "x", small[0], both, keys)
     from ..functions.numeric import ratio
 
-    return df.withColumn(out, F.when(F.col(c) >= least, ratio(F.col(c) - F.col("__e"), F.col("__d") - F.col("__e"))).otherwise(0.0)).drop("__e", "__d")
+    return df.withColumn(out, F.when(F.col(c) >= least, ratio(F.col(c).cast("double") * math.prod(2 * k + 1 for k in small) - F.col("__e"), F.col("__d") - F.col("__e"))).otherwise(0.0)).drop("__e", "__d")
 
 
 def copy_threshold(c: Column, least: float) -> Column:
