@@ -20,7 +20,6 @@ import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, give_back, table
-
-if TYPE_CHECKING:  # a worker that only needs Arrow doesn't load it
-    import pandas as pd
+from .common import arrow_batches, give_back, table, with_columns
 
 #: Pre-tokens of byte-level BPE, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,9 +39,9 @@ BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Where this matches, white space runs reach over a blank, and the text can't be cut at its blanks.
 RUNS = re.compile(r"  |\s (?:\s|$)")
 #: Entries kept between the texts of a task, so that memory is bounded: pieces, pre-tokens and pairs.
-CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 20_000, 250_000, 250_000
+CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 20_000, 400_000, 250_000
 #: Characters of text whose pieces are encoded together, each distinct one once.
-TOGETHER = 3_000_000
+TOGETHER = 4_000_000
 _NEVER = 1 << 40
 
 
@@ -56,7 +52,14 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-Piece = tuple[tuple[int, ...], str, bytes]
+def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[starts[k]:starts[k + 1]] for each k of which, one after another; and the length of each."""
+    sizes = (starts[1:] - starts[:-1])[which]
+    first = np.repeat(starts[which] - np.cumsum(sizes) + sizes, sizes)
+    return flat[first + np.arange(len(first))], sizes
+
+
+Piece = tuple[int, ...]
 
 
 class Cache:
@@ -108,11 +111,15 @@ class Codec:
         self.vocab, self.everywhere = vocab, regex.compile(PATTERN)
         self.forget()
         self.table = {b: c for b, c in enumerate(letters)}
+        # each id in decimals and as bytes
+        every = range(max(self.bytes_of, default=-1) + 1)
+        self.decimals = pa.array([b"%d" % i for i in every], pa.large_binary())
+        self.bytes = pa.array([self.bytes_of.get(i, b"") for i in every], pa.large_binary())
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in every], np.int64)
 
     def forget(self) -> None:
         """Empty the caches; idle Python workers share an executor's memory with other stages."""
         self.pairs: dict[tuple[int, int], bool] = {}
-        #: ids, the same as text, and the bytes that they decode to
         self.pieces, self.pre = Cache(CACHED_PIECES), Cache(CACHED_PRE_TOKENS)
 
     def compatible(self, a: int, b: int) -> bool:
@@ -169,22 +176,18 @@ class Codec:
         return (self.everywhere if BEYOND_LATIN.search(s) else LATIN).findall(s)
 
     def pre_token(self, p: str) -> Piece:
-        made = self.pre.get(p)
+        made = self.pre.young.get(p) or self.pre.get(p)
         if made is None:
-            ids = self.last_tokens(p.encode().decode("latin-1").translate(self.table))
-            made = tuple(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+            made = tuple(self.last_tokens(p.encode().decode("latin-1").translate(self.table)))
             if len(p) <= 64:
                 self.pre.put(p, made)
         return made
 
     def piece(self, s: str) -> Piece:
-        made = self.pieces.get(s)
+        made = self.pieces.young.get(s) or self.pieces.get(s)
         if made is None:
             each = [self.pre_token(p) for p in self.pre_tokens(s)]
-            if len(each) == 1:
-                made = each[0]
-            else:
-                made = tuple([i for m in each for i in m[0]]), ",".join([m[1] for m in each]), b"".join([m[2] for m in each])
+            made = each[0] if len(each) == 1 else tuple([i for m in each for i in m])
             if len(s) <= 64:
                 self.pieces.put(s, made)
         return made
@@ -195,7 +198,7 @@ class Codec:
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 i = self.special[part]
-                out.append(((i,), str(i), self.bytes_of[i]))
+                out.append((i,))
             elif part:
                 if RUNS.search(part):
                     pieces = self.pre_tokens(part)
@@ -218,34 +221,38 @@ class Codec:
             yield from self._together(texts[start:])
 
     def _together(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        out: list[tuple[int, bytes, bytes]] = [(0, b"", b"")] * len(texts)
+        each: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
         at_blanks = []
         for k, x in enumerate(texts):
-            if not x or x[0] == " " or RUNS.search(x) or self.cut and self.cut.search(x):
-                made = self.encoded(x)
-                out[k] = sum(len(m[0]) for m in made), ",".join([m[1] for m in made]).encode(), b"".join([m[2] for m in made])
+            if not x:
+                continue
+            if x[0] == " " or RUNS.search(x) or self.cut and self.cut.search(x):
+                each[k] = np.array(self.encode(x), np.int64)
             else:
                 at_blanks.append(k)
-        if not at_blanks:
-            return out
-        split = pc.split_pattern(pa.array([texts[k] for k in at_blanks], pa.large_string()), " ")
-        coded = split.flatten().dictionary_encode()
-        made = [self.piece(" " + x) for x in coded.dictionary.to_pylist()]
-        starts, which = split.offsets.to_numpy()[:-1], coded.indices.to_numpy().copy()
-        which[starts] = len(made) + np.arange(len(starts))  # a text's first piece has no blank before it
-        made += [self.piece(x) for x in pc.list_element(split, 0).to_pylist()]
-
-        def joined(column: list[bytes], glue: bytes) -> list[bytes]:
-            each = pa.array(column, pa.large_binary()).take(pa.array(which))
-            return pc.binary_join(type(split).from_arrays(split.offsets, each), pa.scalar(glue, pa.large_binary())).to_pylist()
-
-        n = np.add.reduceat(np.array([len(m[0]) for m in made])[which], starts).tolist()
-        for k, *x in zip(at_blanks, n, joined([m[1].encode() for m in made], b","), joined([m[2] for m in made], b""), strict=True):
-            out[k] = tuple(x)
-        return out
+        if at_blanks:
+            split = pc.split_pattern(pa.array([texts[k] for k in at_blanks], pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            made = [self.piece(" " + x) for x in coded.dictionary.to_pylist()]
+            bounds, which = split.offsets.to_numpy(), coded.indices.to_numpy().copy()
+            which[bounds[:-1]] = len(made) + np.arange(len(at_blanks))  # a text's first piece has no blank before it
+            made += [self.piece(x) for x in pc.list_element(split, 0).to_pylist()]
+            starts = np.concatenate([[0], np.cumsum([len(m) for m in made])])
+            flat, sizes = gather(np.array([i for m in made for i in m], np.int64), starts, which)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+            for k, a, b in zip(at_blanks, ends[:-1], ends[1:], strict=True):
+                each[k] = flat[a:b]
+        ids = np.concatenate([*each, np.empty(0, np.int64)])
+        ends = np.concatenate([[0], np.cumsum([len(e) for e in each])])
+        taken = pa.array(ids)
+        written = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.decimals.take(taken)), pa.scalar(b",", pa.large_binary())).to_pylist()
+        back = self.bytes.take(taken)
+        data = memoryview(back.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends].tolist()
+        return [(len(e), w, bytes(data[a:b])) for e, w, a, b in zip(each, written, at[:-1], at[1:], strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.encoded(text) for i in ids]
+        return [i for ids in self.encoded(text) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
@@ -279,14 +286,11 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     content = _content(df.sparkSession, path)
     df = df.drop(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         codec = _codec(content)
-        for b in batches:
-            yield b.assign(**{out: [codec.encode(x or "") for x in b[text]]})
-        codec.forget()
-        give_back()
+        return lambda texts: [pa.array([codec.encode(x or "") for x in texts], pa.list_(pa.int32()))]
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return with_columns(df, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -294,12 +298,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     content = _content(df.sparkSession, path)
     df = df.drop(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         codec = _codec(content)
-        for b in batches:
-            yield b.assign(**{out: [codec.decode([] if x is None else list(x)) for x in b[ids]]})
+        return lambda lists: [pa.array([codec.decode(x or []) for x in lists], pa.string())]
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return with_columns(df, ids, [T.StructField(out, T.StringType())], make)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -312,8 +315,8 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                part, n, a, c = whole.slice(at, 1024), [], [], []
+            for at in range(0, whole.num_rows, 4096):
+                part, n, a, c = whole.slice(at, 4096), [], [], []
                 for count, ids, back in codec.summaries([x or "" for x in part[1].to_pylist()]):
                     n.append(count)
                     a.append(hashlib.sha256(ids).hexdigest())

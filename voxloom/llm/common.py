@@ -120,7 +120,7 @@ def give_back() -> None:
 
 
 #: Bytes of a batch between Spark and Python, rows whose texts Python holds at once.
-BATCH_BYTES, ROWS_AT_ONCE = 8 << 20, 512
+BATCH_BYTES, ROWS_AT_ONCE = 4 << 20, 512
 
 
 def arrow_batches(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BEYOND_LATIN, LATIN, PATTERN, RUNS, tokenizer_path
+from .bpe import BEYOND_LATIN, LATIN, PATTERN, RUNS, gather, tokenizer_path
 from .common import arrow_batches, bucketed, give_back, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -106,13 +106,6 @@ class Encoder:
         return out
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs flat[starts[k]:starts[k + 1]] for each k of which, one after another; and the length of each."""
-    sizes = (starts[1:] - starts[:-1])[which]
-    first = np.repeat(starts[which] - np.cumsum(sizes) + sizes, sizes)
-    return flat[first + np.arange(len(first))], sizes
-
-
 class Codes(dict):
     """A number for each word, in order of appearance."""
 
