@@ -52,6 +52,13 @@ def test_bpe_nulls(spark):
     assert {r.doc_id: r.decoded for r in out} == {BIG: "one two", None: "", BIG + 2: "", 7: ""}
 
 
+def test_bpe_small_memory(spark):
+    """Small caches and batches give the same ids and texts."""
+    df = spark.createDataFrame([(i, f"text {i % 7} of some {i}words " * (i % 40)) for i in range(700)], "doc_id long, text string").coalesce(2)
+    both = [sorted(map(tuple, bpe.digests(df, small=small).collect())) for small in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 700
+
+
 W = "word " * 30
 
 

@@ -42,6 +42,8 @@ RUNS = re.compile(r"  |\s (?:\s|$)")
 CACHED_PIECES, CACHED_PRE_TOKENS, CACHED_PAIRS = 20_000, 400_000, 250_000
 #: Characters of text whose pieces are encoded together, each distinct one once.
 TOGETHER = 4_000_000
+#: The same (pre-tokens and pairs, characters) where other stages have left an executor little memory.
+SMALL_CACHE, SMALL_TOGETHER = 80_000, 1_000_000
 _NEVER = 1 << 40
 
 
@@ -83,6 +85,9 @@ class Cache:
 class Codec:
     """Encoder and decoder of one tokenizer file's content."""
 
+    #: Whether caches and batches are to be small.
+    small = False
+
     def __init__(self, content: str) -> None:
         import ahocorasick
         import regex
@@ -120,7 +125,8 @@ class Codec:
     def forget(self) -> None:
         """Empty the caches; idle Python workers share an executor's memory with other stages."""
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces, self.pre = Cache(CACHED_PIECES), Cache(CACHED_PRE_TOKENS)
+        self.most_pairs = SMALL_CACHE if self.small else CACHED_PAIRS
+        self.pieces, self.pre = Cache(CACHED_PIECES), Cache(SMALL_CACHE if self.small else CACHED_PRE_TOKENS)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of a and b side by side are encoded as just a and b.
@@ -160,7 +166,7 @@ class Codec:
                     continue
                 ok = pairs.get((before, i))
                 if ok is None:
-                    if len(pairs) >= CACHED_PAIRS:
+                    if len(pairs) >= self.most_pairs:
                         pairs.clear()
                     ok = pairs[before, i] = self.compatible(before, i)
                 if not ok:
@@ -213,7 +219,7 @@ class Codec:
         """Number of ids, ids as text, and decoded bytes of each text."""
         start = size = 0
         for k, x in enumerate(texts):
-            if size and size + len(x) > TOGETHER:
+            if size and size + len(x) > (SMALL_TOGETHER if self.small else TOGETHER):
                 yield from self._together(texts[start:k])
                 start, size = k, 0
             size += len(x)
@@ -305,18 +311,20 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return with_columns(df, ids, [T.StructField(out, T.StringType())], make)
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Encode, decode and digest in one pass, so that neither ids nor texts travel back."""
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, small: bool = False) -> DataFrame:
+    """Encode, decode and digest in one pass, so that neither ids nor texts travel back. small: less memory, more time."""
     content = _content(df.sparkSession, path)
     kind = df.schema[key].dataType
 
     arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(content)
+        codec, rows = _codec(content), 256 if small else 4096
+        codec.small = small
+        codec.forget()
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                part, n, a, c = whole.slice(at, 4096), [], [], []
+            for at in range(0, whole.num_rows, rows):
+                part, n, a, c = whole.slice(at, rows), [], [], []
                 for count, ids, back in codec.summaries([x or "" for x in part[1].to_pylist()]):
                     n.append(count)
                     a.append(hashlib.sha256(ids).hexdigest())
