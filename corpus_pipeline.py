@@ -76,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of ids and decoded text."""
-    return bpe.digests(docs)
+    return bpe.digests(docs, small=True)
 
 
 STAGES = [
