@@ -141,9 +141,11 @@ def detect_lines(lines: DataFrame, values: str, height: int, width: int, s: Sett
     return detect_blocks(B.from_lines(rows, "values", grid), grid, s)
 
 
-def detect_files(spark: SparkSession, path: str, height: int, width: int, s: Settings = Settings(), tile: int = 256) -> DataFrame:  # noqa: B008
-    """The same of a folder of raw slices; slices count in the order of their names. No voxel is ever a row."""
+def detect_files(spark: SparkSession, path: str, height: int, width: int, s: Settings = Settings(), tile: int = 256, stored: str = "<u2") -> DataFrame:  # noqa: B008
+    """The same of a folder of raw slices; slices count in the order of their names. No voxel is ever a row.
+
+    stored: the files' 16-bit numbers, "<i2" where they have a sign."""
     stack = ("side", "yname", "xname")
     rows = _substacks(datasource.read_slices(spark, path, width), s, stack)
-    grid = _grid(height, width, s, stack, tile, "<u2")
-    return detect_blocks(B.from_slices(rows, grid), grid, s)
+    grid = _grid(height, width, s, stack, tile, stored)
+    return detect_blocks(B.from_slices(rows, grid, stored), grid, s)

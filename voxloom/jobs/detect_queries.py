@@ -26,16 +26,18 @@ def detect_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def detect_from_files(s: SparkSession, d: str) -> DataFrame:
-    """Two stacks as files of raw slices, the volume and its upside-down negative, from files to candidates."""
+    """Two stacks as files of raw slices, the volume and its upside-down negative, from files to candidates.
+
+    Slices are written with a sign, as bright voxels are below 0 in the negative."""
     path = fresh_path(s, "detect-slices")
     both = F.explode(F.array(F.struct(F.lit("FW").alias("side"), F.col("y").alias("row"), _intensities().alias("v")), F.struct(F.lit("RV").alias("side"), (HEIGHT - 1 - F.col("y")).alias("row"), F.transform(_intensities(), lambda v: 11_500 - v).alias("v")))).alias("e")
     rows = B.with_depth(lines(s, d), (), F.col("z")).select("depth", "z", both).select("e.side", "depth", "z", F.col("e.row").alias("y"), "e.v")
-    grid = B.Grid(HEIGHT, WIDTH, (1, HEIGHT, WIDTH), ("side",), "<u2")
+    grid = B.Grid(HEIGHT, WIDTH, (1, HEIGHT, WIDTH), ("side",), "<i2")
     slices = B.from_lines(rows, "v", grid)
     datasource.register(s)
     named = slices.select("side", F.lit("0").alias("yname"), F.lit("1").alias("xname"), F.lpad(F.col("bz").cast("string"), 6, "0").alias("zname"), F.col("data").alias("content"))
     named.write.format("raw_slices").option("path", path).mode("append").save()
-    found = detect.detect_files(s, path, HEIGHT, WIDTH, SETTINGS, tile=16)
+    found = detect.detect_files(s, path, HEIGHT, WIDTH, SETTINGS, tile=16, stored="<i2")
     return found.select("side", *[F.round(c, 5).alias(c) for c in "zyx"], F.round(F.col("intensity") * TIELESS, 6).alias("intensity"), F.round(F.col("structureness") * TIELESS, 6).alias("structureness"), "size")
 
 
