@@ -2,6 +2,7 @@
 
 import duckdb
 import harness
+import pytest
 
 from voxloom import registry
 
@@ -16,3 +17,9 @@ def volume(tmp_path, rows, bright):
 def test_detection_from_files_below_zero(spark, tmp_path):
     d = volume(tmp_path, 266, True)
     assert harness.compare(registry.QUERIES["detect_from_files"](spark, d), registry.ORACLE["detect_from_files"], harness.duck(d)) == ""
+
+
+@pytest.mark.parametrize("name", ["flt_04_blocks", "flt_04_blocks_wide"])
+def test_last_slice_cut_short(spark, tmp_path, name):
+    d = volume(tmp_path, 466, False)
+    assert harness.compare(registry.QUERIES[name](spark, d), registry.ORACLE[name], harness.duck(d)) == ""

@@ -189,16 +189,16 @@ def ccl_blocks_wrap(s: SparkSession, d: str) -> DataFrame:
 
 def flt_04_blocks(s: SparkSession, d: str) -> DataFrame:
     """Local contrast on blocks, with one exchange of halos."""
-    grid = B.Grid(HEIGHT, WIDTH, (10, 32, 32))
+    grid = B.Grid(HEIGHT, WIDTH, (10, 32, 32), fill=float("nan"))
     blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
-    return out(_tieless(B.voxels(B.normalize(blocks, grid, RADII, SMALL, LEAST), grid, "norm")), "norm", digits=8)
+    return out(_tieless(B.voxels(B.normalize(blocks, grid, RADII, SMALL, LEAST), grid.marked, "norm")), "norm", digits=8)
 
 
 def flt_04_blocks_wide(s: SparkSession, d: str) -> DataFrame:
     """Radii beyond a block: an exchange along each axis."""
-    grid = B.Grid(HEIGHT, WIDTH, (10, 16, 16))
+    grid = B.Grid(HEIGHT, WIDTH, (10, 16, 16), fill=float("nan"))
     blocks = B.from_lines(B.with_depth(lines(s, d), (), F.col("z")).withColumn("v", _intensities()), "v", grid)
-    return out(_tieless(B.voxels(B.normalize(blocks, grid, WIDE, WIDE, LEAST), grid, "norm")), "norm", digits=8)
+    return out(_tieless(B.voxels(B.normalize(blocks, grid, WIDE, WIDE, LEAST), grid.marked, "norm")), "norm", digits=8)
 
 
 def mrg_05_rotate_flip(s: SparkSession, d: str) -> DataFrame:

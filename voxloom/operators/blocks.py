@@ -41,6 +41,13 @@ class Grid:
     keys: tuple[str, ...] = ()
     dtype: str = "<f8"
     channels: int = 1
+    #: value of voxels that aren't there; with NaN, local contrast lets lines end where their voxels do
+    fill: float = 0.0
+
+    @property
+    def marked(self) -> Grid:
+        """The grid of two channels: values, and 1 where a voxel is there."""
+        return replace(self, dtype="<f8", channels=2, fill=0.0)
 
     @property
     def place(self) -> list[str]:
@@ -87,11 +94,11 @@ def _batch(keys: list[pa.Array], found: list[tuple], names: list[str], n_keys: i
 
 
 def _assembled(rows: pa.Table, grid: Grid, halo: tuple[int, int, int]) -> tuple[np.ndarray, Place]:
-    """The array (channels, z, y, x) of a block and its halo from its pieces; what no piece covers is 0."""
+    """The array (channels, z, y, x) of a block and its halo from its pieces; what no piece covers is the grid's fill."""
     depth = rows["depth"][0].as_py()
     at = tuple(rows[c][0].as_py() for c in ("bz", "by", "bx"))
     given = grid.box(at, depth, halo)
-    v = np.zeros((grid.channels, *[b - a for a, b in given]), np.dtype(grid.dtype))
+    v = np.full((grid.channels, *[b - a for a, b in given]), grid.fill, np.dtype(grid.dtype))
     for where, data in zip(rows["at"].to_pylist(), rows["piece"].to_pylist(), strict=True):
         (z, y, x), shape = where[:3], where[3:]
         part = np.frombuffer(data, grid.dtype).reshape(grid.channels, *shape)
@@ -125,7 +132,7 @@ def _blocks_of(pieces: DataFrame, grid: Grid) -> DataFrame:
 
 
 def from_lines(lines: DataFrame, values: str, grid: Grid) -> DataFrame:
-    """lines: keys, depth, z, y and an array of a line's values along x. Lines that aren't there are 0."""
+    """lines: keys, depth, z, y and an array of a line's values along x. Lines that aren't there hold the grid's fill."""
     bounded_batches(lines.sparkSession)
     names = [*grid.place, "at", "piece"]
     bz, by, bx = grid.block
@@ -226,23 +233,30 @@ MOST_COPIES = 4.0
 
 
 def normalize(blocks: DataFrame, grid: Grid, r: tuple[int, int, int], small: tuple[int, int, int], least: float) -> DataFrame:
-    """Local contrast of each voxel (radii along x, y, z). Wide radii go axis by axis, so that halos don't multiply."""
+    """Local contrast of each voxel (radii along x, y, z). Wide radii go axis by axis, so that halos don't multiply.
+
+    Where the grid's fill is NaN, lines end where their voxels do, and the result is of the marked grid."""
+    ragged = bool(np.isnan(grid.fill))
+    marked = (lambda n, v: np.concatenate([n, ~np.isnan(v)])) if ragged else (lambda n, v: n)
     if 0 in r or 0 in small:
-        return filtered(blocks, grid, (0, 0, 0), lambda v: np.where(v >= least, v.astype(float), 0.0))
+        return filtered(blocks, grid, (0, 0, 0), lambda v: marked(np.where(v >= least, v.astype(float), 0.0), v))
     halo = tuple(a + b for a, b in zip(r, small, strict=True))[::-1]
     copies = np.prod([(b + 2 * h) / b for b, h in zip(grid.block, halo, strict=True)])
     if copies <= MOST_COPIES:
-        return filtered(blocks, grid, halo, lambda v: K.normalize(v.astype(float), r, small, least))
+        whole = K.normalize_within if ragged else K.normalize
+        return filtered(blocks, grid, halo, lambda v: marked(whole(v.astype(float), r, small, least), v))
     only = lambda axis, n: tuple(n if i == axis else 0 for i in range(3))
     # channels: the value, the erosion and the dilation; axes x and y, then both steps along z, then y and x for the box
     wide = replace(grid, dtype="<f8", channels=3)
+    # sums of whole numbers are exact, so with NaN only the ratio is rounded
+    running, voxels_of_box = (K.running_within, np.prod([2 * k + 1 for k in small])) if ragged else (K.running, 1)
 
     def shrink(v: np.ndarray, axis: int, k: int) -> np.ndarray:
         low, high = (v[1], v[2]) if len(v) == 3 else (v[0].astype(float),) * 2
-        return np.stack([v[0].astype(float), K.running(low, axis, k, np.minimum), K.running(high, axis, k, np.maximum)])
+        return np.stack([v[0].astype(float), running(low, axis, k, np.minimum), running(high, axis, k, np.maximum)])
 
     def mean(v: np.ndarray, axis: int, k: int) -> np.ndarray:
-        return np.stack([v[0], *(K.running(c, axis, k, np.add) / (2 * k + 1) for c in v[1:])])
+        return np.stack([v[0], *(running(c, axis, k, np.add) / (1 if ragged else 2 * k + 1) for c in v[1:])])
 
     out = filtered(blocks, grid, only(2, r[0]), lambda v: shrink(v, 2, r[0]))
     out = filtered(out, wide, only(1, r[1]), lambda v: shrink(v, 1, r[1]))
@@ -252,13 +266,13 @@ def normalize(blocks: DataFrame, grid: Grid, r: tuple[int, int, int], small: tup
     def contrast(v: np.ndarray) -> np.ndarray:
         v = mean(v, 2, small[0])
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(v[0] >= least, (v[0] - v[1]) / (v[2] - v[1]), 0.0)[None]
+            return marked(np.where(v[0] >= least, (v[0] * voxels_of_box - v[1]) / (v[2] - v[1]), 0.0)[None], v[:1])
 
     return filtered(out, wide, only(2, small[0]), contrast)
 
 
 def voxels(blocks: DataFrame, grid: Grid, out: str = "v") -> DataFrame:
-    """Rows (keys, z, y, x, value) of one channel's blocks."""
+    """Rows (keys, z, y, x, value) of one channel's blocks; of a marked grid the voxels that are there."""
     bounded_batches(blocks.sparkSession)
     schema = T.StructType([*[blocks.schema[k] for k in grid.keys], *T.StructType.fromDDL(f"z long, y long, x long, `{out}` double").fields])
 
@@ -268,6 +282,9 @@ def voxels(blocks: DataFrame, grid: Grid, out: str = "v") -> DataFrame:
                 box = grid.box(tuple(b[c][i].as_py() for c in ("bz", "by", "bx")), b["depth"][i].as_py())
                 at = np.indices([e - a for a, e in box]).reshape(3, -1)
                 v = np.frombuffer(b["data"][i].as_buffer(), grid.dtype).astype(float)
+                if grid.channels == 2:
+                    v, there = v.reshape(2, -1)
+                    at, v = at[:, there != 0], v[there != 0]
                 same = pa.array(np.full(len(v), i))
                 yield pa.RecordBatch.from_arrays([*[b[k].take(same) for k in grid.keys], *[pa.array(x + a) for x, (a, _) in zip(at, box, strict=True)], pa.array(v)], names=schema.fieldNames())
 

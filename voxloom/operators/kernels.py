@@ -25,6 +25,18 @@ def running(v: np.ndarray, axis: int, r: int, op: np.ufunc, border: str = "edge"
     return np.moveaxis(out, -1, axis)
 
 
+def running_within(v: np.ndarray, axis: int, r: int, op: np.ufunc) -> np.ndarray:
+    """The same where NaN stands for voxels that aren't there: a line ends where its voxels do, with that value repeated."""
+    missing = np.isnan(v)
+    c, place = np.moveaxis(v, axis, -1), np.arange(v.shape[axis])
+    there = ~np.moveaxis(missing, axis, -1)
+    last = np.maximum.accumulate(np.where(there, place, -1), -1)
+    first = np.minimum.accumulate(np.where(there, place, len(place))[..., ::-1], -1)[..., ::-1]
+    nearest = np.where(last >= 0, last, np.where(first < len(place), first, place))
+    whole = np.moveaxis(np.take_along_axis(c, nearest, -1), -1, axis)
+    return np.where(missing, np.nan, running(whole, axis, r, op))
+
+
 def erode(v: np.ndarray, r: tuple[int, int, int]) -> np.ndarray:
     for axis, k in zip((-1, -2, -3), r, strict=True):
         v = running(v, axis, k, np.minimum)
@@ -51,6 +63,18 @@ def normalize(v: np.ndarray, r: tuple[int, int, int], small: tuple[int, int, int
         return np.where(v >= least, (v - e) / (d - e), 0.0)
 
 
+def normalize_within(v: np.ndarray, r: tuple[int, int, int], small: tuple[int, int, int], least: float) -> np.ndarray:
+    """Local contrast where NaN stands for voxels that aren't there. Passes take x, y and z, then z, y and x for the box, whose
+    sums stay whole if the values are."""
+    e = d = v
+    for axis, k in zip((-1, -2, -3), r, strict=True):
+        e, d = running_within(e, axis, k, np.minimum), running_within(d, axis, k, np.maximum)
+    for axis, k in zip((-3, -2, -1), small[::-1], strict=True):
+        e, d = running_within(e, axis, k, np.add), running_within(d, axis, k, np.add)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(v >= least, (v * np.prod([2 * k + 1 for k in small]) - e) / (d - e), 0.0)
+
+
 def share(v: np.ndarray, r: tuple[int, int, int], least: float) -> np.ndarray:
     """The other mode's contrast: the whole value, not its distance from the eroded one, over the spread; the box sees zeros beyond the border."""
     e, d = box(erode(v, r), r, "constant"), box(dilate(v, r), r, "constant")
