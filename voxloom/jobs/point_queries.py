@@ -23,9 +23,7 @@ BOUND = 80.0
 def annotate(s: SparkSession, d: str) -> DataFrame:
     """Every point with its nearest atlas point within the bound: 0 and null where there is none."""
     a = atlas(s, d)
-    near = N.nearest_within(probes(s, d), "cell_id", a, "point_id", BOUND)
-    got = near.join(a.select(F.col("point_id").alias("near_id"), "atlas_id"), "near_id").withColumnRenamed("key", "cell_id")
-    out = probes(s, d).join(got, "cell_id", "left")
+    out = N.with_nearest(probes(s, d), "cell_id", a, "point_id", BOUND).join(a.select(F.col("point_id").alias("near_id"), "atlas_id"), "near_id", "left")
     return out.select("cell_id", "near_id", F.coalesce("atlas_id", F.lit(0)).alias("atlas_id"), F.round("near_d2", 6).alias("near_d2"))
 
 

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nearest import nearest_any, nearest_within
+from . import nearest
 from .windows import gaussian_weights
 
 
 def with_nearest(points: DataFrame, key: str, others: DataFrame, other: str, bound: float) -> DataFrame:
     """Add near_id and near_d (null beyond the bound, which is inclusive)."""
-    n = nearest_within(points, key, others, other, bound, inclusive=True)
-    return points.join(n.withColumnRenamed("key", key), key, "left").withColumn("near_d", F.sqrt("near_d2")).drop("near_d2")
+    return nearest.with_nearest(points, key, others, other, bound, inclusive=True).withColumn("near_d", F.sqrt("near_d2")).drop("near_d2")
 
 
 def truth_from_markers(predicted: DataFrame, key: str, false_pos: DataFrame, false_neg: DataFrame, bound: float) -> DataFrame:
     """Predictions without those nearest to a false-positive marker, at any distance, and the false-negative markers.
 
     bound: where the search for neighbours begins."""
-    wrong = nearest_any(false_pos, key, predicted, key, bound).select(F.col("near_id").alias(key)).distinct()
+    wrong = nearest.nearest_any(false_pos, key, predicted, key, bound).select(F.col("near_id").alias(key)).distinct()
     right = predicted.join(wrong, key, "left_anti")
     return right.select("x", "y", "z").withColumn("kind", F.lit("TP")).unionByName(false_neg.select("x", "y", "z").withColumn("kind", F.lit("FN")))
 

@@ -1,5 +1,8 @@
 """Nearest neighbours of points, within a bound or without.
 
+Points of one place share their answer, so places are searched: of the searched points of a place the smallest id counts,
+and rows get the answer of their place by a join. Only where a point may not be its own neighbour does each row ask.
+
 Space is cut into cubes, a whole number of bounds wide. A searched point is repeated for the cubes whose surroundings
 reach it (one to eight), an asking point stays in its own cube, so both sides of every neighbourhood meet in one cube.
 Points are counted first: a crowded cube is dealt to tiles of bounded numbers of asking and of searched points, and
@@ -65,24 +68,63 @@ def _strips(q: np.ndarray, ids: np.ndarray, t: np.ndarray, keys: np.ndarray, bou
     return near, best
 
 
+def _plain(df: DataFrame, c: str, name: str) -> DataFrame:
+    """New columns, as points and found may be one table; only rows with whole coordinates."""
+    df = df.select(F.col(c).alias(name), *[F.col(a).cast("double").alias(a) for a in AXES])
+    for a in AXES:
+        df = df.where(F.col(a).isNotNull() & ~F.isnan(a))
+    return df
+
+
+def _smallest(found: DataFrame, id_: str, apart: bool) -> DataFrame:
+    """Each place of the searched points with its smallest id, with `apart` also with the next one."""
+    f = _plain(found, id_, "near_id")
+    low = f.groupBy(*AXES).agg(F.min("near_id").alias("near_id"))
+    if apart:
+        more = f.join(low.withColumnRenamed("near_id", "__low"), list(AXES)).where("near_id <> __low").groupBy(*AXES).agg(F.min("near_id").alias("near_id"))
+        low = low.unionByName(more)
+    return materialize(low.select("near_id", *AXES), "searched-places")
+
+
+def _places(points: DataFrame, key: str) -> DataFrame:
+    """Each place of the points with a number (`key`)."""
+    places = _plain(points, key, "key").select(*AXES).distinct()
+    return materialize(places.select(F.monotonically_increasing_id().alias("key"), *AXES), "asking-places")
+
+
+def _attached(points: DataFrame, places: DataFrame, got: DataFrame, how: str) -> DataFrame:
+    """points with the near_id and near_d2 of their place."""
+    near = materialize(places.join(got, "key").select(*[F.col(a).alias(f"__{a}") for a in AXES], "near_id", "near_d2"), "near-places")
+    same = F.lit(True)
+    for a in AXES:
+        same = same & (points[a].cast("double") == F.col(f"__{a}"))
+    return points.join(small_side(near), same, how).drop(*[f"__{a}" for a in AXES])
+
+
+def with_nearest(points: DataFrame, key: str, found: DataFrame, id_: str, bound: float, inclusive: bool = False) -> DataFrame:
+    """All points with near_id and near_d2, null where no neighbour is in the bound."""
+    places = _places(points, key)
+    return _attached(points, places, _search(places, _smallest(found, id_, False), bound, inclusive, False), "left")
+
+
 def nearest_within(points: DataFrame, key: str, found: DataFrame, id_: str, bound: float, inclusive: bool = False, apart: bool = False) -> DataFrame:
     """points: key, x, y, z; found: id_, x, y, z. Result: key, near_id, near_d2, for points with a neighbour in the bound.
 
     Ties go to the smallest id. With `apart`, a point isn't its own neighbour (key and id_ are the same ids). Points
     with a coordinate that is null or NaN have no neighbour and are none."""
-    schema = T.StructType([T.StructField("key", points.schema[key].dataType), T.StructField("near_id", found.schema[id_].dataType), T.StructField("near_d2", T.DoubleType())])
+    if apart:
+        return _search(_plain(points, key, "key"), _smallest(found, id_, True), bound, inclusive, True)
+    places, points = _places(points, key), points.select(F.col(key).alias("key"), *AXES)
+    got = _search(places, _smallest(found, id_, False), bound, inclusive, False)
+    return _attached(points, places, got, "inner").select("key", "near_id", "near_d2")
 
-    def plain(df: DataFrame, c: str, name: str) -> DataFrame:
-        """New columns, as points and found may be one table."""
-        df = df.select(F.col(c).alias(name), *[F.col(a).cast("double").alias(a) for a in AXES])
-        for a in AXES:
-            df = df.where(F.col(a).isNotNull() & ~F.isnan(a))
-        return df
 
-    p, f = plain(points, key, "key"), plain(found, id_, "near_id")
+def _search(p: DataFrame, f: DataFrame, bound: float, inclusive: bool, apart: bool) -> DataFrame:
+    """p: key, z, y, x; f: near_id, z, y, x. Result: key, near_id, near_d2."""
+    schema = T.StructType([p.schema["key"], f.schema["near_id"], T.StructField("near_d2", T.DoubleType())])
     n, *ends = p.agg(F.count("*"), *[g(a) for a in AXES for g in (F.min, F.max)]).first()
     if not n:
-        return points.sparkSession.createDataFrame([], schema)
+        return p.sparkSession.createDataFrame([], schema)
     volume = 1.0
     for lo, hi in zip(ends[::2], ends[1::2], strict=True):
         volume *= max(1.0, (hi - lo) / bound)
@@ -116,16 +158,21 @@ def nearest_within(points: DataFrame, key: str, found: DataFrame, id_: str, boun
 
 
 def nearest_any(points: DataFrame, key: str, found: DataFrame, id_: str, bound: float, apart: bool = False) -> DataFrame:
-    """As nearest_within, without a bound: points without a neighbour ask again with twice the bound."""
-    out, rest = None, points.select(key, *AXES)
-    if not found.limit(1).count():
+    """As nearest_within, without a bound: places without a neighbour ask again with twice the bound."""
+    searched = _smallest(found, id_, apart)
+    if not searched.limit(1).count():
         return nearest_within(points, key, found, id_, bound, apart=apart)
-    widest = found.select(*AXES).unionByName(points.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
+    asking = materialize(_plain(points, key, "key"), "asking") if apart else _places(points, key)
+    widest = searched.select(*AXES).unionByName(asking.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
     most = 2 * sum(widest[a] or 0 for a in AXES) + 1
+    out, rest = None, asking
     while True:
-        got = materialize(nearest_within(rest, key, found, id_, bound, apart=apart), "nearest")
+        got = materialize(_search(rest, searched, bound, False, apart), "nearest")
         out = got if out is None else out.unionByName(got)
-        rest = materialize(rest.join(got, rest[key] == got["key"], "left_anti"), "asking")
+        rest = materialize(rest.join(got, "key", "left_anti"), "asking")
         if bound > most or not rest.limit(1).count():
-            return out
+            break
         bound *= 2
+    if apart:
+        return out
+    return _attached(points.select(F.col(key).alias("key"), *AXES), asking, out, "inner").select("key", "near_id", "near_d2")
