@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from voxloom.operators import nearest
+from voxloom.sources import raw
 
 
 def test_nearest_searches_places(spark, monkeypatch):
@@ -19,3 +21,12 @@ def test_nearest_searches_places(spark, monkeypatch):
     want = {i * 7 + k: (5 * int(d[i].argmin()), d[i].min()) if d[i].min() <= 9 else (None, None) for i in range(40) for k in range(7)}
     assert {r.id: (r.near_id, r.near_d2) for r in got.collect()} == want | {9000: (None, None), 9001: (None, None)}
     assert seen == [(len(np.unique(t, axis=0)), len(np.unique(q, axis=0)))]
+
+
+def test_records_pass_in_parts(spark, tmp_path):
+    """Equal rows of one stack fill files of bounded length; reading hands them on in parts."""
+    df = spark.range(0, 1000, 1, 2).selectExpr("'FW' side", "'1' yname", "'2' xname", "5f local_x", "6f local_y", "7f local_z", "1f structureness", "2f blobness", "3f intensity", "9 size")
+    raw.write_records(df, f"file://{tmp_path}/r", rows_a_file=150)
+    assert sorted(f.stat().st_size // 28 for f in tmp_path.glob("r/FW/1_2/*.bin")) == [50, 50] + [150] * 6
+    back = raw.read_records(spark, f"file://{tmp_path}/r")
+    assert back.count() == 1000 and back.groupBy("file").agg(F.countDistinct("cell_seq").alias("n"), F.count("*").alias("m")).where("n <> m").count() == 0

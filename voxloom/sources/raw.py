@@ -6,12 +6,14 @@ alone. Writing goes through pyarrow's file systems, from the tasks, into a folde
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .shared import bounded_batches
 
 #: A packed record: six 32-bit floats, a 16-bit size and two bytes of padding; fixed values of the format.
 RECORD = np.dtype([("local_x", "<f4"), ("local_y", "<f4"), ("local_z", "<f4"), ("structureness", "<f4"), ("blobness", "<f4"), ("intensity", "<f4"), ("size", "<u2"), ("padding", "<u2")])
+#: Records of a file that go to Spark at once.
+ROWS_READ = 1 << 16
 _NAMES = r"([^/]+)/([^/]+)/\2_([^/]+)/([^/]+)\.bin$"
 
 
@@ -99,20 +103,42 @@ def read_voxels(spark: SparkSession, path: str, width: int) -> DataFrame:
     return files.mapInArrow(run, "side string, yname string, xname string, zname string, y long, x long, v int")
 
 
-def write_records(cells: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
-    """Packed files under {side}/{y}_{x}/; large stacks are many files, so no stack has to fit one task."""
-    n = cells.groupBy("side", "yname", "xname").agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("__files"))
-    c = cells.join(n, ["side", "yname", "xname"]).withColumn("__file", F.pmod(F.xxhash64(*[f for f in RECORD.names if f != "padding"]), F.col("__files")).cast("int"))
+def write_records(cells: DataFrame, path: str, rows_a_file: int = 250_000) -> None:
+    """Packed files under {side}/{y}_{x}/. Nothing is shuffled: each task sorts its own rows and writes them as they pass, a stack
+    after another, so that it holds one file. A task that runs twice writes the same files."""
+    stack, fields = ["side", "yname", "xname"], RECORD.names[:-1]
+    bounded_batches(cells.sparkSession)
+    c = cells.dropna(subset=stack).select(*stack, *fields).sortWithinPartitions(*stack, *fields)
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        out = np.zeros(len(pdf), dtype=RECORD)
-        for f in RECORD.names[:-1]:
-            out[f] = pdf[f].to_numpy()
-        _put(f"{path}/{r['side']}/{r['yname']}_{r['xname']}/{int(r['__file']):06d}.bin", out.tobytes())
-        return pd.DataFrame({"n": [len(pdf)]})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, held, n, done = TaskContext.get().partitionId(), None, [], 0, 0
 
-    c.groupBy("side", "yname", "xname", "__file").applyInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+        def put() -> None:
+            nonlocal held, n, done
+            if n:
+                _put(f"{path}/{now[0]}/{now[1]}_{now[2]}/{part:06d}-{done:06d}.bin", b"".join(held))
+                held, n, done = [], 0, done + 1
+
+        for b in batches:
+            out = np.zeros(b.num_rows, dtype=RECORD)
+            for f in fields:
+                out[f] = b[f].to_numpy(zero_copy_only=False)
+            keys = list(zip(*[b[k].to_pylist() for k in stack], strict=True))
+            start = 0
+            while start < len(keys):
+                if keys[start] != now:
+                    put()
+                    now, done = keys[start], 0
+                # rows are sorted, so the stack's rows end where its key does
+                end = min(bisect.bisect_right(keys, now, start), start + rows_a_file - n)
+                held.append(out[start:end].tobytes())
+                n, start = n + end - start, end
+                if n == rows_a_file:
+                    put()
+        put()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    c.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -126,9 +152,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 content = b["content"][i].as_buffer()
-                v = np.frombuffer(content, RECORD, len(content) // RECORD.itemsize)
-                same = pa.array(np.full(len(v), i))
-                columns = [pa.array(np.ascontiguousarray(v[f]).astype(np.int32 if f == "size" else np.float32)) for f in fields]
-                yield pa.RecordBatch.from_arrays([*[b[n].take(same) for n in names], pa.array(np.arange(len(v))), *columns], names=[*names, "cell_seq", *fields])
+                whole = np.frombuffer(content, RECORD, len(content) // RECORD.itemsize)
+                for at in range(0, len(whole), ROWS_READ):
+                    v = whole[at : at + ROWS_READ]
+                    same = pa.array(np.full(len(v), i))
+                    columns = [pa.array(np.ascontiguousarray(v[f]).astype(np.int32 if f == "size" else np.float32)) for f in fields]
+                    yield pa.RecordBatch.from_arrays([*[b[n].take(same) for n in names], pa.array(np.arange(at, at + len(v))), *columns], names=[*names, "cell_seq", *fields])
 
     return files.mapInArrow(run, "side string, yname string, xname string, file string, cell_seq long, local_x float, local_y float, local_z float, structureness float, blobness float, intensity float, size int")
