@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from voxloom.llm import common, jaccard_join
 from voxloom.operators import nearest
 from voxloom.sources import raw
 
@@ -30,3 +31,29 @@ def test_records_pass_in_parts(spark, tmp_path):
     assert sorted(f.stat().st_size // 28 for f in tmp_path.glob("r/FW/1_2/*.bin")) == [50, 50] + [150] * 6
     back = raw.read_records(spark, f"file://{tmp_path}/r")
     assert back.count() == 1000 and back.groupBy("file").agg(F.countDistinct("cell_seq").alias("n"), F.count("*").alias("m")).where("n <> m").count() == 0
+
+
+def test_near_groups_meet_once(spark, monkeypatch):
+    """Unlike texts that share many part names meet in a few tiles, not once for each name; links are those of brute force."""
+    rng, n = np.random.default_rng(5), 150
+    words = [[f"w{j}" if keep else f"x{i}y{j}" for j, keep in enumerate(rng.permutation(200) >= 24)] for i in range(n)]
+    for i in range(0, n, 10):
+        words[i + 1] = [*words[i][:-3], "a", "b", "c"]
+    counts, write = {}, common.Steps.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Steps, "write", spy)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 1, 80).collect()}
+    sets, want = [set(w) for w in words], list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want)) and len(set(want)) == n - n // 10
+    assert counts["jaccard-open"][0] > 30 * n and counts["jaccard-cut"][0] < 15 * n, counts

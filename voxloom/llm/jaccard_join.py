@@ -8,7 +8,8 @@
    smaller tiles, to which the n-grams travel; there the sorted arrays are intersected, unless a pair is connected
    already, and an edge is emitted only when it connects two components.
 4. This runs twice. First each node meets the smallest node of each of its tiles; most near copies are connected then.
-   Then only tiles whose nodes still belong to several components are looked at, each set of nodes once. Nodes that
+   Then only tiles whose nodes still belong to several components are looked at, each set of nodes once, and tiles of
+   one smallest node together where their nodes are mostly the same. Nodes that
    are connected with a tile's smallest one meet only the others, so a cluster of copies costs rows in proportion to
    its size. Tiles beyond `CHUNK_ROWS` or `CHUNK_GRAMS` are cut into chunks that meet in pairs.
 5. Components of the edges, carried over to all documents of each class.
@@ -208,6 +209,21 @@ def _cut(tiles: DataFrame, rows: int, n_grams: int | None = None) -> DataFrame:
     return x.select("tile", "node", "label", "n", own.cast("int").alias("own"), F.explode(met).alias("met")).select(pair.alias("tile"), "node", "label", "n")
 
 
+def _together(tiles: DataFrame, steps: Steps) -> DataFrame:
+    """Tiles of one smallest node become one where that takes no more comparisons, as near copies share many names and
+    would meet once for each. tiles: tile, low, node, label, near, which depends on low and node only. Result: without low."""
+    # pairs that differ in label can't both be near
+    count = [F.count_if("near").alias("a"), F.count_if(~F.col("near")).alias("b")]
+    pairs = F.col("b") * (2.0 * F.col("a") + F.col("b"))
+    apart = tiles.groupBy("low", "tile").agg(*count).groupBy("low").agg(F.sum(pairs).alias("apart"), F.count("*").alias("tiles"))
+    one = tiles.select("low", "node", "label", "near").distinct()
+    lows = one.groupBy("low").agg(*count).select("low", pairs.alias("pairs")).join(apart, "low").where("tiles > 1 and pairs <= apart").select("low")
+    lows = small_side(steps.write(lows, "jaccard-lows"))
+    merged = one.join(lows, "low").withColumn("tile", F.xxhash64("low", F.lit(3)))
+    out = ["tile", "node", "label", "near"]
+    return steps.write(tiles.join(lows, "low", "left_anti").select(out).union(merged.select(out)), "jaccard-by-low")
+
+
 def _by_tile(rows: DataFrame, each: Callable, out: str) -> DataFrame:
     """each(tile, node, label, n, payloads) of every tile, as columns of `out`. A tile is in one task, one tile at a time."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in out.split()])
@@ -441,8 +457,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     low = F.min_by("label", "node")
     other = F.when(F.col("node") > F.col("low"), F.col("label"))
     open_ = x.groupBy("tile").agg(low.alias("low_label"), F.min(other).alias("x"), F.max(other).alias("y")).where("x < y").select("tile", "low_label")
-    x = x.where("node > low").join(open_, "tile").select("tile", "node", "label", (F.col("label") == F.col("low_label")).alias("near"))
-    x = _distinct_tiles(steps.write(x, "jaccard-open")).join(size, "node")
+    x = x.where("node > low").join(open_, "tile").select("tile", "low", "node", "label", (F.col("label") == F.col("low_label")).alias("near"))
+    x = _distinct_tiles(_together(steps.write(x, "jaccard-open"), steps)).join(size, "node")
     second = join.edges(steps.write(_cut(x, CHUNK_ROWS), "jaccard-cut"), merge=True)
     further = connected_components(second, "jaccard-further")
 
