@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxloom.llm import common, jaccard_join
-from voxloom.operators import nearest
+from voxloom.operators import mixture, nearest
 from voxloom.sources import raw
 
 
@@ -57,3 +57,29 @@ def test_near_groups_meet_once(spark, monkeypatch):
                 want = [low if x == high else x for x in want]
     assert got == dict(enumerate(want)) and len(set(want)) == n - n // 10
     assert counts["jaccard-open"][0] > 30 * n and counts["jaccard-cut"][0] < 15 * n, counts
+
+
+def test_gaussians_count_equal_rows(spark):
+    """Two Gaussians are the same of a table and of its copies dealt in another way, and those of plain numpy; what is fitted are distinct rows."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal((0, 0, 0), (1, 1, 0.3), (300, 3)), rng.normal((0, 1, 2), (1, 1, 0.3), (200, 3))]), 1)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    copies = df.crossJoin(spark.range(7)).drop("id").repartition(5, "b")
+    rows = [mixture.counted(t, list("abc")).cache() for t in (df, copies)]
+    assert rows[0].count() == rows[1].count() == len(np.unique(x, axis=0)) and rows[1].agg(F.sum("weight")).first()[0] == 3500
+    one, many = (mixture.gaussians(t, list("abc"), 2, short=2, rounds=8) for t in rows)
+    assert np.allclose(one.means, many.means, atol=1e-9) and np.allclose(one.counts * 7, many.counts) and np.isclose(one.bounds[-1], many.bounds[-1])
+
+    def plain(axis, rounds):
+        r, bounds = np.eye(2)[(x[:, axis] >= x[:, axis].mean()).astype(int)], []
+        for i in range(rounds + 1):
+            n, m = r.sum(0), r.T @ x / r.sum(0)[:, None]
+            c = [(r[:, k, None] * (x - m[k])).T @ (x - m[k]) / n[k] + mixture.RIDGE * np.eye(3) for k in range(2)]
+            p = np.stack([n[k] / len(x) * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m[k], np.linalg.inv(c[k]), x - m[k])) / np.sqrt(np.linalg.det(2 * np.pi * c[k])) for k in range(2)], 1)
+            r = p / p.sum(1, keepdims=True)
+            bounds.append(np.log(p.sum(1)).mean())
+        return m, bounds[rounds - 1]
+
+    best = max(range(3), key=lambda a: plain(a, 2)[1])
+    means, bound = plain(best, 8)
+    assert best == 2 and np.allclose(one.means, means, atol=1e-6) and np.isclose(one.bounds[-1], bound)

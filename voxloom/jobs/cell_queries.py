@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import features as FE
+from ..operators import mixture as X
 from ..operators import partition as P
+from ..sources.shared import materialize
 from .views import CELL_ORDER, CELLS, N_SLICES, VOX, cells, n_slices, table, voxels
 
 SX, SY, SZ, W, H = -0.65, -0.65, 5.0, 2560, 2160
@@ -166,14 +168,10 @@ def flagship_density(s: SparkSession, d: str) -> DataFrame:
 
 def cls_05_gmm(s: SparkSession, d: str) -> DataFrame:
     """Two Gaussian clusters on the features; the one with the larger mean of the second feature is positive."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    c = FE.feature_columns(cells(s, d)).where("f0 > -1e300")
-    v = VectorAssembler(inputCols=["f0", "f1", "f2"], outputCol="v").transform(c)
-    model = GaussianMixture(k=2, featuresCol="v", predictionCol="cluster", seed=1).fit(v)
-    best = max(range(2), key=lambda k: model.gaussians[k].mean[1])
-    return model.transform(v).groupBy((F.col("cluster") == best).alias("positive")).agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
+    rows = materialize(X.counted(FE.feature_columns(cells(s, d)).where("f0 > -1e300"), ["f0", "f1", "f2"]), "gmm-rows")
+    model = X.gaussians(rows, ["f0", "f1", "f2"], 2)
+    out = model.predict(rows, "cluster").groupBy((F.col("cluster") == model.largest("f1")).alias("positive"))
+    return out.agg(F.sum("weight").alias("n"), F.round(F.sum(F.col("f1") * F.col("weight")) / F.sum("weight"), 6).alias("f1"))
 
 
 def cls_06_tree(s: SparkSession, d: str) -> DataFrame:
