@@ -316,3 +316,18 @@ def test_tree_on_components(spark, seed):
     assert np.allclose(got, want * signs)
     assert [r.prediction for r in out] == plain_tree(got[:50], y[:50], 2)(got).tolist()
     assert np.mean([r.prediction for r in out[:50]] == y[:50]) > 0.75
+
+
+def test_lines_go_together(spark):
+    """Lines are cut for a halo at once, those of one block in one piece; blocks with their halo are those of an exchange."""
+    v = np.random.default_rng(9).integers(0, 99, (7, 11, 13)).astype(float)
+    df, grid, halo = lines(spark, v, name="a").coalesce(1), B.Grid(11, 13, (3, 4, 5), ("name",)), (1, 2, 3)
+    pieces = B.from_lines(df, "v", grid, halo)
+    assert pieces.count() == 27
+    fn = lambda a, p: {"data": [np.ascontiguousarray(a).tobytes()]}
+    rows = lambda t: {(r.bz, r.by, r.bx): bytes(r.data) for r in B.with_halo(t, grid, halo, fn, "data binary").collect()}
+    got = rows(pieces)
+    assert len(got) == 27 and got == rows(B.from_lines(df, "v", grid))
+    assert got[1, 1, 1] == np.ascontiguousarray(v[2:7, 2:10, 2:13]).tobytes()
+    with pytest.raises(Exception, match="OverflowError"):
+        B.from_lines(df.withColumn("v", F.transform("v", lambda x: x + 999)), "v", B.Grid(11, 13, (3, 4, 5), ("name",), "<i1")).count()

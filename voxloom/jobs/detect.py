@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,9 @@ from ..operators.partition import substacks
 from ..sources import datasource
 from ..sources.shared import materialize
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -82,6 +85,8 @@ def _parts(norm: np.ndarray, h: tuple[np.ndarray, ...], mask: np.ndarray, place:
 
 def block_features(v: np.ndarray, s: Settings) -> pd.DataFrame:
     """Aggregates of all regions of a dense block, the counterpart of the blocks' way on one array."""
+    import pandas as pd
+
     grid = B.Grid(v.shape[1], v.shape[2], v.shape)
     norm = K.normalize(v, s.radii, s.box, s.least)
     h = K.hessian(K.difference_of_gaussians(norm, s.small, s.large, s.gamma))
@@ -92,10 +97,11 @@ def block_features(v: np.ndarray, s: Settings) -> pd.DataFrame:
 
 
 def detect_blocks(substack_blocks: DataFrame, grid: B.Grid, s: Settings) -> DataFrame:
-    """Candidates of substacks (keys ..., z0, length; each as deep as the settings say) given as blocks of raw values."""
-    blocks = B.normalize(substack_blocks, grid, s.radii, s.box, s.least)
+    """Candidates of substacks (keys ..., z0, length; each as deep as the settings say) given as blocks of raw values,
+    or as the pieces for the halo of local contrast."""
     contrast = B.Grid(grid.height, grid.width, grid.block, grid.keys)
     halo = (0, s.reach, s.reach)
+    blocks = B.normalize(substack_blocks, grid, s.radii, s.box, s.least, (contrast, halo))
 
     def parts(v: np.ndarray, place: B.Place) -> dict:
         h = K.hessian(K.difference_of_gaussians(v[0], s.small, s.large, s.gamma))
@@ -138,7 +144,7 @@ def detect_lines(lines: DataFrame, values: str, height: int, width: int, s: Sett
     """The same of rows that hold a line's values along x as an array."""
     rows = _substacks(lines.select(*stack, F.col("z").cast("long").alias("z"), "y", F.col(values).alias("values")), s, stack)
     grid = _grid(height, width, s, stack, tile)
-    return detect_blocks(B.from_lines(rows, "values", grid), grid, s)
+    return detect_blocks(B.from_lines(rows, "values", grid, B.first_halo(grid, s.radii, s.box)), grid, s)
 
 
 def detect_files(spark: SparkSession, path: str, height: int, width: int, s: Settings = Settings(), tile: int = 256, stored: str = "<u2") -> DataFrame:  # noqa: B008

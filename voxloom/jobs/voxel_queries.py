@@ -168,12 +168,12 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def two_stacks(s: SparkSession, d: str) -> tuple[DataFrame, B.Grid]:
-    """The volume and its negative as two stacks of blocks."""
+    """The volume and its negative as two stacks, in pieces of blocks."""
     sign = F.explode(F.create_map(F.lit("bright"), F.lit(1.0), F.lit("dark"), F.lit(-1.0))).alias("stack", "sign")
     both = B.with_depth(lines(s, d), (), F.col("z")).select("*", sign)
     both = both.withColumn("v", F.transform("embedding", lambda v: v.cast("double") * F.col("sign")))
     grid = B.Grid(HEIGHT, WIDTH, (4, 16, 16), ("stack",))
-    return B.from_lines(both, "v", grid), grid
+    return B.from_lines(both, "v", grid, (0, 0, 0)), grid
 
 
 def ccl_blocks(s: SparkSession, d: str) -> DataFrame:

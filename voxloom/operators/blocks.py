@@ -93,34 +93,115 @@ def _batch(keys: list[pa.Array], found: list[tuple], names: list[str], n_keys: i
     return pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys[:n_keys]], *columns], names=names)
 
 
-def _assembled(rows: pa.Table, grid: Grid, halo: tuple[int, int, int]) -> tuple[np.ndarray, Place]:
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[tuple[pa.RecordBatch, int, int]]]]:
+    """Rows that follow each other with equal keys: the keys, and (batch, first, end) of their rows."""
+    same = lambda p, q: all(a == b or (a != a and b != b) for a, b in zip(p, q, strict=True))
+    now, held = None, []
+    for b in batches:
+        keys, first = list(zip(*[b[k].to_pylist() for k in names], strict=True)), 0
+        for i, key in enumerate(keys):
+            if now is not None and same(key, now):
+                continue
+            if i > first:
+                held.append((b, first, i))
+            if held:
+                yield now, held
+            now, held, first = key, [], i
+        if len(keys) > first:
+            held.append((b, first, len(keys)))
+    if held:
+        yield now, held
+
+
+def _dealt(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with equal keys follow each other in one partition; Python reads them as a stream, not group by group."""
+    return rows.repartition(*names).sortWithinPartitions(*names)
+
+
+def _assembled(key: tuple, held: list[tuple[pa.RecordBatch, int, int]], grid: Grid, halo: tuple[int, int, int]) -> tuple[np.ndarray, Place]:
     """The array (channels, z, y, x) of a block and its halo from its pieces; what no piece covers is the grid's fill."""
-    depth = rows["depth"][0].as_py()
-    at = tuple(rows[c][0].as_py() for c in ("bz", "by", "bx"))
+    depth, at = key[-4], key[-3:]
     given = grid.box(at, depth, halo)
     v = np.full((grid.channels, *[b - a for a, b in given]), grid.fill, np.dtype(grid.dtype))
-    for where, data in zip(rows["at"].to_pylist(), rows["piece"].to_pylist(), strict=True):
-        (z, y, x), shape = where[:3], where[3:]
-        part = np.frombuffer(data, grid.dtype).reshape(grid.channels, *shape)
-        v[:, z - given[0][0] :, y - given[1][0] :, x - given[2][0] :][:, : shape[0], : shape[1], : shape[2]] = part
+    low = [a for a, _ in given]
+    for b, first, end in held:
+        for where, data in zip(b["at"].slice(first, end - first), b["piece"].slice(first, end - first), strict=True):
+            (z, y, x), shape = (where := where.values.to_numpy().reshape(-1, 6))[0, :3] - low, where[0, 3:]
+            part = np.frombuffer(data.as_buffer(), grid.dtype)
+            if len(where) > 1:  # lines of one length that begin at one x
+                v[:, where[:, 0] - low[0], where[:, 1] - low[1], x : x + shape[2]] = part.reshape(grid.channels, len(where), shape[2])
+            else:
+                v[:, z:, y:, x:][:, : shape[0], : shape[1], : shape[2]] = part.reshape(grid.channels, *shape)
     return v, Place(grid.box(at, depth), given, depth)
 
 
-def _gather(pieces: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray, Place], dict], fields: str) -> DataFrame:
-    """fn turns a block's array and its place into columns; a row of them stays with the block's keys."""
-    bounded_batches(pieces.sparkSession)
+#: Bytes and rows of results that a task gathers before it hands them on.
+SEND_BYTES, SEND_ROWS = 4 << 20, 1024
+
+
+def _sent(rows: Iterator[tuple[tuple, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, values) as batches of bounded size."""
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for key, values in rows:
+        held.append((*key, *values))
+        size += sum(len(v) for v in values if isinstance(v, bytes))
+        if size >= SEND_BYTES or len(held) >= SEND_ROWS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _strips(v: np.ndarray, key: tuple, grid: Grid, halo: tuple[int, int, int]) -> Iterator[tuple[tuple, tuple]]:
+    """A block's array (channels, z, y, x) as the strips of it that lie within the halo of each block near it."""
+    depth, at = key[-4], key[-3:]
+    own = grid.box(at, depth)
+    for to in grid.near(at, depth, halo):
+        cut = [(max(a, p), min(e, q)) for (a, e), (p, q) in zip(own, grid.box(to, depth, halo), strict=True)]
+        part = v[(slice(None), *[slice(p - a, q - a) for (p, q), (a, _) in zip(cut, own, strict=True)])]
+        yield (*key[:-3], *to), ([*[p for p, _ in cut], *part.shape[1:]], np.ascontiguousarray(part).tobytes())
+
+
+def _gather(rows: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray, Place], dict], fields: str, then: tuple[Grid, tuple[int, int, int]] | None = None) -> DataFrame:
+    """fn turns a block's array and its place into columns; a row of them stays with the block's keys.
+
+    rows: pieces, or whole blocks where no halo is wanted. then: the grid of fn's data and the halo of the step that follows;
+    the result is the pieces for it, cut by the same task."""
+    bounded_batches(rows.sparkSession)
     own = T.StructType.fromDDL(fields)
-    schema = T.StructType([*[pieces.schema[k] for k in grid.place], *own.fields])
-    arrow = [_arrow(f.dataType) for f in own.fields]
+    pieces = "piece" in rows.columns
+    schema = _pieces_schema(rows, grid) if then else T.StructType([*[rows.schema[k] for k in grid.place], *own.fields])
+    kinds = [pa.int32() if f.name in ("bz", "by", "bx") else pa.list_(pa.int32()) if f.name == "at" else _arrow(f.dataType) for f in schema.fields[len(grid.keys) :]]
+    names = schema.fieldNames()
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, Place]]:
+        if pieces:
+            for key, held in _runs(batches, grid.place):
+                yield key, *_assembled(key, held, grid, halo)
+            return
+        for b in batches:
+            for key, data in zip(zip(*[b[k].to_pylist() for k in grid.place], strict=True), b["data"], strict=True):
+                box = grid.box(key[-3:], key[-4])
+                yield key, np.frombuffer(data.as_buffer(), grid.dtype).reshape(grid.channels, *[e - a for a, e in box]), Place(box, box, key[-4])
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+        for key, v, place in arrays(batches):
+            out = fn(v, place)
+            if then:
+                shape = [e - a for a, e in place.own]
+                yield from _strips(np.frombuffer(out["data"][0], then[0].dtype).reshape(then[0].channels, *shape), key, *then)
+            else:
+                for values in zip(*[out[f.name] for f in own.fields], strict=True):
+                    yield key, values
 
-    def run(rows: pa.Table) -> pa.Table:
-        out = fn(*_assembled(rows, grid, halo))
-        columns = [pa.array(out[f.name], kind) for f, kind in zip(own.fields, arrow, strict=True)]
-        n = len(columns[0])
-        same = [pa.chunked_array([rows[k].combine_chunks().slice(0, 1).take(pa.array(np.zeros(n, np.int64)))]) for k in grid.place]
-        return pa.Table.from_arrays([*same, *columns], names=schema.fieldNames())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            sent = pa.schema([*[first.schema.field(k) for k in grid.keys], *map(pa.field, names[len(grid.keys) :], kinds)])
+            yield from _sent(results(itertools.chain([first], batches)), sent)
 
-    return pieces.groupBy(*grid.place).applyInArrow(run, schema)
+    return (_dealt(rows, grid.place) if pieces else rows.select(*grid.place, "data")).mapInArrow(run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -131,24 +212,59 @@ def _blocks_of(pieces: DataFrame, grid: Grid) -> DataFrame:
     return _gather(pieces, grid, (0, 0, 0), lambda v, _: {"data": [v.tobytes()]}, "data binary")
 
 
-def from_lines(lines: DataFrame, values: str, grid: Grid) -> DataFrame:
-    """lines: keys, depth, z, y and an array of a line's values along x. Lines that aren't there hold the grid's fill."""
+#: Bytes of lines that are cut together.
+LINE_BYTES = 1 << 20
+
+
+def _as(values: np.ndarray, dtype: str) -> np.ndarray:
+    """Numbers of another kind; whole ones that it doesn't hold are an error."""
+    kind = np.dtype(dtype)
+    if kind.kind in "iu" and len(values) and not (values.min() >= np.iinfo(kind).min and values.max() <= np.iinfo(kind).max):
+        raise OverflowError(f"a line holds numbers that {kind} doesn't")
+    return values.astype(kind)
+
+
+def from_lines(lines: DataFrame, values: str, grid: Grid, halo: tuple[int, int, int] | None = None) -> DataFrame:
+    """lines: keys, depth, z, y and an array of a line's values along x. Lines that aren't there hold the grid's fill.
+
+    halo: that of the step that follows; the result is the pieces for it instead of blocks."""
     bounded_batches(lines.sparkSession)
     names = [*grid.place, "at", "piece"]
-    bz, by, bx = grid.block
+    sides, reach = grid.block, halo or (0, 0, 0)
+    most = max(1, min(1024, LINE_BYTES // (8 * grid.width)))
+
+    def over(c: int, axis: int, n: int) -> range:
+        """Blocks along an axis whose halo holds a coordinate."""
+        b, h = sides[axis], reach[axis]
+        return range(max(0, (c - h) // b), min((n - 1) // b, (c + h) // b) + 1)
+
+    def pieces(b: pa.RecordBatch) -> Iterator[tuple]:
+        """Lines of one length for one block go together."""
+        raw = b["__line"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = _as(b["__line"].flatten().to_numpy(zero_copy_only=False), grid.dtype)
+        start, length = np.cumsum(raw) - raw, np.minimum(raw, grid.width)
+        z, y, depth = (b[c].to_numpy() for c in ("z", "y", "depth"))
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(length.tolist(), depth.tolist(), *[b[k].to_pylist() for k in grid.keys], strict=True)):
+            for to in itertools.product(over(int(z[i]), 0, key[1]), over(int(y[i]), 1, grid.height)):
+                groups.setdefault((key, to), []).append(i)
+        for (key, to), found in groups.items():
+            at, n, (_, h) = np.array(found), key[0], (0, reach[2])
+            block = flat[start[at][:, None] + np.arange(n)]
+            for i in range((n - 1 + h) // sides[2] + 1 if n else 0):
+                low, high = max(0, i * sides[2] - h), min(n, (i + 1) * sides[2] + h)
+                if i <= (grid.width - 1) // sides[2] and low < high:
+                    where = np.column_stack([z[at], y[at], *[np.full(len(at), c) for c in (low, 1, 1, high - low)]])
+                    yield found[0], key[1], *to, i, where.ravel().tolist(), np.ascontiguousarray(block[:, low:high]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for i, (depth, z, y, line) in enumerate(zip(*[b[c].to_pylist() for c in ("depth", "z", "y", "__line")], strict=True)):
-                v = np.asarray(line if line is not None else [], np.dtype(grid.dtype))[: grid.width]
-                for x in range(0, len(v), bx):
-                    part = v[x : x + bx]
-                    found.append((i, depth, z // bz, y // by, x // bx, [z, y, x, 1, 1, len(part)], part.tobytes()))
-            yield _batch([b[k] for k in grid.keys], found, names, len(grid.keys))
+        for whole in batches:
+            for b in (whole.slice(i, most) for i in range(0, whole.num_rows, most)):
+                yield _batch([b[k] for k in grid.keys], list(pieces(b)), names, len(grid.keys))
 
     rows = lines.select(*grid.keys, F.col("depth").cast("long").alias("depth"), F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), F.col(values).alias("__line"))
-    return _blocks_of(rows.mapInArrow(run, _pieces_schema(rows, grid)), grid)
+    out = rows.mapInArrow(run, _pieces_schema(rows, grid))
+    return _blocks_of(out, grid) if halo is None else out
 
 
 def from_slices(slices: DataFrame, grid: Grid, stored: str = "<u2") -> DataFrame:
@@ -198,53 +314,48 @@ def from_voxels(voxels: DataFrame, value: str, grid: Grid) -> DataFrame:
 
 def exchange(blocks: DataFrame, grid: Grid, halo: tuple[int, int, int]) -> DataFrame:
     """Each block, and for every neighbour the strip of it that lies within the neighbour's halo."""
-    bounded_batches(blocks.sparkSession)
-    names = [*grid.place, "at", "piece"]
+    return _gather(blocks, grid, (0, 0, 0), lambda v, _: {"data": [v.tobytes()]}, "data binary", (grid, halo))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                depth, at = b["depth"][i].as_py(), tuple(b[c][i].as_py() for c in ("bz", "by", "bx"))
-                own = grid.box(at, depth)
-                v = np.frombuffer(b["data"][i].as_buffer(), grid.dtype).reshape(grid.channels, *[e - a for a, e in own])
-                found = []
-                for to in grid.near(at, depth, halo):
-                    want = grid.box(to, depth, halo)
-                    cut = [(max(a, p), min(e, q)) for (a, e), (p, q) in zip(own, want, strict=True)]
-                    part = v[(slice(None), *[slice(p - a, q - a) for (p, q), (a, _) in zip(cut, own, strict=True)])]
-                    found.append((i, depth, *to, [*[p for p, _ in cut], *part.shape[1:]], np.ascontiguousarray(part).tobytes()))
-                yield _batch([b[k] for k in grid.keys], found, names, len(grid.keys))
 
-    return blocks.select(*grid.place, "data").mapInArrow(run, _pieces_schema(blocks, grid))
+def with_halo(blocks: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray, Place], dict], fields: str, then: tuple[Grid, tuple[int, int, int]] | None = None) -> DataFrame:
+    """fn sees the array (channels, z, y, x) of each block with its halo, cut at the stack's borders, and gives columns.
 
+    blocks may be the pieces for this halo already, from a step that cut its results for it; without a halo nothing moves."""
+    ready = "piece" in blocks.columns or not any(halo)
+    return _gather(blocks if ready else exchange(blocks, grid, halo), grid, halo, fn, fields, then)
 
-def with_halo(blocks: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray, Place], dict], fields: str) -> DataFrame:
-    """fn sees the array (channels, z, y, x) of each block with its halo, cut at the stack's borders, and gives columns."""
-    return _gather(exchange(blocks, grid, halo), grid, halo, fn, fields)
 
-
-def filtered(blocks: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def filtered(blocks: DataFrame, grid: Grid, halo: tuple[int, int, int], fn: Callable[[np.ndarray], np.ndarray], then: tuple[Grid, tuple[int, int, int]] | None = None) -> DataFrame:
     """fn maps an array with its halo to one of any number of channels; the blocks' own part stays, as doubles."""
-    return with_halo(blocks, grid, halo, lambda v, p: {"data": [np.ascontiguousarray(p.inner(fn(v)), "<f8").tobytes()]}, "data binary")
+    return with_halo(blocks, grid, halo, lambda v, p: {"data": [np.ascontiguousarray(p.inner(fn(v)), "<f8").tobytes()]}, "data binary", then)
 
 
 #: An exchange along all axes at once is taken up to this many voxels for each voxel of a block, else one along each axis.
 MOST_COPIES = 4.0
 
 
-def normalize(blocks: DataFrame, grid: Grid, r: tuple[int, int, int], small: tuple[int, int, int], least: float) -> DataFrame:
+def first_halo(grid: Grid, r: tuple[int, int, int], small: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The halo that local contrast asks for at first (radii along x, y, z)."""
+    if 0 in r or 0 in small:
+        return (0, 0, 0)
+    halo = tuple(a + b for a, b in zip(r, small, strict=True))[::-1]
+    copies = np.prod([(b + 2 * h) / b for b, h in zip(grid.block, halo, strict=True)])
+    return halo if copies <= MOST_COPIES else (0, 0, r[0])  # type: ignore[return-value]
+
+
+def normalize(blocks: DataFrame, grid: Grid, r: tuple[int, int, int], small: tuple[int, int, int], least: float, then: tuple[Grid, tuple[int, int, int]] | None = None) -> DataFrame:
     """Local contrast of each voxel (radii along x, y, z). Wide radii go axis by axis, so that halos don't multiply.
 
-    Where the grid's fill is NaN, lines end where their voxels do, and the result is of the marked grid."""
+    Where the grid's fill is NaN, lines end where their voxels do, and the result is of the marked grid. blocks may be the
+    pieces for `first_halo`; then: the grid of the result and the halo of the step that follows."""
     ragged = bool(np.isnan(grid.fill))
     marked = (lambda n, v: np.concatenate([n, ~np.isnan(v)])) if ragged else (lambda n, v: n)
     if 0 in r or 0 in small:
-        return filtered(blocks, grid, (0, 0, 0), lambda v: marked(np.where(v >= least, v.astype(float), 0.0), v))
+        return filtered(blocks, grid, (0, 0, 0), lambda v: marked(np.where(v >= least, v.astype(float), 0.0), v), then)
     halo = tuple(a + b for a, b in zip(r, small, strict=True))[::-1]
-    copies = np.prod([(b + 2 * h) / b for b, h in zip(grid.block, halo, strict=True)])
-    if copies <= MOST_COPIES:
+    if first_halo(grid, r, small) == halo:
         whole = K.normalize_within if ragged else K.normalize
-        return filtered(blocks, grid, halo, lambda v: marked(whole(v.astype(float), r, small, least), v))
+        return filtered(blocks, grid, halo, lambda v: marked(whole(v.astype(float), r, small, least), v), then)
     only = lambda axis, n: tuple(n if i == axis else 0 for i in range(3))
     # channels: the value, the erosion and the dilation; axes x and y, then both steps along z, then y and x for the box
     wide = replace(grid, dtype="<f8", channels=3)
@@ -258,17 +369,17 @@ def normalize(blocks: DataFrame, grid: Grid, r: tuple[int, int, int], small: tup
     def mean(v: np.ndarray, axis: int, k: int) -> np.ndarray:
         return np.stack([v[0], *(running(c, axis, k, np.add) / (1 if ragged else 2 * k + 1) for c in v[1:])])
 
-    out = filtered(blocks, grid, only(2, r[0]), lambda v: shrink(v, 2, r[0]))
-    out = filtered(out, wide, only(1, r[1]), lambda v: shrink(v, 1, r[1]))
-    out = filtered(out, wide, only(0, r[2] + small[2]), lambda v: mean(shrink(v, 0, r[2]), 0, small[2]))
-    out = filtered(out, wide, only(1, small[1]), lambda v: mean(v, 1, small[1]))
+    out = filtered(blocks, grid, only(2, r[0]), lambda v: shrink(v, 2, r[0]), (wide, only(1, r[1])))
+    out = filtered(out, wide, only(1, r[1]), lambda v: shrink(v, 1, r[1]), (wide, only(0, r[2] + small[2])))
+    out = filtered(out, wide, only(0, r[2] + small[2]), lambda v: mean(shrink(v, 0, r[2]), 0, small[2]), (wide, only(1, small[1])))
+    out = filtered(out, wide, only(1, small[1]), lambda v: mean(v, 1, small[1]), (wide, only(2, small[0])))
 
     def contrast(v: np.ndarray) -> np.ndarray:
         v = mean(v, 2, small[0])
         with np.errstate(divide="ignore", invalid="ignore"):
             return marked(np.where(v[0] >= least, (v[0] * voxels_of_box - v[1]) / (v[2] - v[1]), 0.0)[None], v[:1])
 
-    return filtered(out, wide, only(2, small[0]), contrast)
+    return filtered(out, wide, only(2, small[0]), contrast, then)
 
 
 def voxels(blocks: DataFrame, grid: Grid, out: str = "v") -> DataFrame:
@@ -343,17 +454,22 @@ def _meeting(shells: DataFrame, grid: Grid) -> DataFrame:
     """Pairs of labels that touch over a block's faces."""
     schema = T.StructType([*[shells.schema[k] for k in grid.keys], *T.StructType.fromDDL("a long, b long").fields])
 
-    def run(rows: pa.Table) -> pa.Table:
-        lin, label = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c].to_pylist()]) for c in ("lin", "label"))
-        lin, first = np.unique(lin, return_index=True)
-        label = label[first]
-        i, j = K.touching(lin, grid.height, grid.width)
-        pairs = np.column_stack([label[i], label[j]])
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        n = pa.array(np.zeros(len(pairs), np.int64))
-        return pa.Table.from_arrays([*[rows[k].combine_chunks().slice(0, 1).take(n) if len(pairs) else rows[k].slice(0, 0) for k in grid.keys], pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=schema.fieldNames())
-
-    return shells.groupBy(*grid.place).applyInArrow(run, schema)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+        for key, held in _runs(batches, grid.place):
+            lin, label = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for b, first, end in held for x in b[c].slice(first, end - first)]) for c in ("lin", "label"))
+            lin, first = np.unique(lin, return_index=True)
+            label = label[first]
+            i, j = K.touching(lin, grid.height, grid.width)
+            found = np.column_stack([label[i], label[j]])
+            for pair in np.unique(found[found[:, 0] != found[:, 1]], axis=0).tolist():
+                yield key[: len(grid.keys)], tuple(pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            yield from _sent(pairs(itertools.chain([first], batches)), pa.schema([*[first.schema.field(k) for k in grid.keys], ("a", pa.int64()), ("b", pa.int64())]))
+
+    return _dealt(shells, grid.place).mapInArrow(run, schema)
 
 
 def labelled_voxels(parts: DataFrame, grid: Grid, border: bool = False) -> DataFrame:

@@ -6,14 +6,18 @@ neighbour slab, and what remains is a graph of slab labels, merged by smallest l
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from . import kernels
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def smallest_reached(edges: DataFrame, name: str = "graph") -> DataFrame:
     """edges: a, b (long). Result: node, label (smallest node that it reaches), for every node with an edge.
@@ -22,7 +26,8 @@ def smallest_reached(edges: DataFrame, name: str = "graph") -> DataFrame:
     halves the distances; every round is written to the shared folder. The joins with the edges and with the labels'
     labels are plain ones of two tables, so that a hub of many edges is split among tasks."""
     e = edges.where("a <> b").select("a", "b")
-    both = materialize(e.union(e.select("b", "a")).distinct(), f"{name}-edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = materialize(e.select(ways).select("e.a", "e.b").distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -55,6 +60,8 @@ def label_components(foreground: DataFrame, height: int, width: int, slab: int =
         a, b = kernels.touching(pdf["lin"].to_numpy(), height, width, wrap)
         label = pdf["label"].to_numpy()
         pairs = np.unique(np.column_stack([label[a], label[b]]), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        import pandas as pd
+
         return pd.DataFrame(pairs[pairs[:, 0] != pairs[:, 1]], columns=["a", "b"])
 
     joined = smallest_reached(seams.groupBy("seam").applyInPandas(meet, "a long, b long"))

@@ -45,7 +45,7 @@ def small_side(written: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 
 
 #: Bytes of a batch between Spark and Python where rows hold blocks or whole files.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
